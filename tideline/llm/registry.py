@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tideline.llm import mixing, secrets, simhash
+from tideline.llm import mixing, secrets, simhash, telephony, urls
 
-MODULES = [secrets, mixing, simhash]
+MODULES = [secrets, mixing, urls, simhash, telephony]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
