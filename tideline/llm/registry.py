@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tideline.llm import mixing, pieces, secrets, simhash, telephony, urls
+from tideline.llm import mixing, pieces, secrets, simhash, telephony, toxicity, urls
 
-MODULES = [secrets, mixing, urls, simhash, telephony, pieces]
+MODULES = [secrets, mixing, urls, toxicity, simhash, telephony, pieces]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
