@@ -18,14 +18,14 @@ INTERVALS = 1024
 def capped_shares(df: DataFrame, group: list[str], total: Column, weight: str, cap: str, out: str) -> DataFrame:
     """df with `out`: of `total`, what each row of a group gets in proportion to `weight` without any getting more than `cap`; the excess goes round by weight.
 
-    Rows are filled in the order of cap over weight: once one is not full at the common rate, none after it is.
+    Rows are filled in the order of cap over weight; the first that is not full gives the common rate, and none after it is full.
     """
     order = Window.partitionBy(*group).orderBy(F.expr(f"`{cap}` / `{weight}`"), F.col("_key"))
     past = order.rowsBetween(Window.unboundedPreceding, -1)
     rest = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     df = df.withColumn("_rate", (total - F.coalesce(F.sum(cap).over(past), F.lit(0.0))) / F.sum(weight).over(rest))
     df = df.withColumn("_full", F.expr(f"_rate * `{weight}` >= `{cap}`"))
-    df = df.withColumn("_last", F.min(F.when(~F.col("_full"), F.col("_rate"))).over(Window.partitionBy(*group)))
+    df = df.withColumn("_last", F.max(F.when(~F.col("_full"), F.col("_rate"))).over(Window.partitionBy(*group)))
     return df.withColumn(out, F.when(F.col("_last").isNull(), F.col(cap)).otherwise(F.least(F.col(cap), F.col("_last") * F.col(weight)))).drop("_rate", "_full", "_last")
 
 
@@ -48,6 +48,61 @@ def uniform(id_: Column, seed: int) -> Column:
     return (bits + 0.5) / F.lit(float(1 << 48))
 
 
+class Mix:
+    """What a mix takes of each row: small tables by source and size class, fitted on all rows."""
+
+    def __init__(self, rows: DataFrame, weights: list[float] = WEIGHTS, share: float = SHARE, seed: int = 17) -> None:
+        """rows: durable rows made by sized()."""
+        self.seed = seed
+        classes = rows.groupBy("_src", "_class").agg(F.sum("_size").alias("_words"))
+        self.sources = durable(targets(classes.groupBy(F.col("_src").alias("src")).agg(F.sum("_words").alias("words")), weights, share))
+        named = self.sources.select(F.col("src").alias("_s"), "target")
+        parts = classes.filter("_words > 0").join(named, F.col("_src").eqNullSafe(F.col("_s"))).drop("_s")
+        parts = parts.withColumn("_x", (1 + F.col("_class") / 8.0) * F.col("_words")).withColumn("_cap", F.col("_words") * float(MOST)).withColumn("_key", F.col("_class"))
+        parts = capped_shares(parts, ["_src"], F.col("target"), "_x", "_cap", "_share").withColumn("_copies", F.round(F.col("_share") / F.col("_words"), 12))
+        parts = parts.withColumn("_whole", F.floor("_copies").cast("int")).withColumn("_p", F.col("_copies") - F.floor("_copies"))
+        parts = parts.withColumn("_want", F.sum(F.col("_p") * F.col("_words")).over(Window.partitionBy("_src")))
+        self.plan = durable(parts.select(F.col("_src").alias("src"), F.col("_class").alias("cls"), "_whole", "_p", "_want"))
+        ranked = self._ranked(rows).filter("_rank is not null")
+        sums = ranked.groupBy("_src", "_place", "_want").agg(F.sum("_size").alias("_in"))
+        sums = sums.withColumn("_before", F.sum("_in").over(Window.partitionBy("_src").orderBy("_place")) - F.col("_in"))
+        cut = sums.filter("_before < _want and _before + _in >= _want").groupBy(F.col("_src").alias("src")).agg(F.min_by(F.struct(F.col("_place").alias("cut"), F.col("_before").alias("before")), "_place").alias("_c"))
+        cut = durable(cut.select("src", "_c.*"))
+        edge = self._at(ranked, cut).filter("_place = cut")  # a source's rows within one interval of ranks
+        mine = Window.partitionBy("_src").orderBy("_rank", "_id", "_size", "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        edge = edge.withColumn("_mid", F.col("before") + F.sum("_size").over(mine) - F.col("_size") / 2.0)
+        last = edge.filter("_mid <= _want").groupBy(F.col("_src").alias("_s")).agg(F.max(F.struct("_rank", "_id", "_size", "_row")).alias("_to"))
+        self.ends = durable(cut.join(last, F.col("src").eqNullSafe(F.col("_s")), "left").drop("_s", "before"))
+
+    @staticmethod
+    def _at(left: DataFrame, right: DataFrame, *more: Column) -> DataFrame:
+        """right has a row for each source and class, or for each source."""
+        named = right.select(F.struct(F.col("src"), *more).alias("_on"), *(c for c in right.columns if c not in ("src", "cls")))
+        on = F.struct(F.col("_src").alias("src"), *(F.col("_class").alias("cls") for _ in more))
+        return join_sized(left.withColumn("_on", on), named, ["_on"]).drop("_on")
+
+    def _ranked(self, rows: DataFrame) -> DataFrame:
+        u = uniform(F.col("_id"), self.seed)
+        rank = (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p")))
+        rows = self._at(rows, self.plan, F.col("cls"))
+        rows = rows.withColumn("_rank", F.when((F.col("_p") > 0) & (F.col("_size") > 0), rank))
+        return rows.withColumn("_place", F.floor(F.col("_rank") / (1 + F.col("_rank")) * INTERVALS).cast("int"))
+
+    def copies(self, rows: DataFrame) -> DataFrame:
+        """rows, made by sized(), with words (of the source), target and copies. The tables are small, so rows aren't moved."""
+        rows = self._at(self._at(self._ranked(rows), self.ends), self.sources)
+        to = F.coalesce(F.struct("_rank", "_id", "_size", "_row") <= F.col("_to"), F.lit(False))
+        extra = F.col("_rank").isNotNull() & (F.col("cut").isNull() | (F.col("_place") < F.col("cut")) | ((F.col("_place") == F.col("cut")) & to))
+        return rows.withColumn("copies", (F.coalesce("_whole", F.lit(0)) + F.when(extra, 1).otherwise(0)).cast("int"))
+
+
+def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *keep: Column) -> DataFrame:
+    """_row, _id, _src, _size and _class of every row, and what else is to be kept."""
+    size = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
+    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), size.alias("_size"), *keep)
+    return rows.withColumn("_class", class_of(F.col("_size")))
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: list[float] = WEIGHTS, share: float = SHARE, seed: int = 17) -> DataFrame:
     """One row for each row of docs: id, size, source_size, target, copies (0 to 2), taken = copies * size.
 
@@ -59,57 +114,15 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     Null texts have size 0; null is a source of its own, the last. Repeated rows each count; equal ranks go by id and size, so
     reruns agree. A source without words has target 0. Other columns of docs are not looked at. Empty tables give an empty result.
     """
-    size = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0)))
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), size.cast("long").alias("_size"))
-    rows = durable(rows.withColumn("_class", class_of(F.col("_size"))))  # no texts from here
-    classes = rows.groupBy("_src", "_class").agg(F.sum("_size").alias("_words"))
-    sources = durable(targets(classes.groupBy(F.col("_src").alias("src")).agg(F.sum("_words").alias("words")), weights, share))
-    named = sources.select(F.col("src").alias("_s"), "words", "target")
-    parts = classes.join(named, F.col("_src").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_x", (1 + F.col("_class") / 8.0) * F.col("_words"))
-    parts = parts.withColumn("_cap", F.col("_words") * float(MOST)).withColumn("_key", F.col("_class"))
-    some = parts.filter("_words > 0")  # a class's words count, so its rate is in copies
-    some = capped_shares(some, ["_src"], F.col("target"), "_x", "_cap", "_share").withColumn("_copies", F.round(F.col("_share") / F.col("_words"), 12))
-    some = some.withColumn("_whole", F.floor("_copies").cast("int")).withColumn("_p", F.col("_copies") - F.floor("_copies"))
-    want = Window.partitionBy("_src")
-    some = some.withColumn("_want", F.sum(F.col("_p") * F.col("_words")).over(want))
-    plan = durable(some.select(F.col("_src").alias("src"), F.col("_class").alias("cls"), "words", "target", "_whole", "_p", "_want"))
-
-    def at(left: DataFrame, right: DataFrame, *more: Column) -> DataFrame:
-        """right has a row for each source and class, or each source."""
-        named = right.select(F.struct(F.col("src"), *more).alias("_on"), *(c for c in right.columns if c not in ("src", "cls")))
-        on = F.struct(F.col("_src").alias("src"), *(F.col("_class").alias("cls") for _ in more))
-        return join_sized(left.withColumn("_on", on), named, ["_on"]).drop("_on")
-
-    u = uniform(F.col("_id"), seed)
-    rank = (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p")))
-    rows = at(rows, plan, F.col("cls"))
-    rows = rows.withColumn("_rank", F.when((F.col("_p") > 0) & (F.col("_size") > 0), rank))
-    place = F.floor(F.col("_rank") / (1 + F.col("_rank")) * INTERVALS).cast("int")
-    rows = rows.withColumn("_place", place)
-    ranked = rows.filter("_rank is not null")
-    sums = ranked.groupBy("_src", "_place", "_want").agg(F.sum("_size").alias("_in"))
-    upto = Window.partitionBy("_src").orderBy("_place")
-    sums = sums.withColumn("_before", F.sum("_in").over(upto) - F.col("_in"))
-    cut = sums.filter("_before < _want and _before + _in >= _want").groupBy(F.col("_src").alias("src")).agg(F.min_by(F.struct(F.col("_place").alias("cut"), F.col("_before").alias("before")), "_place").alias("_c"))
-    cut = durable(cut.select("src", "_c.*"))
-    edge = at(ranked, cut).filter("_place = cut")  # a source's rows within one interval of ranks
-    mine = Window.partitionBy("_src").orderBy("_rank", "_id", "_size", "_row")
-    edge = edge.withColumn("_mid", F.col("before") + F.sum("_size").over(mine.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_size") / 2.0)
-    last = edge.filter("_mid <= _want").groupBy(F.col("_src").alias("src")).agg(F.max(F.struct("_rank", "_id", "_size", "_row")).alias("_to"))
-    ends = durable(cut.join(last.withColumnRenamed("src", "_s"), F.col("src").eqNullSafe(F.col("_s")), "left").drop("_s", "before"))
-    rows = at(rows, ends)
-    extra = F.col("_rank").isNotNull() & (
-        F.col("cut").isNull() | (F.col("_place") < F.col("cut")) | ((F.col("_place") == F.col("cut")) & F.coalesce(F.struct("_rank", "_id", "_size", "_row") <= F.col("_to"), F.lit(False)))
-    )
-    copies = F.coalesce("_whole", F.lit(0)) + F.when(extra, 1).otherwise(0)
-    rows = at(rows.drop("words", "target"), sources)
-    return rows.select(
+    rows = durable(sized(docs, id_col, text_col, source_col))  # no texts from here
+    found = Mix(rows, weights, share, seed).copies(rows)
+    return found.select(
         F.col("_id").alias(id_col),
         F.col("_size").alias("size"),
         F.col("words").cast("long").alias("source_size"),
         F.round("target", 6).alias("target"),
-        copies.cast("int").alias("copies"),
-        (copies * F.col("_size")).cast("long").alias("taken"),
+        "copies",
+        (F.col("copies") * F.col("_size")).cast("long").alias("taken"),
     )
 
 
@@ -122,7 +135,7 @@ QUERIES = {"op3_mix_sources": op3_mix_sources}
 _CAPPED = """
 {name}_r AS (SELECT *, ({total} - coalesce(sum(cap) OVER (PARTITION BY {by} ORDER BY cap / wt, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0e0))
   / sum(wt) OVER (PARTITION BY {by} ORDER BY cap / wt, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rate FROM {name}),
-{name}_s AS (SELECT *, min(CASE WHEN NOT (rate * wt >= cap) THEN rate END) OVER (PARTITION BY {by}) AS low FROM {name}_r),
+{name}_s AS (SELECT *, max(CASE WHEN NOT (rate * wt >= cap) THEN rate END) OVER (PARTITION BY {by}) AS low FROM {name}_r),
 {name}_t AS (SELECT *, CASE WHEN low IS NULL THEN cap ELSE least(cap, low * wt) END AS got FROM {name}_s)"""
 
 ORACLE_SQL = {
