@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -247,6 +248,19 @@ def score(docs: DataFrame, model: tuple[np.ndarray, dict[int, float], float], te
     return source.mapInArrow(batches, schema)
 
 
+def score_column(spark: SparkSession, model: tuple[np.ndarray, dict[int, float], float]):
+    """The score as a function of a text column, for plans that go on with the row."""
+    sent = spark.sparkContext.broadcast((model[0].astype(np.float32), *model[1:]))
+
+    @F.pandas_udf("double")
+    def scored(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scorer = Scorer(*sent.value)
+        for texts in it:
+            yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
+
+    return scored
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = score(docs, train(docs, table(spark, sf_dir, "labels")))
