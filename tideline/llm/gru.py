@@ -28,7 +28,7 @@ GROUPS = 6
 #: Words of the texts that are in memory at once, if one text has no more; a partition trains on this many at a time.
 CHUNK_WORDS = 1 << 21
 #: Words after which a partition's counts are sent on.
-COUNTED = 1 << 19
+COUNTED = 1 << 17
 SHAPES = 4
 SEED = 11
 #: Symbols of the spelling model: 0 between words, letters, digits, other ASCII, and eleven for bytes beyond.
@@ -268,36 +268,35 @@ def _letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ((s[at - 3] * SYMBOLS + s[at - 2]) * SYMBOLS + s[at - 1]) * SYMBOLS + s[at], flat[at], sizes
 
 
-def _chunks(texts: list[bytes | None]) -> Iterator[tuple[int, int, list[list[bytes]]]]:
-    at, words, total = 0, [], 0
+def _chunks(texts: list[bytes | None], v: Vocabulary) -> Iterator[tuple[int, int, list[np.ndarray], list[list[bytes]]]]:
+    """Of some texts at a time: their ids and the words that are spelled; no other words are held."""
+    at, ids, rare, total = 0, [], [], 0
     for i, t in enumerate(texts):
-        words.append(tokens(t))
-        total += len(words[-1])
+        words = tokens(t)
+        ids.append(v.ids(words))
+        rare.append([words[k] for k in np.flatnonzero(ids[-1] < 0).tolist()])
+        total += len(words)
         if total >= CHUNK_WORDS or i == len(texts) - 1:
-            yield at, i + 1, words
-            at, words, total = i + 1, [], 0
+            yield at, i + 1, ids, rare
+            at, ids, rare, total = i + 1, [], [], 0
 
 
 def count_words(docs: DataFrame, group: str) -> DataFrame:
     """(word, n, top): counts over all rows of (_text, _group), and the group in which a word is most frequent."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> pa.RecordBatch:
-            keys = list(total)
-            return pa.RecordBatch.from_arrays([pa.array([w.decode() for w, _ in keys]), pa.array([g for _, g in keys], pa.string()), pa.array(list(total.values()), pa.int64())], names=["word", "g", "n"])
-
-        total: Counter = Counter()
+        by: dict[str, Counter] = {}
         for b in it:
-            by: dict[str, Counter] = {}
             for text, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 by.setdefault(g, Counter()).update(tokens(text))
-            for g, c in by.items():
-                for w, n in c.items():
-                    total[w, g] += n
-            if len(total) > COUNTED:
-                yield out()
-                total = Counter()
-        yield out()
+                if len(by[g]) > COUNTED:
+                    yield from out(by)
+                    by = {}
+        yield from out(by)
+
+    def out(by: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        for g, c in by.items():
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()).cast(pa.string()), pa.array([g] * len(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "g", "n"])
 
     parts = docs.select("_text", group).mapInArrow(batches, "word string, g string, n long").groupBy("word", "g").agg(F.sum("n").alias("n"))
     return parts.groupBy("word").agg(F.sum("n").alias("n"), F.max_by("g", F.struct("n", "g")).alias("top"))
@@ -348,8 +347,8 @@ def train(docs: DataFrame, head: int = HEAD, least: int = LEAST) -> tuple[Vocabu
         trainer = Trainer(Gru(v.classes, bias=v.bias))
         held: list[np.ndarray] = []
         for b in it:
-            for _, _, chunk in _chunks(b.column(0).to_pylist()):
-                held += [np.append(v.classes_of(v.ids(ws)), v.end) for ws in chunk]
+            for _, _, ids, _ in _chunks(b.column(0).to_pylist(), v):
+                held += [np.append(v.classes_of(x), v.end) for x in ids]
                 if sum(map(len, held)) >= CHUNK_WORDS:
                     trainer.feed(np.concatenate(held))
                     held = []
@@ -386,8 +385,7 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Gru, DataFrame], id_col: str
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, g = sent.value
         for b in it:
-            for at, to, chunk in _chunks(b.column(2).to_pylist()):
-                ids = [v.ids(ws) for ws in chunk]
+            for at, to, ids, rare in _chunks(b.column(2).to_pylist(), v):
                 sizes = np.array([len(i) for i in ids], np.int64)
                 flat, of = np.concatenate(ids), np.repeat(np.arange(len(ids)), sizes)
                 inside = np.zeros(len(flat))
@@ -404,7 +402,7 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Gru, DataFrame], id_col: str
                 total = np.add.reduceat(lp, ends - sizes) + np.bincount(of, inside, minlength=len(sizes))
                 base = np.bincount(of[known], v.base[flat[known]], minlength=len(sizes)) if len(v.base) else np.zeros(len(sizes))
                 n_known = np.bincount(of[known], minlength=len(sizes))
-                tails = [Counter(w for w, k in zip(ws, i.tolist(), strict=True) if k < 0) for ws, i in zip(chunk, ids, strict=True)]
+                tails = [Counter(ws) for ws in rare]
                 letters = v.spelled([w for t in tails for w in t]).astype(np.float32)
                 cuts = np.cumsum([0, *map(len, tails)]).astype(np.int32)
                 columns = [
