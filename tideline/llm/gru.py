@@ -10,6 +10,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from tideline.llm.common import durable, table
 #: The most frequent words, which have a class and a share of it, and how often each must occur; all others are spelled.
 HEAD, LEAST = 200_000, 4
 #: Classes of frequent words, hidden units, lanes and steps of a training window, rate.
-CLASSES, HIDDEN, LANES, STEPS, RATE = 28, 12, 256, 16, 0.02
+CLASSES, HIDDEN, LANES, STEPS, RATE = 28, 10, 384, 16, 0.02
 #: Groups of documents (such as languages) whose words are classed apart; the rest count as one.
 GROUPS = 6
 #: Words of the texts that are in memory at once, if one text has no more; a partition trains on this many at a time.
@@ -136,7 +137,7 @@ class Trainer:
     def feed(self, stream: np.ndarray) -> float:
         """stream: classes of whole documents, each with its end. Returns nats a token."""
         gru, total = self.gru, 0.0
-        lanes = max(1, min(self.lanes, len(stream) // self.steps))
+        lanes = max(1, min(self.lanes, len(stream) // (64 * self.steps)))  # a short stream still makes 64 windows
         width = -(-len(stream) // lanes)
         # the last lane is filled up from the front, so that every token is learned from
         aim = np.resize(stream, lanes * width).reshape(lanes, width).T
@@ -242,8 +243,10 @@ class Vocabulary:
 
     def ids(self, words: list[bytes]) -> np.ndarray:
         """Place in the head, or -1 less the shape."""
-        get, known = self.index.get, {}
-        return np.array([i if (i := get(w)) is not None else known[w] if w in known else known.setdefault(w, -1 - shape(w)) for w in words], np.int32)
+        out = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
+        rare = np.flatnonzero(out < 0)
+        out[rare] = [-1 - shape(words[k]) for k in rare.tolist()]
+        return out
 
     def classes_of(self, ids: np.ndarray) -> np.ndarray:
         if not len(self.word_class):
