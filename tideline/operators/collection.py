@@ -29,8 +29,8 @@ def bin_of(epoch: Column, start: int = START, interval: int = INTERVAL) -> Colum
 class Collection:
     """Plans over documents(doc_id, text). Nothing is computed until a result is asked for.
 
-    Only the tokens that a plan needs are shuffled: retrieval keeps the topics' terms, feedback the documents found. What is persisted
-    is bounded by the topics (at most NUM_RESULTS documents each) and not by the collection; equal plans of a session share it.
+    The postings are the index: they are persisted, and equal plans of a session share them. What else is persisted is narrow (a row for
+    each document) or bounded by the topics (at most NUM_RESULTS documents each).
     """
 
     spark: SparkSession
@@ -39,16 +39,31 @@ class Collection:
     mu: float = 2500.0
 
     @cached_property
-    def docs(self) -> DataFrame:
+    def tokenised(self) -> DataFrame:
         """doc_id, epoch, bin, len, toks"""
-        d = table(self.spark, self.sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("toks"))
+        d = table(self.spark, self.sf_dir, "documents").select("doc_id", "text")
+        threads = self.spark.sparkContext.defaultParallelism
+        if d.rdd.getNumPartitions() < min(threads, 32):  # a table of a few files: spread before it is tokenised
+            d = d.repartition(threads)
+        d = d.select("doc_id", tokens(F.col("text")).alias("toks"))
         epoch = F.lit(START) + (F.col("doc_id") * 7919 * 3600) % (BINS * INTERVAL)
         return d.withColumn("epoch", epoch.cast("long")).withColumn("bin", bin_of(F.col("epoch")).cast("int")).withColumn("len", F.size("toks").cast("double")).filter(F.col("bin").between(0, BINS - 1))
 
+    @cached_property
+    def docs(self) -> DataFrame:
+        """doc_id, epoch, bin, len"""
+        return self.tokenised.select("doc_id", "epoch", "bin", "len").persist()
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        """doc_id, bin, epoch, len, term, tf: the collection's index, counted map-side first; built once for a session and spilled to disk as needed."""
+        each = self.tokenised.select("doc_id", "bin", "epoch", "len", F.explode("toks").alias("term"))
+        return each.groupBy("doc_id", "bin", "epoch", "len", "term").agg(F.count("*").cast("double").alias("tf")).persist()
+
     @cached_property
     def query_terms(self) -> DataFrame:
-        rows = [(q, t, 1.0) for q, ts in self.topics.items() for t in ts]
-        return self.spark.createDataFrame(rows, "query_id string, term string, qw double")
+        rows = ", ".join("('{}', '{}', 1D)".format(q.replace("'", "\\'"), t.replace("'", "\\'")) for q, ts in self.topics.items() for t in ts)
+        return self.spark.sql(f"SELECT * FROM VALUES {rows} AS t(query_id, term, qw)")
 
     @cached_property
     def totals(self) -> DataFrame:
@@ -63,10 +78,7 @@ class Collection:
 
     def occurrences(self, terms: DataFrame | None = None) -> DataFrame:
         """doc_id, bin, len, term, tf; only of the given terms, which are few"""
-        each = self.docs.select("doc_id", "bin", "epoch", "len", F.explode("toks").alias("term"))
-        if terms is not None:
-            each = each.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
-        return each.groupBy("doc_id", "bin", "epoch", "len", "term").agg(F.count("*").cast("double").alias("tf"))
+        return self.postings if terms is None else self.postings.join(F.broadcast(terms.select("term").distinct()), "term", "left_semi")
 
     def term_stats(self, terms: DataFrame | None = None) -> DataFrame:
         """term, cf, df, xs (tokens by bin), cp and the totals"""
@@ -91,8 +103,9 @@ class Collection:
     def hit_tokens(self) -> DataFrame:
         """query_id, doc_id, bin, epoch, len, ql, rank, e, term, tf: the whole vectors of the hits; e: exp(ql) over the query's highest"""
         top = self.hits.withColumn("e", F.exp(F.col("ql") - F.max("ql").over(Window.partitionBy("query_id"))))
-        each = top.join(self.docs.select("doc_id", "toks"), "doc_id").select("query_id", "doc_id", "bin", "epoch", "len", "ql", "rank", "e", F.explode("toks").alias("term"))
-        return each.groupBy("query_id", "doc_id", "bin", "epoch", "len", "ql", "rank", "e", "term").agg(F.count("*").cast("double").alias("tf")).persist()
+        top = F.broadcast(top.select("query_id", "doc_id", "ql", "rank", "e"))  # as many rows as topics have hits
+        each = self.postings.join(top, "doc_id")
+        return each.select("query_id", "doc_id", "bin", "epoch", "len", "ql", "rank", "e", "term", "tf").persist()
 
     def matrix(self, weights: DataFrame | None = None) -> DataFrame:
         """A row for each hit and term of weights(query_id, term, qw): tf, cp, cf, df, xs, ts and total of the hit's bin, qlen"""

@@ -114,7 +114,7 @@ def document_bins(c: Collection) -> DataFrame:
     Only bins that hold one of the document's terms are joined; the others differ by their length alone.
     """
     found = c.hits.select("doc_id").distinct()
-    terms = c.docs.join(found, "doc_id", "left_semi").select("doc_id", "bin", "len", F.explode("toks").alias("term")).groupBy("doc_id", "bin", "len", "term").agg(F.count("*").cast("double").alias("tf"))
+    terms = c.postings.join(found, "doc_id", "left_semi")
     counts = c.occurrences().groupBy("term", "bin").agg(F.sum("tf").alias("ts")).select("term", F.col("bin").alias("b"), "ts")
     own = F.col("b") == F.col("bin")
     gain = terms.join(counts, "term").groupBy("doc_id", "bin", "len", "b").agg(F.sum(F.col("tf") * F.ln(F.col("ts") + 1 - F.when(own, F.col("tf")).otherwise(0.0))).alias("gain"))
