@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tideline.plans import evaluation, ranking, timeseries
+from tideline.plans import evaluation, models, ranking, timeseries
 
-MODULES = [ranking, timeseries, evaluation]
+MODULES = [ranking, timeseries, evaluation, models]
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
