@@ -5,7 +5,7 @@ from tideline.functions import numeric as N
 
 
 def test_density_sums_to_one_and_finds_modes():
-    x = np.array([0.0] * 20 + [10.0] * 20) + np.linspace(-0.5, 0.5, 40)
+    x = np.array([0.0] * 25 + [10.0] * 15) + np.linspace(-0.5, 0.5, 40)
     grid, y = N.density(x, h=0.5)
     assert np.trapezoid(y, grid) == pytest.approx(1, abs=0.02)
     top, low = N.extrema(y)
