@@ -25,6 +25,8 @@ WILD = "*#"
 LEET_COST, REPEAT_COST, GAP_COST, WILD_COST = -1.5, -1.0, -0.5, -4.0
 #: Labelled rows, in the order of a hash of their id, on which the linear model is fitted, and how many features it may have.
 SAMPLE, FEATURES = 12_000, 1_500
+#: Standard deviations by which a feature's toxic texts differ from what their share in the sample gives.
+LEAST_Z = 3.0
 #: Tokens whose features a worker remembers.
 REMEMBER = 300_000
 
@@ -224,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share = toxic / n
     told = rows.select("_y", F.explode("f").alias("f")).groupBy("f").agg(F.count("*").alias("n"), F.sum("_y").alias("k"))
     z = F.abs(F.col("k") - F.col("n") * share) / F.sqrt(F.col("n") * share * (1 - share))
-    best = [r[0] for r in told.filter("n >= 3").orderBy(z.desc(), "f").limit(features).select("f").collect()]
+    best = [r[0] for r in told.filter("n >= 3").filter(z >= LEAST_Z).orderBy(z.desc(), "f").limit(features).select("f").collect()]
     place = {f: i for i, f in enumerate(best)}
     kept = F.array_intersect("f", F.lit(best).cast("array<bigint>")) if best else F.array().cast("array<bigint>")
     given = sorted((y, sorted(place[f] for f in fs)) for y, fs in rows.select("_y", kept).collect())
