@@ -13,7 +13,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import lines, mixing, pieces, simhash, toxicity
+from tideline.llm import lines, mixing, pieces, similar, toxicity
 from tideline.llm.common import durable, table, text_hash
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -34,13 +34,13 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays, that of the smallest doc_id (then of the smallest hash of its text).
+    """One document of each group of linked texts stays, that of the smallest doc_id (then of the smallest hash of its text).
 
-    Fingerprints and links are those of the operator's contract: three words, three bits. Texts without words form one group.
-    Rows with the same doc_id and text count as one document.
+    Texts link when they share at least 0.8 of their five-word shingles, which is verified on the whole sets. Texts without words form
+    one group. Rows with the same doc_id and text count as one document.
     """
     docs = docs.select(*COLUMNS).withColumn("_key", F.struct("doc_id", text_hash(F.col("text")).alias("h")))
-    found = simhash.near_duplicates(docs, id_col="_key")
+    found = similar.near_duplicates(docs, id_col="_key")
     stay = found.filter("_key <=> component_id").select("_key").distinct()
     return docs.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
 
