@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from tideline.llm import lines, mixing, pieces, similar, toxicity
 from tideline.llm.common import durable, table, text_hash
 
+#: A line goes if it stands in more than LINE_RATIO of a source's documents, and in at least LINE_LEAST different texts. Sources hold far
+#: more than hosts do, so that the ratio is far below that of hosts.
+LINE_RATIO, LINE_LEAST = 0.001, 5
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -27,8 +30,11 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines on more than a tenth of a source's documents go; every document stays. n_chars is that of the text that is left."""
-    kept = lines.drop_boilerplate(docs, F.col("text"), F.col("source"), ("doc_id", "lang", "source", "n_chars"))
+    """Lines in more than a thousandth of a source's documents, and five different texts at least, go; every document stays.
+
+    Copies of a whole text count once, so that they are left to the next stage. n_chars is that of the text that is left.
+    """
+    kept = lines.drop_boilerplate(docs, F.col("text"), F.col("source"), ("doc_id", "lang", "source", "n_chars"), LINE_RATIO, LINE_LEAST, copies=False)
     n = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)
     return kept.withColumn("n_chars", n).select(*COLUMNS)
 

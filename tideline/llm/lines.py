@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import durable, join_sized, table
+from tideline.llm.common import durable, join_sized, table, text_hash
 from tideline.llm.urls import split_url
 
 #: A line goes if it stands on more than RATIO of its site's pages, and on at least LEAST of them.
@@ -30,14 +30,17 @@ def _hash(line: Column) -> Column:
     return F.xxhash64(F.btrim(line, F.lit(" \t\r")))
 
 
-def boilerplate(rows: DataFrame, ratio: float = RATIO, least: int = LEAST) -> DataFrame:
-    """(site, bad array<long>, n) from (site, text): hashes of a site's boilerplate lines.
+def boilerplate(rows: DataFrame, ratio: float = RATIO, least: int = LEAST, copies: bool = True) -> DataFrame:
+    """(site, bad array<long>, n) from (site, text): hashes of a site's boilerplate lines. Without `copies`, rows of the same text count once for a line.
 
     A site's pages have L different lines on average, so that fewer than L / ratio of them can stand on more than that ratio of its
     pages: the array is bounded, however large the site. Counting is a partial aggregate on (site, line).
     """
     each = F.array_distinct(F.transform(F.filter(_lines(F.col("_text")), lambda x: F.btrim(x, F.lit(" \t\r")) != ""), _hash))
-    held = rows.select("_site", F.explode(each).alias("line")).groupBy("_site", "line").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least)
+    held = rows.select("_site", text_hash(F.col("_text")).alias("_t"), F.explode(each).alias("line"))
+    if not copies:
+        held = held.distinct()
+    held = held.groupBy("_site", "line").agg(F.count("*").alias("pages")).filter(F.col("pages") >= least)
     total = rows.groupBy("_site").agg(F.count("*").alias("total"))
     return held.join(total, "_site").filter(F.col("pages") > ratio * F.col("total")).groupBy("_site").agg(F.collect_list("line").alias("bad"))
 
@@ -47,15 +50,15 @@ def site_key(site: Column) -> Column:
     return F.when(site.isNull(), "null").otherwise(F.concat(F.lit("="), site.cast("string")))
 
 
-def drop_boilerplate(docs: DataFrame, text: Column, site: Column, keep: tuple[str, ...], ratio: float = RATIO, least: int = LEAST) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, text: Column, site: Column, keep: tuple[str, ...], ratio: float = RATIO, least: int = LEAST, copies: bool = True) -> DataFrame:
     """(*keep, text, n_lines, n_dropped) of every row of docs: text without its site's boilerplate lines, joined by line ends again.
 
     A line counts once for a page, compared without white space at its ends; empty lines are never boilerplate. Null texts stay null.
-    Rows of which every line goes stay, with an empty text. Repeated rows each count as a page. Sites with fewer than `least` pages
+    Rows of which every line goes stay, with an empty text. Repeated rows each count as a page, and rows of the same text too unless `copies` is false. Sites with fewer than `least` pages
     lose nothing. `keep` are columns of docs; others, whatever their names, are not looked at.
     """
     rows = docs.select(*(F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)), text.alias("_text"), site_key(site).alias("_site"))
-    bad = durable(boilerplate(rows.filter("_text is not null"), ratio, least))
+    bad = durable(boilerplate(rows.filter("_text is not null"), ratio, least, copies))
     rows = join_sized(rows, bad, ["_site"], size=F.length("_site") + 8 * F.size("bad") + 16)
     lines = _lines(F.col("_text"))
     rows = rows.withColumn("_kept", F.when(F.col("bad").isNull(), lines).otherwise(F.filter(lines, lambda x: ~F.array_contains("bad", _hash(x)))))
