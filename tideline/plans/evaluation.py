@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.operators import feedback as FB
@@ -15,30 +15,37 @@ from tideline.session import table
 QUERIES, ORACLE_SQL = {}, {}
 
 
-def judged(run: DataFrame, qrels: DataFrame) -> DataFrame:
-    """run with rel (0 where not judged) and the number of relevant documents of the query."""
-    relevant = qrels.filter("rel > 0").groupBy("query_id").agg(F.count("*").cast("double").alias("n_rel"))
-    return run.join(qrels, ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0))).join(F.broadcast(relevant), "query_id", "left").withColumn("n_rel", F.coalesce("n_rel", F.lit(0.0)))
+CUT = 20
 
 
-def measures(run: DataFrame, by: tuple[str, ...] = ("query_id",), cut: int = 20) -> DataFrame:
-    """map, ndcg, p_5, p_10, p_20 and p_legacy (the first 10, of 11) for each group of a judged run."""
+def _gain(at: Column) -> Column:
+    return (F.pow(F.lit(2.0), F.col("rel").cast("double")) - 1) / F.ln(at + 1)
+
+
+def judged(run: DataFrame, qrels: DataFrame, cut: int = CUT) -> DataFrame:
+    """run with rel (0 where not judged), the number of relevant documents of the query and the gain of its best `cut` judgements, whether retrieved or not."""
+    best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rel"), "doc_id"))
+    relevant = qrels.filter("rel > 0").withColumn("best", best).groupBy("query_id").agg(F.count("*").cast("double").alias("n_rel"), F.sum(F.when(F.col("best") <= cut, _gain(F.col("best")))).alias("ideal"))
+    run = run.join(qrels, ["query_id", "doc_id"], "left").withColumn("rel", F.coalesce("rel", F.lit(0)))
+    return run.join(F.broadcast(relevant), "query_id", "left").withColumns({"n_rel": F.coalesce("n_rel", F.lit(0.0)), "ideal": F.coalesce("ideal", F.lit(0.0))})
+
+
+def measures(run: DataFrame, by: tuple[str, ...] = ("query_id",), cut: int = CUT) -> DataFrame:
+    """map, ndcg, p_5, p_10, p_20 and p_legacy (the first 10, of 11) for each group of a judged run, of the same cut."""
     w = Window.partitionBy(*by).orderBy("rank")
     run = run.withColumn("hit", (F.col("rel") > 0).cast("double")).withColumn("prec", F.sum("hit").over(w) / F.col("rank"))
-    ideal = w.orderBy(F.desc("rel"), "rank")
-    run = run.withColumn("best", F.row_number().over(ideal))
-    gain = lambda at: (F.pow(F.lit(2.0), F.col("rel").cast("double")) - 1) / F.ln(at + 1)
     return run.groupBy(*by).agg(
         F.coalesce(F.sum(F.col("hit") * F.col("prec")) / F.nullif(F.max("n_rel"), F.lit(0.0)), F.lit(0.0)).alias("map"),
-        F.coalesce(F.sum(F.when(F.col("rank") <= cut, gain(F.col("rank")))) / F.nullif(F.sum(F.when(F.col("best") <= cut, gain(F.col("best")))), F.lit(0.0)), F.lit(0.0)).alias("ndcg"),
+        F.coalesce(F.sum(F.when(F.col("rank") <= cut, _gain(F.col("rank")))) / F.nullif(F.max("ideal"), F.lit(0.0)), F.lit(0.0)).alias("ndcg"),
         *((F.sum(F.when(F.col("rank") <= k, F.col("hit")).otherwise(0.0)) / k).alias(f"p_{k}") for k in (5, 10, 20)),
         (F.sum(F.when(F.col("rank") <= 10, F.col("hit")).otherwise(0.0)) / F.when(F.count("*") >= 11, 11).otherwise(F.count("*") + 1)).alias("p_legacy"),
     )
 
 
 def qrels(c: Collection) -> DataFrame:
-    """query_id, doc_id, rel: quality labels of the documents that hold a term of the topic."""
-    found = c.hits.select("query_id", "doc_id")
+    """query_id, doc_id, rel: quality labels of all documents that hold a term of the topic, of whatever rank."""
+    terms = F.broadcast(c.query_terms.select("query_id", "term"))
+    found = c.occurrences(c.query_terms).join(terms, "term").select("query_id", "doc_id").distinct()
     return found.join(table(c.spark, c.sf_dir, "labels").select("doc_id", F.col("quality").alias("rel")), "doc_id")
 
 
