@@ -75,32 +75,67 @@ def pad(data: bytes, unit: int = UNIT) -> bytes:
     return data + b"\xff" * (max(unit, -(-len(data) // unit) * unit) - len(data))
 
 
-def store(payload: bytes, rate: int = RATE) -> bytes:
-    """A WAVE file of 8-bit mu-law samples, mono."""
-    fmt = struct.pack("<4sIHHIIHHH", b"fmt ", 18, 7, 1, rate, rate, 1, 8, 0)
-    fact = struct.pack("<4sII", b"fact", 4, len(payload))
+#: WAVE formats.
+A_LAW_FORMAT, MU_LAW_FORMAT, ADPCM_FORMAT = 6, 7, 17
+
+
+def store(payload: bytes, rate: int = RATE, law: int = MU_LAW_FORMAT) -> bytes:
+    """A WAVE file, mono: 8-bit mu-law or A-law samples, or blocks of IMA ADPCM."""
+    if law == ADPCM_FORMAT:
+        n = 1 + 2 * (BLOCK - 4)
+        fmt = struct.pack("<4sIHHIIHHHH", b"fmt ", 20, law, 1, rate, rate * BLOCK // n, BLOCK, 4, 2, n)
+        fact = struct.pack("<4sII", b"fact", 4, n * (len(payload) // BLOCK))
+    else:
+        fmt = struct.pack("<4sIHHIIHHH", b"fmt ", 18, law, 1, rate, rate, 1, 8, 0)
+        fact = struct.pack("<4sII", b"fact", 4, len(payload))
     body = b"WAVE" + fmt + fact + struct.pack("<4sI", b"data", len(payload)) + payload + b"\0" * (len(payload) % 2)
     return struct.pack("<4sI", b"RIFF", len(body)) + body
 
 
-def load(media: bytes) -> bytes:
-    """The samples of such a file; chunks of other kinds are passed over."""
+def contents(media: bytes) -> tuple[int, int, bytes]:
+    """Format, bytes of a block and payload of such a file; chunks of other kinds are passed over."""
     kind, _, form = struct.unpack_from("<4sI4s", media)
     if (kind, form) != (b"RIFF", b"WAVE"):
         raise ValueError("not a WAVE file")
-    at, law = 12, None
+    at, law, block = 12, None, 1
     while at + 8 <= len(media):
         name, size = struct.unpack_from("<4sI", media, at)
         if name == b"fmt ":
-            law = struct.unpack_from("<H", media, at + 8)[0]
+            law, _, _, _, block = struct.unpack_from("<HHIIH", media, at + 8)
         if name == b"data":
-            if law != 7:
-                raise ValueError(f"format {law} is not mu-law")
-            return media[at + 8 : at + 8 + size]
+            if law not in (A_LAW_FORMAT, MU_LAW_FORMAT, ADPCM_FORMAT):
+                raise ValueError(f"format {law} is none of A-law, mu-law and ADPCM")
+            return law, block, media[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
     raise ValueError("no samples")
 
 
+def load(media: bytes) -> bytes:
+    """The payload of such a file."""
+    return contents(media)[2]
+
+
+def samples(media: bytes) -> np.ndarray:
+    """The 16-bit samples of such a file, mono, of any of the three formats; a last block of ADPCM may be short."""
+    law, block, payload = contents(media)
+    data = np.frombuffer(payload, np.uint8)
+    if law != ADPCM_FORMAT:
+        return (MU_LAW if law == MU_LAW_FORMAT else A_LAW)[data]
+    rest = len(data) % block
+    cut = block - max(rest, 4) if rest >= 4 else 0  # bytes that a short last block lacks
+    data = np.append(data, np.zeros(cut, np.uint8)) if cut else data[: len(data) - rest]
+    step = max(CHUNK // block, 1) * block
+    parts = [decode_adpcm(data[k : k + step], block).ravel() for k in range(0, len(data), step)]
+    out = np.concatenate(parts) if parts else np.empty(0, np.int16)
+    return out[: len(out) - 2 * cut]
+
+
+def expand(media: bytes) -> np.ndarray:
+    """The samples of such a file at twice the rate."""
+    s = samples(media)
+    return resample(s, np.array([len(s)])) if len(s) else s
+
+
 def resample(samples: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Twice the rate by linear interpolation; lengths: of the recordings that lie one after another, whose ends aren't mixed."""
     wide = samples.astype(np.int32)
@@ -133,15 +168,15 @@ def decode(payloads: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         at = to
 
 
-def telephony(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_bytes, media, pcm): the UTF-8 text padded and stored as a mu-law WAVE file, and its samples at twice the rate, 16-bit little-endian.
+def telephony(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", law: int = MU_LAW_FORMAT) -> DataFrame:
+    """(id, n_bytes, media, pcm): the UTF-8 text padded and stored as a WAVE file of the format `law`, and its samples at twice the rate, 16-bit little-endian.
 
     Null and empty texts give one unit of padding. Equal texts give equal bytes; repeated rows each get a row.
     """
 
     def made(texts: list[bytes | None]) -> list[list]:
-        media = [store(pad(t or b"")) for t in texts]
-        pcm = [p.astype("<i2").tobytes() for p, *_ in decode([load(m) for m in media])]
+        media = [store(pad(t or b""), law=law) for t in texts]
+        pcm = [expand(m).astype("<i2").tobytes() for m in media]
         return [[len(t or b"") for t in texts], media, pcm]
 
     return _map(docs, id_col, text_col, [("n_bytes", T.LongType()), ("media", T.BinaryType()), ("pcm", T.BinaryType())], made)
