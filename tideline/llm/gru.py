@@ -1,8 +1,12 @@
-"""LM scoring: a gated recurrent language model over word classes, trained by truncated backpropagation in numpy.
+"""LM scoring: a gated recurrent language model with a class-factored softmax, trained by truncated backpropagation in numpy.
 
-Every training document takes part: its words are counted, and each partition trains the recurrent part on its own documents from the
-same start; the partitions' parameters are then averaged by their tokens. Only counts of the most frequent words, at most HEAD of
-them, and sums of a fixed size reach the driver.
+P(word) = P(class | state) P(cell | class, state) P(word | cell): frequent words have a class and, in it, one of a few cells, both
+by a softmax from the state; the most frequent words are cells of their own, others share one by their counts. Words that aren't frequent are
+spelled: a class for each group of documents, then counts mixed with a letter model of the group.
+
+Every training document takes part: its words are counted, and each partition trains the recurrent part on its own documents; the
+partitions' parameters are averaged by their tokens after each of ROUNDS. Only counts of the most frequent words, at most HEAD of
+them, and tables of a fixed size reach the driver.
 """
 
 from __future__ import annotations
@@ -20,34 +24,33 @@ from pyspark.sql import types as T
 
 from tideline.llm.common import durable, table
 
-#: The most frequent words, which have a class and a share of it, and how often each must occur; all others are spelled.
+#: The most frequent words, which have a class, a cell and a share of it, and how often each must occur; all others are spelled.
 HEAD, LEAST = 200_000, 4
-#: Classes of frequent words, hidden units, lanes and steps of a training window, rate.
-CLASSES, HIDDEN, LANES, STEPS, RATE = 28, 12, 256, 16, 0.02
-#: Groups of documents (such as languages) whose words are classed apart; the rest count as one.
+#: Classes of frequent words and cells of a class, hidden units, lanes and steps of a training window, rate.
+CLASSES, CELLS, HIDDEN, LANES, STEPS, RATE = 28, 16, 12, 256, 16, 0.02
+#: Windows that a stream makes at least: a short one is cut into fewer lanes.
+WINDOWS = 400
+#: Parts of the documents, by hash of the text, after each of which the partitions' parameters are averaged.
+ROUNDS = 2
+#: Groups of documents (such as languages) whose words are classed and spelled apart; the rest count as one.
 GROUPS = 6
 #: Words of the texts that are in memory at once, if one text has no more; a partition trains on this many at a time.
 CHUNK_WORDS = 1 << 21
 #: Words after which a partition's counts are sent on.
 COUNTED = 1 << 17
-SHAPES = 4
 SEED = 11
-#: Symbols of the spelling model: 0 between words, letters, digits, other ASCII, and eleven for bytes beyond.
-SYMBOLS = 40
-SYMBOL = bytes(0 if b == 0 else b - 96 if 97 <= b <= 122 else 27 if 48 <= b <= 57 else 28 if b < 128 else 29 + (b & 63) % 11 for b in range(256))
+#: Symbols of the spelling model: 0 between words, letters, digits, other ASCII, first bytes beyond, and six for the bytes after.
+SYMBOLS = 36
+SYMBOL = bytes(0 if b == 0 else b - 96 if 97 <= b <= 122 else 27 if 48 <= b <= 57 else 28 if b < 128 else 29 if b >= 0xC0 else 30 + b % 6 for b in range(256))
+GRAMS = SYMBOLS**4
+#: Scoring holds weights and states in steps of 1 / GRID, so that products and sums are exact whatever their order; the curves are tables.
+GRID, REACH, FINE = 1 << 14, 8, 1 << 10
 
 
 def tokens(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
-def shape(word: bytes) -> int:
-    """Kinds of spelled words: letters; letters and a sign at the end; with letters beyond ASCII; others."""
-    if word.isascii():
-        return 0 if word.isalpha() else 1 if word[:-1].isalpha() else 3
-    return 2
-
-
 # --- the recurrent part ---------------------------------------------------------
 
 
@@ -55,15 +58,28 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _log_softmax(x: np.ndarray) -> np.ndarray:
+    x = x - x.max(1, keepdims=True)
+    return x - np.log(np.exp(x).sum(1, keepdims=True))
+
+
 class Gru:
-    """P(class | classes before). The last class ends a document; after it the state is empty."""
+    """P(symbol | symbols before), a symbol being a cell of a class. The last symbol ends a document; after it the state is empty.
 
-    def __init__(self, classes: int, hidden: int = HIDDEN, bias: np.ndarray | None = None, seed: int = SEED) -> None:
+    class_of, slot_of: of each symbol; the first `split` classes have several cells. By default each symbol is a class.
+    """
+
+    def __init__(self, symbols: int, hidden: int = HIDDEN, class_of: np.ndarray | None = None, slot_of: np.ndarray | None = None, split: int = 0, bias: np.ndarray | None = None, inner: np.ndarray | None = None, seed: int = SEED) -> None:
+        """bias: of the classes; inner: of the cells of the first classes."""
         rng = np.random.default_rng(seed)
         draw = lambda *s: (rng.standard_normal(s) * 0.15).astype(np.float32)
+        self.class_of = np.arange(symbols) if class_of is None else class_of
+        self.slot_of = np.zeros(symbols, np.int64) if slot_of is None else slot_of
+        self.split, self.symbols, self.hidden = split, symbols, hidden
+        classes = int(self.class_of.max()) + 1
         bias = np.zeros(classes) if bias is None else bias
-        self.p = [draw(classes, 3 * hidden), draw(hidden, 3 * hidden), np.zeros(3 * hidden, np.float32), draw(hidden, classes), bias.astype(np.float32)]
-        self.classes, self.hidden = classes, hidden
+        inner = np.zeros((split, CELLS)) if inner is None else inner
+        self.p = [draw(symbols, 3 * hidden), draw(hidden, 3 * hidden), np.zeros(3 * hidden, np.float32), draw(hidden, classes), bias.astype(np.float32), draw(split, hidden, inner.shape[1]) * 0.3, inner.astype(np.float32)]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.p])
@@ -84,15 +100,31 @@ class Gru:
         new = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
         return new + z * (h - new), r, z, new, g[:, 2 * n :]
 
-    def log_probs(self, h: np.ndarray) -> np.ndarray:
-        logits = h @ self.p[3] + self.p[4]
-        logits -= logits.max(1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(1, keepdims=True))
+    def cells(self, h: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of the rows whose class has cells: their places, sorted by class; where each class starts; log probabilities of its cells."""
+        order = np.argsort(cls, kind="stable")
+        order = order[: np.searchsorted(cls[order], self.split)]
+        starts = np.searchsorted(cls[order], np.arange(self.split + 1))
+        x, w = h[order], self.p[5]
+        logits = np.empty((len(order), w.shape[2]), x.dtype)
+        for k, (s, e) in enumerate(zip(starts, starts[1:], strict=False)):
+            if s < e:
+                np.matmul(x[s:e], w[k], out=logits[s:e])
+        return order, starts, _log_softmax(logits + self.p[6][cls[order]])
+
+    def log_probs(self, h: np.ndarray, aim: np.ndarray) -> np.ndarray:
+        """Of each row's symbol."""
+        cls = self.class_of[aim]
+        out = _log_softmax(h @ self.p[3] + self.p[4])[np.arange(len(aim)), cls]
+        if self.split:
+            order, _, lp = self.cells(h, cls)
+            out[order] += lp[np.arange(len(order)), self.slot_of[aim[order]]]
+        return out
 
     def window(self, prev: np.ndarray, target: np.ndarray, h: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray]:
         """Over (steps, lanes): loss summed in nats, gradients of its mean, and the state to go on with; nothing is propagated beyond the window."""
         steps, lanes = prev.shape
-        n, end = self.hidden, self.classes - 1
+        n, end = self.hidden, self.symbols - 1
         kept, hs, befores = [], np.empty((steps, lanes, n), np.float32), np.empty((steps, lanes, n), np.float32)
         keep = (prev != end)[:, :, None].astype(np.float32)
         for t in range(steps):
@@ -102,13 +134,28 @@ class Gru:
             hs[t] = h
             kept.append((r, z, new, gn))
         flat, aim = hs.reshape(-1, n), target.ravel()
-        lp = self.log_probs(flat)
-        at = np.arange(len(aim))
-        loss = -float(lp[at, aim].sum())
+        cls, at = self.class_of[aim], np.arange(len(aim))
+        lp = _log_softmax(flat @ self.p[3] + self.p[4])
+        loss = -float(lp[at, cls].sum())
         d = np.exp(lp)
-        d[at, aim] -= 1
+        d[at, cls] -= 1
         d /= len(aim)
-        dhs = (d @ self.p[3].T).reshape(steps, lanes, n)
+        dflat = d @ self.p[3].T
+        d_in, d_out = np.zeros_like(self.p[5]), np.zeros_like(self.p[6])
+        if self.split:
+            order, starts, lp = self.cells(flat, cls)
+            own = np.arange(len(order)), self.slot_of[aim[order]]
+            loss -= float(lp[own].sum())
+            e = np.exp(lp)
+            e[own] -= 1
+            e /= len(aim)
+            x, back = flat[order], np.empty((len(order), n), e.dtype)
+            for k, (s, t) in enumerate(zip(starts, starts[1:], strict=False)):
+                if s < t:
+                    d_in[k], d_out[k] = x[s:t].T @ e[s:t], e[s:t].sum(0)
+                    np.matmul(e[s:t], self.p[5][k].T, out=back[s:t])
+            dflat[order] += back
+        dhs = dflat.reshape(steps, lanes, n)
         da, dg = np.empty((steps, lanes, 3 * n), np.float32), np.empty((steps, lanes, 3 * n), np.float32)
         dh = np.zeros((lanes, n), np.float32)
         ut = self.p[1].T.copy()
@@ -122,32 +169,35 @@ class Gru:
             dg[t, :, 2 * n :] = dn * r
             dh = (dh * z + dg[t] @ ut) * keep[t]
         da, dg = da.reshape(-1, 3 * n), dg.reshape(-1, 3 * n)
-        one = np.zeros((len(aim), self.classes), np.float32)
-        one[at, prev.ravel()] = 1
-        return loss, [one.T @ da, befores.reshape(-1, n).T @ dg, da.sum(0), flat.T @ d, d.sum(0)], h
+        order = np.argsort(prev.ravel(), kind="stable")
+        seen, first = np.unique(prev.ravel()[order], return_index=True)
+        d_wx = np.zeros_like(self.p[0])
+        d_wx[seen] = np.add.reduceat(da[order], first)
+        return loss, [d_wx, befores.reshape(-1, n).T @ dg, da.sum(0), flat.T @ d, d.sum(0), d_in, d_out], h
 
 
 class Trainer:
-    """Adam over the windows of a stream of classes, cut into lanes that go on from window to window."""
+    """Adam over the windows of a stream of symbols, cut into lanes that go on from window to window."""
 
-    def __init__(self, gru: Gru, lanes: int = LANES, steps: int = STEPS, rate: float = RATE) -> None:
-        self.gru, self.lanes, self.steps, self.rate = gru, lanes, steps, rate
+    def __init__(self, gru: Gru, lanes: int = LANES, steps: int = STEPS, rate: float = RATE, before: int = 0) -> None:
+        """before: windows of earlier rounds, for the falling rate."""
+        self.gru, self.lanes, self.steps, self.rate, self.before = gru, lanes, steps, rate, before
         self.m, self.v, self.k, self.seen = [np.zeros_like(p) for p in gru.p], [np.zeros_like(p) for p in gru.p], 0, 0
 
     def feed(self, stream: np.ndarray) -> float:
-        """stream: classes of whole documents, each with its end. Returns nats a token."""
+        """stream: symbols of whole documents, each with its end. Returns nats a token."""
         gru, total = self.gru, 0.0
-        lanes = max(1, min(self.lanes, len(stream) // (64 * self.steps)))  # a short stream still makes 64 windows
+        lanes = max(1, min(self.lanes, len(stream) // (WINDOWS * self.steps)))
         width = -(-len(stream) // lanes)
         # the last lane is filled up from the front, so that every token is learned from
         aim = np.resize(stream, lanes * width).reshape(lanes, width).T
-        before = np.concatenate(([gru.classes - 1], np.resize(stream, lanes * width)[:-1])).reshape(lanes, width).T
+        before = np.concatenate(([gru.symbols - 1], np.resize(stream, lanes * width)[:-1])).reshape(lanes, width).T
         h = np.zeros((lanes, gru.hidden), np.float32)
         for t in range(0, width, self.steps):
             loss, grads, h = gru.window(before[t : t + self.steps], aim[t : t + self.steps], h)
             total += loss
             self.k += 1
-            rate = self.rate / (1 + self.k / 500)
+            rate = self.rate / (1 + (self.before + self.k) / 500)
             norm = np.sqrt(sum(float((g * g).sum()) for g in grads))
             for p, g, m, v in zip(gru.p, grads, self.m, self.v, strict=True):
                 g = g * min(1.0, 1.0 / (norm + 1e-9))
@@ -158,14 +208,45 @@ class Trainer:
         return total / max(1, lanes * width)
 
 
-def score_sequences(gru: Gru, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """Natural log probability of each class of each document (classes one after another, each document with its end).
+class Exact:
+    """A trained model for scoring, whose states depend on a text alone and not on the texts beside it.
+
+    Weights and states are multiples of 1 / GRID, so that products and their sums are exact in 64 bits in any order; the curves are
+    read from tables. Only the last logarithms round, in their last digits.
+    """
+
+    def __init__(self, gru: Gru) -> None:
+        self.gru = Gru(gru.symbols, gru.hidden, gru.class_of, gru.slot_of, gru.split, inner=np.zeros(gru.p[6].shape))
+        self.gru.p = [self.grid(p.astype(np.float64)) for p in gru.p]
+        at = np.arange(-REACH * FINE, REACH * FINE + 1) / FINE
+        self.sigmoid, self.tanh = self.grid(_sigmoid(at)), self.grid(np.tanh(at))
+        self.wx, self.u = self.gru.p[0] + self.gru.p[2], self.gru.p[1]
+
+    @staticmethod
+    def grid(x: np.ndarray) -> np.ndarray:
+        return np.rint(x * GRID) / GRID
+
+    @staticmethod
+    def _place(x: np.ndarray) -> np.ndarray:
+        return (np.clip(np.rint(x * FINE), -REACH * FINE, REACH * FINE) + REACH * FINE).astype(np.int32)
+
+    def step(self, prev: np.ndarray, h: np.ndarray) -> np.ndarray:
+        n = self.gru.hidden
+        a, g = self.wx[prev], h @ self.u
+        rz = self.sigmoid[self._place(a[:, : 2 * n] + g[:, : 2 * n])]
+        new = self.tanh[self._place(a[:, 2 * n :] + rz[:, :n] * g[:, 2 * n :])]
+        return self.grid(new + rz[:, n:] * (h - new))
+
+
+def score_sequences(gru: Gru | Exact, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Natural log probability of each symbol of each document (symbols one after another, each document with its end).
 
     Documents are dealt to lanes, the longest first; a lane's state is carried from window to window through a whole document.
     """
-    out = np.empty(len(flat), np.float32)
+    out = np.empty(len(flat))
     if not len(sizes):
         return out
+    exact = gru if isinstance(gru, Exact) else Exact(gru)
     starts = np.cumsum(sizes) - sizes
     lanes = int(max(1, min(512, len(flat) // max(int(sizes.max()), 1), len(sizes))))
     heap, rows = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
@@ -178,87 +259,113 @@ def score_sequences(gru: Gru, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray
     at = np.full((loads[0], lanes), -1, np.int64)  # where a lane's token stands in flat
     for k, r in enumerate(rows):
         at[: loads[k], k] = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in r])
-    end = gru.classes - 1
-    h, prev, window = np.zeros((lanes, gru.hidden), np.float32), np.full(lanes, end), 64
+    end = exact.gru.symbols - 1
+    h, prev, window = np.zeros((lanes, exact.gru.hidden)), np.full(lanes, end), 64
     for t0 in range(0, len(at), window):
         part = at[t0 : t0 + window]
         n = int((part[0] >= 0).sum())  # lanes that go on are the first
         h, prev, part = h[:n], prev[:n], part[:, :n]
-        hs = np.empty((len(part), n, gru.hidden), np.float32)
+        hs = np.empty((len(part), n, exact.gru.hidden))
         aim = flat[np.maximum(part, 0)]
         for t in range(len(part)):
-            h = gru.step(prev, h * (prev != end)[:, None])[0]
+            h = exact.step(prev, h * (prev != end)[:, None])
             hs[t] = h
             prev = aim[t]
         ok = part >= 0
-        lp = gru.log_probs(hs[ok])
-        out[part[ok]] = lp[np.arange(len(lp)), aim[ok]]
+        out[part[ok]] = exact.gru.log_probs(hs[ok], aim[ok])
     return out
 
 
-# --- words and classes ------------------------------------------------------------
+# --- words, classes and cells ------------------------------------------------------
+
+
+def _parts(count: np.ndarray, k: int) -> np.ndarray:
+    """Numbers 0, 1, ... of at most k parts of about the same sum, of counts in falling order."""
+    upto = (np.cumsum(count) - count / 2) / count.sum()
+    return np.unique(np.minimum((upto * k).astype(int), k - 1), return_inverse=True)[1]
 
 
 class Vocabulary:
-    """Frequent words with their classes; spelled words by shape; the end of a document. Probabilities sum to one over all texts at most."""
+    """Frequent words with their classes and cells; spelled words by group; the end of a document. Probabilities sum to one over all texts at most."""
 
-    def __init__(self, head: list[tuple[bytes, int, str]], n_tokens: int, n_distinct: int, n_docs: int, tail_tokens: int, spelling: np.ndarray, new: float = 0.5, classes: int = CLASSES) -> None:
-        """head: (word, count, group). spelling: what count_letters() counts, as an array; new: share of rare words' tokens that were never seen before."""
+    def __init__(self, head: list[tuple[bytes, int, str]], groups: list[str], n_tokens: int, n_distinct: int, n_docs: int, tail_tokens: int, spelling: np.ndarray, classes: int = CLASSES) -> None:
+        """head: (word, count, group) in order of falling counts; groups: the largest, the rest count as one; spelling: what count_letters() counts."""
         self.index = {w: i for i, (w, _, _) in enumerate(head)}
-        self.n_tokens, self.n_distinct = n_tokens, n_distinct
+        self.n_tokens, self.n_distinct, self.groups = n_tokens, n_distinct, {g: k for k, g in enumerate(groups)}
         count = np.array([c for _, c, _ in head], float)
-        mass = Counter()
-        for _, c, g in head:
-            mass[g] += c
-        groups = {g: k for k, (g, _) in enumerate(sorted(mass.items(), key=lambda x: (-x[1], x[0]))[: GROUPS - 1])}
-        group = np.array([groups.get(g, GROUPS - 1) for _, _, g in head], int)
-        self.word_class = np.zeros(len(head), np.int32)
-        n = 0
-        for g in range(GROUPS):
-            if len(own := np.flatnonzero(group == g)):  # head is in order of falling counts
-                share = count[own].sum() / count.sum()
-                k = max(1, round(classes * share))
-                upto = (np.cumsum(count[own]) - count[own] / 2) / count[own].sum()
-                _, cls = np.unique(np.minimum((upto * k).astype(int), k - 1), return_inverse=True)
-                self.word_class[own] = n + cls
-                n += int(cls.max()) + 1
-        self.tail, self.end, self.classes = n, n + SHAPES, n + SHAPES + 1
-        total = np.bincount(self.word_class, count, minlength=self.classes) if len(head) else np.zeros(self.classes)
-        self.in_class = np.log(count / total[self.word_class]).astype(np.float32) if len(head) else np.zeros(0, np.float32)
-        grams, letters, shapes = np.split(spelling, [SYMBOLS**4, SYMBOLS**4 + 256])
-        shapes = (shapes + 0.5) / (shapes + 0.5).sum()
-        total[self.tail : self.end] = shapes * tail_tokens
-        total[self.end] = n_docs
+        group = np.array([self.groups.get(g, len(groups)) for _, _, g in head], int)
+        n_groups, cell, class_of, slot_of, totals = len(groups) + 1, np.zeros(len(head), np.int32), [], [], []
+        for g in range(n_groups):
+            if len(own := np.flatnonzero(group == g)):
+                for part in _members(_parts(count[own], max(1, round(classes * count[own].sum() / count.sum()))), own):
+                    slots = _members(_parts(count[part], CELLS), part)
+                    for s, words in enumerate(slots):
+                        cell[words] = len(class_of)
+                        class_of.append(len(totals))
+                        slot_of.append(s)
+                    totals.append(count[part].sum())
+        self.cell, self.split, self.tail = cell, len(totals), len(class_of)
+        held = np.bincount(cell, count, minlength=self.tail)
+        self.in_cell = np.log(count / held[cell]) if len(head) else np.zeros(0)
+        self.end = self.tail + n_groups
+        self.class_of = np.array([*class_of, *range(self.split, self.split + n_groups + 1)])
+        self.slot_of = np.array(slot_of + [0] * (n_groups + 1))
+        self.inner = np.full((self.split, CELLS), -1e4)
+        self.inner[self.class_of[: self.tail], self.slot_of[: self.tail]] = np.log(held / np.array(totals)[self.class_of[: self.tail]]) if self.split else 0
+        grams, letters, types = spelling[: n_groups * GRAMS].reshape(n_groups, GRAMS), spelling[n_groups * GRAMS : -n_groups], spelling[-n_groups:]
+        share = (types + 0.5) / (types + 0.5).sum()
+        total = np.array([*totals, *share * tail_tokens, n_docs])
         self.bias = np.log((total + 0.5) / (total + 0.5).sum())
-        p = np.full(SYMBOLS, 1 / SYMBOLS)
-        for order in range(4):  # each order is backed off to the one below
-            n = grams.reshape(-1, *[SYMBOLS] * (order + 1)).sum(0)
-            p = (n + 4 * p) / (n.sum(-1, keepdims=True) + 4)
-        self.spell = np.log(p).astype(np.float32).ravel()
+        self.spelling = np.stack([_floored(_smoothed(g)) for g in grams])
         symbol = np.frombuffer(SYMBOL, np.uint8)
-        self.letter = np.log((letters + 0.5) / np.bincount(symbol, letters + 0.5, minlength=SYMBOLS)[symbol]).astype(np.float32)
-        self.shape_cost, self.new, self.tail_tokens = np.log(shapes), new, tail_tokens
+        self.letter = _floored((letters + 0.5) / np.bincount(symbol, letters + 0.5, minlength=SYMBOLS)[symbol])
+        self.prior = (1000 * np.log(share)).astype(np.int32)
         self.base = np.log10(count + 0.5)
         self.base_end, self.base_all = float(np.log10(n_docs + 0.5)), float(np.log10(n_tokens + 0.5 * (n_distinct + 1)))
+        self.new, self.tail_tokens = [1.0] * n_groups, [1.0] * n_groups  # of each group's spelled words, set once these are known
+
+    def gru(self) -> Gru:
+        return Gru(self.end + 1, class_of=self.class_of, slot_of=self.slot_of, split=self.split, bias=self.bias, inner=self.inner)
 
     def ids(self, words: list[bytes]) -> np.ndarray:
-        """Place in the head, or -1 less the shape."""
-        out = np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
-        rare = np.flatnonzero(out < 0)
-        out[rare] = [-1 - shape(words[k]) for k in rare.tolist()]
+        """Place in the head, or -1."""
+        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
+
+    def symbols(self, ids: np.ndarray, rare: np.ndarray) -> np.ndarray:
+        """rare: groups of the spelled words among ids, in their order."""
+        out = np.empty(len(ids), np.int32)
+        out[ids >= 0] = self.cell[ids[ids >= 0]]
+        out[ids < 0] = self.tail + rare
         return out
 
-    def classes_of(self, ids: np.ndarray) -> np.ndarray:
-        if not len(self.word_class):
-            return self.tail - 1 - ids
-        return np.where(ids >= 0, self.word_class[np.maximum(ids, 0)], self.tail - 1 - ids)
-
-    def spelled(self, words: list[bytes]) -> np.ndarray:
-        """Natural log probability of each word's letters and its end."""
+    def spelled(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The group whose letter model likes each word best, and the natural log probability of the word's letters and end in it, in thousandths."""
         if not words:
-            return np.zeros(0)
+            return np.zeros(0, np.int32), np.zeros(0, np.int32)
         at, flat, sizes = _letters(words)
-        return np.add.reduceat(self.spell[at] + self.letter[flat], np.cumsum(sizes) - sizes)
+        starts = np.cumsum(sizes) - sizes
+        own = np.add.reduceat(self.letter[flat].astype(np.int32), starts)
+        sums = np.stack([np.add.reduceat(table_[at].astype(np.int32), starts) for table_ in self.spelling])
+        group = (sums + self.prior[:, None]).argmax(0)
+        return group.astype(np.int32), sums[group, np.arange(len(words))] + own
+
+
+def _members(part: np.ndarray, of: np.ndarray) -> list[np.ndarray]:
+    return [of[part == k] for k in range(int(part.max()) + 1)]
+
+
+def _smoothed(grams: np.ndarray) -> np.ndarray:
+    """P(symbol | three before), each order backed off to the one below."""
+    p = np.full(SYMBOLS, 1 / SYMBOLS)
+    for order in range(4):
+        n = grams.reshape(-1, *[SYMBOLS] * (order + 1)).sum(0)
+        p = (n + 4 * p) / (n.sum(-1, keepdims=True) + 4)
+    return p.ravel()
+
+
+def _floored(p: np.ndarray) -> np.ndarray:
+    """Natural logarithms in thousandths, rounded down, so that sums of probabilities don't grow."""
+    return np.maximum(np.floor(1000 * np.log(p)), -32000).astype(np.int16)
 
 
 def _letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -284,6 +391,18 @@ def _chunks(texts: list[bytes | None], v: Vocabulary) -> Iterator[tuple[int, int
             at, ids, rare, total = i + 1, [], [], 0
 
 
+def _stream(v: Vocabulary, ids: list[np.ndarray], rare: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of some texts one after another, each with its end, and which of them are words."""
+    group, _ = v.spelled([w for ws in rare for w in ws])
+    sizes = np.array([len(x) for x in ids], np.int64)
+    ends = np.cumsum(sizes) + np.arange(len(sizes))
+    out = np.full(int(sizes.sum()) + len(sizes), v.end, np.int32)
+    word = np.ones(len(out), bool)
+    word[ends] = False
+    out[word] = v.symbols(np.concatenate(ids), group)
+    return out, word
+
+
 def count_words(docs: DataFrame, group: str) -> DataFrame:
     """(word, n, top): counts over all rows of (_text, _group), and the group in which a word is most frequent."""
 
@@ -305,74 +424,110 @@ def count_words(docs: DataFrame, group: str) -> DataFrame:
     return parts.groupBy("word").agg(F.sum("n").alias("n"), F.max_by("g", F.struct("n", "g")).alias("top"))
 
 
-def count_letters(tail: DataFrame) -> DataFrame:
-    """(at, n) over (word, n): four symbols that follow each other, then bytes, then shapes; words count once, shapes as often as they occur."""
+def count_letters(tail: DataFrame, groups: list[str]) -> DataFrame:
+    """(at, n) over (word, top), each word once: four symbols that follow each other by group, then bytes, then words by group."""
+    place, n_groups = {g: k for k, g in enumerate(groups)}, len(groups) + 1
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SYMBOLS**4 + 256 + SHAPES, np.int64)
+        total = np.zeros(n_groups * GRAMS + 256 + n_groups, np.int32)
         for b in it:
             words = [w.encode() for w in b.column(0).to_pylist()]
             if not words:
                 continue
-            at, flat, _ = _letters(words)
-            total[: SYMBOLS**4] += np.bincount(at, minlength=SYMBOLS**4)
-            total[SYMBOLS**4 : -SHAPES] += np.bincount(flat, minlength=256)
-            total[-SHAPES:] += np.bincount([shape(w) for w in words], b.column(1).to_numpy(), minlength=SHAPES).astype(np.int64)
+            at, flat, sizes = _letters(words)
+            group = np.array([place.get(g, n_groups - 1) for g in b.column(1).to_pylist()])
+            seen, n = np.unique(at + np.repeat(group, sizes).astype(np.int64) * GRAMS, return_counts=True)
+            total[seen] += n.astype(np.int32)
+            total[n_groups * GRAMS : -n_groups] += np.bincount(flat, minlength=256).astype(np.int32)
+            total[-n_groups:] += np.bincount(group, minlength=n_groups).astype(np.int32)
         seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["at", "n"])
+        for k in range(0, len(seen), 1 << 18):
+            yield pa.RecordBatch.from_arrays([pa.array(seen[k : k + (1 << 18)]), pa.array(total[seen[k : k + (1 << 18)]].astype(np.int64))], names=["at", "n"])
 
-    return tail.select("word", "n").mapInArrow(batches, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    return tail.select("word", "top").mapInArrow(batches, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+
+
+def spelled_shares(tail: DataFrame, v: Vocabulary) -> list[tuple[int, int, int]]:
+    """(group, tokens, words seen once) of the words that are spelled, by the group of their spelling; at most GROUPS rows."""
+    sent = tail.sparkSession.sparkContext.broadcast(v)
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in it:
+            group, _ = sent.value.spelled([w.encode() for w in b.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([pa.array(group), b.column(1)], names=["g", "n"])
+
+    found = tail.select("word", "n").mapInArrow(batches, "g int, n long").groupBy("g").agg(F.sum("n"), F.count_if(F.col("n") == 1))
+    return [tuple(r) for r in found.collect()]
 
 
 def train(docs: DataFrame, head: int = HEAD, least: int = LEAST) -> tuple[Vocabulary, Gru, DataFrame]:
-    """From all rows of (_text binary, _group): vocabulary, model, and the durable table of counts (word, n)."""
+    """From all rows of (_text binary, _group): vocabulary, model, and the durable table of counts (word, n).
+
+    An empty table gives a model that spells every word with even letters.
+    """
     spark = docs.sparkSession
     counts = durable(count_words(docs, "_group"))
     n_docs = docs.count()
     n_words, n_distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    best = [(w.encode(), n, g or "") for w, n, g in counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(head).collect()]
-    spelling, new = np.zeros(SYMBOLS**4 + 256 + SHAPES), 1.0
-    if n_distinct > len(best):
-        tail = counts
-        if best:
-            low = (best[-1][1], best[-1][0].decode())
-            tail = counts.filter((F.col("n") < low[0]) | ((F.col("n") == low[0]) & (F.col("word") > low[1])))
-        for at, n in count_letters(tail).collect():
-            spelling[at] = n
-        once, all_ = tail.agg(F.count_if(F.col("n") == 1), F.sum("n")).first()
-        new = max(0.02, min(0.98, once / all_))
-    vocabulary = Vocabulary(best, n_words + n_docs, n_distinct + (n_docs > 0), n_docs, n_words - sum(n for _, n, _ in best), spelling, new)
-    del best
-    sent = spark.sparkContext.broadcast(vocabulary)
+    groups = [r[0] for r in counts.groupBy("top").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "top").limit(GROUPS - 1).select("top").collect()]
+    found = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(head).select("word", "n", "top").toArrow()
+    best = [(w.encode(), n, g) for w, n, g in zip(*(c.to_pylist() for c in found.columns), strict=True)]
+    tail = counts
+    if best:
+        low = (best[-1][1], best[-1][0].decode())
+        tail = counts.filter((F.col("n") < low[0]) | ((F.col("n") == low[0]) & (F.col("word") > low[1])))
+    spelling = np.zeros((len(groups) + 1) * GRAMS + 256 + len(groups) + 1)
+    letters = count_letters(tail, groups).toArrow()
+    spelling[letters.column("at").to_numpy()] = letters.column("n").to_numpy()
+    v = Vocabulary(best, groups, n_words + n_docs, n_distinct + (n_docs > 0), n_docs, n_words - sum(n for _, n, _ in best), spelling)
+    del best, found, letters, spelling
+    for g, n, once in spelled_shares(tail, v):
+        v.new[g], v.tail_tokens[g] = max(0.02, min(0.98, once / n)), float(n)
+    sent, gru, windows = spark.sparkContext.broadcast(v), v.gru(), 0
+    for k in range(ROUNDS):
+        part = docs.filter(F.pmod(F.xxhash64("_text", F.lit(5)), F.lit(ROUNDS)) == k)
+        flat, most = train_round(part, sent, gru.flat(), windows)
+        gru, windows = gru.set_flat(flat), windows + most
+    return v, gru, counts.select("word", "n")
+
+
+def train_round(docs: DataFrame, sent, start: np.ndarray, before: int) -> tuple[np.ndarray, int]:
+    """The average, by tokens, of the parameters that each partition reaches from `start`, and the most windows that one had.
+
+    Parameters are summed as whole numbers, so that the order of the sums doesn't matter.
+    """
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = sent.value
-        trainer = Trainer(Gru(v.classes, bias=v.bias))
+        trainer = Trainer(v.gru().set_flat(start), before=before)
         held: list[np.ndarray] = []
         for b in it:
-            for _, _, ids, _ in _chunks(b.column(0).to_pylist(), v):
-                held += [np.append(v.classes_of(x), v.end) for x in ids]
+            for _, _, ids, rare in _chunks(b.column(0).to_pylist(), v):
+                held.append(_stream(v, ids, rare)[0])
                 if sum(map(len, held)) >= CHUNK_WORDS:
                     trainer.feed(np.concatenate(held))
                     held = []
         if held:
             trainer.feed(np.concatenate(held))
         if trainer.seen:
-            flat = trainer.gru.flat().astype(float)
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat))), pa.array(flat * trainer.seen), pa.array(np.full(len(flat), trainer.seen))], names=["i", "v", "n"])
+            weight = -(-trainer.seen // 1024)
+            sums = np.append(np.rint(np.clip(trainer.gru.flat().astype(float), -64, 64) * (1 << 20)) * weight, [weight]).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums), pa.array(np.full(len(sums), trainer.k))], names=["i", "v", "k"])
 
-    gru = Gru(vocabulary.classes, bias=vocabulary.bias)
-    flat = gru.flat()
-    for i, value in docs.select("_text").mapInArrow(batches, "i long, v double, n long").groupBy("i").agg((F.sum("v") / F.sum("n")).alias("v")).collect():
-        flat[i] = value
-    return vocabulary, gru.set_flat(flat), counts.select("word", "n")
+    found = docs.select("_text").mapInArrow(batches, "i long, v long, k long").groupBy("i").agg(F.sum("v").alias("v"), F.max("k").alias("k")).toArrow()
+    if not found.num_rows:
+        return start, 0
+    sums = np.zeros(len(start) + 1)
+    sums[found.column("i").to_numpy()] = found.column("v").to_numpy()
+    flat = sums[:-1] / sums[-1] / (1 << 20)
+    return np.where(start < -64, start, flat), int(found.column("k").to_numpy().max())
 
 
 def score(docs: DataFrame, model: tuple[Vocabulary, Gru, DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_tokens, n_known, train_tokens, base_score, score (log10).
 
     Null texts are empty; an empty text has its end only. Counts of words beyond the head come by a join on the word, of the words of
-    each text counted first. Repeated rows each get a row.
+    each text counted first. Repeated rows each get a row; equal texts have equal scores, which are rounded to six places.
     """
     vocabulary, gru, counts = model
     sent = docs.sparkSession.sparkContext.broadcast((vocabulary, gru))
@@ -381,33 +536,26 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Gru, DataFrame], id_col: str
         [
             T.StructField("_row", T.LongType()),
             T.StructField("_id", docs.schema[id_col].dataType),
-            *(T.StructField(c, t) for c, t in (("n_tokens", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()), ("tail", T.ArrayType(T.StringType())), ("times", T.ArrayType(T.IntegerType())), ("spelled", T.ArrayType(T.FloatType())))),
+            *(T.StructField(c, t) for c, t in (("n_tokens", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("score", T.DoubleType()), ("tail", T.ArrayType(T.StringType())), ("times", T.ArrayType(T.IntegerType())), ("group", T.ArrayType(T.IntegerType())), ("spelled", T.ArrayType(T.IntegerType())))),
         ]
     )
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, g = sent.value
+        g = Exact(g)
         for b in it:
             for at, to, ids, rare in _chunks(b.column(2).to_pylist(), v):
                 sizes = np.array([len(i) for i in ids], np.int64)
                 flat, of = np.concatenate(ids), np.repeat(np.arange(len(ids)), sizes)
-                inside = np.zeros(len(flat))
                 known = flat >= 0
-                if len(v.in_class):
-                    inside[known] = v.in_class[flat[known]]
-                inside[~known] = -v.shape_cost[-1 - flat[~known]]
-                ends = np.cumsum(sizes) + np.arange(len(sizes))
-                classes = np.full(len(flat) + len(sizes), v.end, np.int32)
-                place = np.ones(len(classes), bool)
-                place[ends] = False
-                classes[place] = v.classes_of(flat)
-                lp = score_sequences(g, classes, sizes + 1).astype(float)
-                total = np.add.reduceat(lp, ends - sizes) + np.bincount(of, inside, minlength=len(sizes))
-                base = np.bincount(of[known], v.base[flat[known]], minlength=len(sizes)) if len(v.base) else np.zeros(len(sizes))
+                stream, _ = _stream(v, ids, rare)
+                lp = score_sequences(g, stream, sizes + 1)
+                total = np.add.reduceat(lp, np.cumsum(sizes + 1) - sizes - 1) + np.bincount(of[known], v.in_cell[flat[known]], minlength=len(sizes))
+                base = np.bincount(of[known], v.base[flat[known]], minlength=len(sizes))
                 n_known = np.bincount(of[known], minlength=len(sizes))
                 tails = [Counter(ws) for ws in rare]
-                letters = v.spelled([w for t in tails for w in t]).astype(np.float32)
-                cuts = np.cumsum([0, *map(len, tails)]).astype(np.int32)
+                group, letters = v.spelled([w for t in tails for w in t])
+                cuts = pa.array(np.cumsum([0, *map(len, tails)]).astype(np.int32))
                 columns = [
                     pa.array(sizes + 1),
                     pa.array(n_known + (v.n_tokens > 0)),
@@ -415,14 +563,17 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Gru, DataFrame], id_col: str
                     pa.array(total / np.log(10)),
                     pa.array([[w.decode() for w in t] for t in tails], pa.list_(pa.string())),
                     pa.array([list(t.values()) for t in tails], pa.list_(pa.int32())),
-                    pa.ListArray.from_arrays(pa.array(cuts), pa.array(letters)),
+                    pa.ListArray.from_arrays(cuts, pa.array(group)),
+                    pa.ListArray.from_arrays(cuts, pa.array(letters.astype(np.int32))),
                 ]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), b.column(1).slice(at, to - at), *columns], names=schema.names)
 
     rows = durable(source.mapInArrow(batches, schema))
-    tail = rows.select("_row", F.inline(F.arrays_zip(F.col("tail").alias("word"), F.col("times").alias("times"), F.col("spelled").alias("spelled"))))
-    found = tail.join(counts, "word", "left").select("_row", "times", "spelled", F.coalesce("n", F.lit(0)).alias("n"))
-    chance = (1 - vocabulary.new) * F.col("n") / float(max(vocabulary.tail_tokens, 1)) + vocabulary.new * F.exp("spelled")
+    names = ["tail", "times", "group", "spelled"]
+    tail = rows.select("_row", F.inline(F.arrays_zip(*(F.col(c).alias(c) for c in names)))).withColumnRenamed("tail", "word")
+    found = tail.join(counts, "word", "left").select("_row", "times", "group", "spelled", F.coalesce("n", F.lit(0)).alias("n"))
+    of = lambda values: F.element_at(F.lit([float(x) for x in values]), F.col("group") + 1)
+    chance = of([(1 - a) / b for a, b in zip(vocabulary.new, vocabulary.tail_tokens, strict=True)]) * F.col("n") + of(vocabulary.new) * F.exp(F.col("spelled") / 1000.0)
     found = found.groupBy("_row").agg(
         F.sum(F.col("times") * F.log10(F.greatest(chance, F.lit(1e-300)))).alias("rare"),
         F.sum(F.col("times") * F.log10(F.col("n") + 0.5)).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("also"),
@@ -433,8 +584,8 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Gru, DataFrame], id_col: str
         "n_tokens",
         (F.col("known") + F.coalesce("also", F.lit(0))).cast("long").alias("n_known"),
         F.lit(vocabulary.n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(vocabulary.base_all)).alias("base_score"),
-        (F.col("score") + F.coalesce("rare", F.lit(0.0))).alias("score"),
+        F.round(F.col("base") + F.coalesce("more", F.lit(0.0)) - F.col("n_tokens") * F.lit(vocabulary.base_all), 9).alias("base_score"),
+        F.round(F.col("score") + F.coalesce("rare", F.lit(0.0)), 6).alias("score"),
     )
 
 
