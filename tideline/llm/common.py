@@ -19,14 +19,31 @@ def ascii_lower(col: Column) -> Column:
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The session's spark.checkpoint.dir. Where it is unset, a local session (tests) gets a temporary folder; on a cluster that is an error,
+    since driver and executors share no local folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and the executors share")
+        found = tempfile.mkdtemp(prefix="tideline-checkpoint-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of the shared store."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """df computed once and kept in the shared checkpoint folder, so that a lost executor costs no recomputation.
 
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests, local runs) a temporary one is set.
+    The folder is that of shared_folder(). What stands there goes with the session's own cleaning (spark.cleaner.referenceTracking.cleanCheckpoints).
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tideline-checkpoint-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
