@@ -144,11 +144,24 @@ def test_line_frequency(spark):
     out = {r["doc_id"]: r for r in lines.drop_boilerplate(df, F.col("text"), F.col("source"), ("doc_id",)).collect()}
     for i, t in enumerate(texts):
         ls = t.split("\n")
-        drop = {"menu", "all rights"} if i < 36 else set()  # four pages are too few
+        drop = {"menu", "all rights"} if i < 36 else {"menu"}  # on all four pages of a small site
         assert out[i]["text"] == "\n".join(x for x in ls if x.strip() not in drop)
         assert out[i]["n_lines"] == len(ls)
 
 
+def test_sites_of_one_page_and_of_none(spark):
+    df = spark.createDataFrame([(0, "a\nb", "x"), (1, "a\nb", ""), (2, "a\nb", ""), (3, "c", None), (4, "c", None), (5, None, "x")], "doc_id long, text string, source string")
+    out = {r["doc_id"]: r["text"] for r in lines.drop_boilerplate(df, F.col("text"), F.col("source"), ("doc_id",)).collect()}
+    assert out == {0: "a\nb", 1: "a\nb", 2: "a\nb", 3: "", 4: "", 5: None}
+
+
+def test_unclosed_tags_are_read_once(spark):
+    pages = ["<p>one<p>two</p><script>x", "<!-- a <b>c", "<" * 300_000 + "x", "<script " * 40_000, "<!--" * 80_000, "a<b title='1'>c</b>d < e"]
+    df = spark.createDataFrame([(i, h) for i, h in enumerate(pages)], "id long, html string")
+    got = [r[0] for r in df.orderBy("id").select(lines.html_lines(F.col("html"))).collect()]
+    assert got == ["\none\ntwo\n ", " ", "<" * 300_000 + "x", " ", " ", "acd < e"]
+
+
 # --- toxicity
 
 
@@ -203,11 +216,22 @@ def test_held_out_toxic_texts(spark):
 def test_cascade_is_exact(spark):
     keys = spark.createDataFrame([(f"host{i}.example", i % 7 == 0) for i in range(5000)], "key string, listed boolean")
     keys = common.durable(keys)
-    cascade = urls.build_cascade(keys)
-    assert len(cascade.levels) > 1
-    assert keys.filter(cascade.contains(F.col("key")) != F.col("listed")).count() == 0
-    joined = urls.listed_flag(keys.drop("listed"), "key", keys, "flag", level_bytes=1)
-    assert joined.join(keys, "key").filter("flag <> listed").count() == 0
+    for part_bytes, parts in ((urls.PART_BYTES, 1), (256, 2)):
+        cascade = urls.build_cascade(keys, part_bytes)
+        assert len(cascade.levels) > 1 and (cascade.parts == 1) == (parts == 1)
+        assert cascade.beside(keys, "key").filter(cascade.contains(F.col("key")) != F.col("listed")).count() == 0
+    none = urls.build_cascade(common.durable(keys.withColumn("listed", F.lit(False))))
+    assert none.beside(keys, "key").filter(none.contains(F.col("key"))).count() == 0
+    every = urls.build_cascade(common.durable(keys.withColumn("listed", F.lit(True))))
+    assert every.beside(keys, "key").filter(~every.contains(F.col("key"))).count() == 0
+
+
+def test_cascade_by_shuffle(spark, monkeypatch):
+    monkeypatch.setattr(urls, "join_sized", lambda *a, **k: common.join_sized(*a, **k | {"limit": 0}))
+    keys = common.durable(spark.createDataFrame([(f"host{i}.example", i % 5 == 0) for i in range(3000)], "key string, listed boolean"))
+    cascade = urls.build_cascade(keys, 64)
+    assert cascade.parts > 4
+    assert cascade.beside(keys, "key").filter(cascade.contains(F.col("key")) != F.col("listed")).count() == 0
 
 
 def test_rules_and_parts(spark):
@@ -218,11 +242,14 @@ def test_rules_and_parts(spark):
         "http://x.com": ("x.com", "", None, "allow"),
         "http://b.net/fr/1": ("b.net", "/fr/1", "net/fr/", "block"),
         "http://cheap-pills.org/a": ("cheap-pills.org", "/a", None, "block"),
+        "http://shop.Cheap-Pills.org": ("shop.cheap-pills.org", "", None, "block"),
+        "http://notcheap-pills.org/": ("notcheap-pills.org", "/", None, "allow"),
         "no scheme": ("", "", None, "allow"),
         None: ("", "", None, "allow"),
     }
     df = spark.createDataFrame(list(enumerate(given)), "page_id long, url string")
-    out = urls.judge(df, lambda h: h.contains("pills")).orderBy("page_id").collect()
+    listed = spark.createDataFrame([("cheap-pills.org",), ("Cheap-Pills.ORG",), ("off.the.corpus",), (None,), ("",)], "domain string")
+    out = urls.judge(df, listed).orderBy("page_id").collect()
     assert [(r["host"], r["path"], r["rule"], r["verdict"]) for r in out] == list(given.values())
 
 
