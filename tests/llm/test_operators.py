@@ -40,12 +40,23 @@ def test_secret_positions_and_owners(spark):
     for i, t in enumerate(texts):
         want = sorted((m.start(), k, m.end()) for k, (_, p, good) in enumerate(kinds) for m in p.finditer(t) if good(m))
         assert [(s["start"], s["kind"], s["end"]) for s in out[i]["spans"] if s["kind"] < 3] == want
-    assert out[0]["wide"] == 1 and out[0]["live"] == 0  # three owners hold it
+    assert out[0]["wide"] == 1 and out[0]["live"] == 0  # three owners hold it, in a base span; as an opaque run it is none
     opaque = [s for s in out[3]["spans"] if s["name"] == "opaque"]
     assert len(opaque) == 1 and texts[3][opaque[0]["start"] : opaque[0]["end"]] == b
     assert not [s for s in out[0]["spans"] if s["name"] == "opaque"]
 
 
+def test_secrets_by_owners_and_repositories(spark):
+    live, own, two, sample = "Xk29dkQpl03mZq81hhdkWp20", "Qq11wwEErr22ttYYuu33iiOO", "Zz90plMMnn71bbVVcc84xxAA", "sk_EXAMPLE_0123456789abc"
+    texts = [f"token={live}"] + [f"token={own}"] * 12 + [f"token={two}"] * 2 + [f"token={sample}"]
+    source = lambda i: "a" if i < 13 else f"b{i}"
+    out = {r["doc_id"]: r for r in secrets.scan(docs(spark, texts, source)).collect()}
+    assert {s["verdict"] for s in out[0]["spans"]} == {"live"} and (out[0]["owners"], out[0]["repos"]) == (1, 1)
+    assert {s["verdict"] for s in out[1]["spans"]} == {"copied"} and (out[1]["owners"], out[1]["repos"]) == (1, 12)  # one owner, many repositories
+    assert {s["verdict"] for s in out[13]["spans"]} == {"unclear"} and (out[13]["owners"], out[13]["repos"]) == (2, 2)
+    assert {s["verdict"] for s in out[15]["spans"]} == {"unclear"}  # a placeholder
+
+
 # --- quality
 
 
@@ -472,3 +483,29 @@ def test_encoding_is_the_best_path_and_comes_back():
             else:
                 got += float(codec.scores[i])
         assert abs(got - best[-1]) < 1e-2
+
+
+def test_long_words_are_searched_alike(monkeypatch):
+    with open(pieces.MODEL, "rb") as f:
+        codec = pieces.Codec(f.read())
+    words = [b" " + w.encode() for w in ("hello", "ononononon" * 40, "你好🦥" * 30, "é" * 77, "zzzz0000" * 25)] + [b"\xe4\xbd"]
+    ids, n = codec._viterbi(words)
+    at = np.concatenate(([0], np.cumsum(n)))
+    for w, a, b in zip(words, at, at[1:], strict=False):
+        assert codec._long(w).tolist() == ids[a:b].tolist()
+
+
+def test_unigram_models_keep_their_scores():
+    def field(number, wire, body):
+        return bytes([number << 3 | wire]) + (bytes([len(body)]) if wire == 2 else b"") + body
+
+    def model(kind):
+        out = b""
+        for piece, score in ((b"a", -2.0), (b"b", -1.5), (b"ab", -9.0), (b"\xe2\x96\x81", -1.0)):
+            out += field(1, 2, field(1, 2, piece) + field(2, 5, np.float32(score).tobytes()))
+        return out + field(2, 2, field(3, 0, bytes([kind])))
+
+    assert pieces.model_kind(model(1)) == 1 and pieces.model_kind(model(2)) == 2
+    unigram, merges = pieces.Codec(model(1)), pieces.Codec(model(2))
+    assert unigram.scores.tolist() == [-2.0, -1.5, -9.0, -1.0] and merges.scores.tolist() != unigram.scores.tolist()
+    assert unigram.encode([b"ab"])[0].tolist() == [3, 0, 1]  # a and b are likelier than ab

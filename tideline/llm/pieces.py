@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 import struct
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,15 +16,17 @@ from pyspark.sql import types as T
 
 from tideline.llm.common import table
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+#: Where the query's model is, if the session doesn't name another in MODEL_SETTING.
+MODEL, MODEL_SETTING = "/opt/tokenizers/piece_bpe_32k.model", "spark.tideline.pieces.model"
 #: The white-space marker, U+2581; in the trie it is one byte, the space.
 MARK = "▁".encode()
 #: What an unknown character costs beyond the least likely piece.
 UNKNOWN = 10.0
-# Fixed values of the model format: kinds of pieces.
+# Fixed values of the model format: kinds of pieces, and the kind of model whose scores are log probabilities.
 NORMAL, USER, BYTE = 1, 4, 6
-#: Bytes of distinct words that one search holds, and words of one search.
-CELLS = 1 << 20
+UNIGRAM = 1
+#: Bytes of distinct words that one search holds; if that is fewer than FEW words, they are searched one by one.
+CELLS, FEW = 1 << 20, 24
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -63,13 +66,18 @@ def read_pieces(model: bytes) -> list[tuple[bytes, float, int]]:
     return out
 
 
+def model_kind(model: bytes) -> int:
+    """The kind of a serialised model, as its trainer's settings state it (unigram if they don't)."""
+    return next((dict(_fields(value)).get(3, UNIGRAM) for field, value in _fields(model) if field == 2), UNIGRAM)
+
+
 def rank_scores(pieces: list[tuple[bytes, float, int]]) -> list[float]:
     """Log probabilities by rank, after Zipf and Mandelbrot: for models whose scores are merge ranks and not log probabilities."""
     normal = [i for i, (_, _, kind) in enumerate(pieces) if kind in (NORMAL, USER)]
     weights = 1 / (np.arange(len(normal)) + 2.7)
     out = np.zeros(len(pieces))
     out[normal] = np.log(weights / weights.sum())
-    return out.astype(np.float32).tolist()
+    return out.tolist()
 
 
 class Trie:
@@ -110,11 +118,11 @@ class Trie:
 
 
 class Codec:
-    """Encodes and decodes with the pieces of a model file's bytes."""
+    """Encodes and decodes with the pieces of a model file's bytes, by the model's own scores if these are log probabilities, else by rank."""
 
     def __init__(self, model: bytes) -> None:
         pieces = read_pieces(model)
-        self.scores = np.array(rank_scores(pieces), np.float32)
+        self.scores = np.array([s for _, s, _ in pieces] if model_kind(model) == UNIGRAM else rank_scores(pieces))
         self.spell = [p.replace(MARK, b" ") for p, _, _ in pieces]
         self.byte_id = np.full(256, -1, np.int32)
         keys = {}
@@ -129,7 +137,8 @@ class Codec:
         self.is_byte = np.zeros(len(pieces), bool)
         self.is_byte[self.byte_id] = True
         self.trie = Trie(keys)
-        self.unknown = np.float32(min(self.scores[list(keys.values())]) - UNKNOWN)
+        self.unknown = float(min(self.scores[list(keys.values())])) - UNKNOWN
+        self.rows = [x.tolist() for x in (self.trie.base, self.trie.check, self.trie.value, self.scores)]
         if any(b" " in k.lstrip(b" ") or b"\n" in k for k in keys):
             raise ValueError("pieces cross words: this codec searches word by word")
 
@@ -146,7 +155,12 @@ class Codec:
             to = at + 1
             while to < len(order) and (to - at) * len(words[order[to]]) < CELLS:
                 to += 1
-            ids, n = self._viterbi([words[i] for i in order[at:to]])
+            if to - at < FEW:  # long words: one by one
+                to = at + 1
+                ids = self._long(words[order[at]])
+                n = len(ids)
+            else:
+                ids, n = self._viterbi([words[i] for i in order[at:to]])
             counts[order[at:to]] = n
             found.append(ids)
             at = to
@@ -156,6 +170,37 @@ class Codec:
         starts[back] = np.concatenate(([0], np.cumsum(counts[back])[:-1])) if len(words) else 0
         return ids[spans(starts, counts)], counts
 
+    def _long(self, word: bytes) -> np.ndarray:
+        """The same search for one word: a step is a few looks at lists, and what it holds is two arrays over its bytes."""
+        base, check, value, scores = self.rows
+        size = len(word)
+        best = array("d", bytes(8 * (size + 1)))
+        start, piece = array("i", [-1]) * (size + 1), array("i", [-1]) * (size + 1)
+        for i in range(size):
+            first = word[i]
+            if first & 0xC0 == 0x80 or (i and start[i] < 0):
+                continue
+            here, end, state, single = best[i], min(size, i + 1 + (first >= 0xC0) + (first >= 0xE0) + (first >= 0xF0)), 0, False
+            for k in range(i, size):
+                nxt = base[state] + word[k]
+                if check[nxt] != state:
+                    break
+                state = nxt
+                if (v := value[state]) >= 0:
+                    if start[k + 1] < 0 or here + scores[v] > best[k + 1]:
+                        best[k + 1], start[k + 1], piece[k + 1] = here + scores[v], i, v
+                    single |= k + 1 == end
+            if not single and (start[end] < 0 or here + self.unknown > best[end]):
+                best[end], start[end], piece[end] = here + self.unknown, i, -1
+        out, at = array("i"), size
+        while at:
+            if piece[at] >= 0:
+                out.append(piece[at])
+            else:
+                out.extend(int(self.byte_id[c]) for c in reversed(word[start[at] : at]))
+            at = start[at]
+        return np.array(out[::-1], np.int32)
+
     def _viterbi(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         base, check, value, scores = self.trie.base, self.trie.check, self.trie.value, self.scores
         n, size = len(words), np.array([len(w) for w in words])
@@ -164,7 +209,7 @@ class Codec:
         flat = np.frombuffer(b"".join(words), np.uint8)
         row = np.repeat(np.arange(n), size)
         text[np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size), row] = flat
-        best = np.full((width + 1, n), -np.inf, np.float32)
+        best = np.full((width + 1, n), -np.inf)
         best[0] = 0
         start = np.zeros((width + 1, n), np.int32)
         piece = np.full((width + 1, n), -1, np.int32)
@@ -238,9 +283,9 @@ def spans(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.repeat(starts - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum()) if len(counts) else np.empty(0, np.int64)
 
 
-def _codec(spark: SparkSession, model: str):
+def _codec(spark: SparkSession, model: str | None):
     """The model is read where the driver runs and sent along: a vocabulary, whose size doesn't depend on the data."""
-    with open(model, "rb") as f:
+    with open(model or spark.conf.get(MODEL_SETTING, MODEL), "rb") as f:
         return spark.sparkContext.broadcast(Codec(f.read()))
 
 
@@ -255,7 +300,7 @@ def _groups(b: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator[pa
         at = to
 
 
-def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), model: str = MODEL) -> DataFrame:
+def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",), model: str | None = None) -> DataFrame:
     """(*keep, ids array<int>): null and empty texts have no ids. Every row of docs gives a row."""
     codec = _codec(docs.sparkSession, model)
     source = docs.select(*keep, F.col(text_col).cast("binary").alias("_text"))
@@ -271,7 +316,7 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
     return source.mapInArrow(batches, schema)
 
 
-def decode(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str = MODEL) -> DataFrame:
+def decode(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str | None = None) -> DataFrame:
     """(*keep, text): the text of each list of ids; no ids give an empty text. Bytes that are no UTF-8 become U+FFFD."""
     codec = _codec(encoded.sparkSession, model)
     schema = T.StructType([*(encoded.schema[c] for c in keep), T.StructField("text", T.StringType())])
@@ -284,7 +329,7 @@ def decode(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str =
     return encoded.select(*keep, F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(batches, schema)
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL) -> DataFrame:
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
     """(id, n_ids, n_byte_ids, ids_sha256, exact) of every row: exact tells whether decoding the ids gives the text again.
 
     It does but for texts that hold the marker itself, which comes back as a space. ids_sha256 is over little-endian 32-bit ids.
