@@ -365,9 +365,9 @@ def test_lanes_score_as_one_by_one():
     for n in sizes:
         # alone, the values are the same but for the last digits of logarithms; the curves' tables are near the curves
         assert np.abs(gru.score_sequences(g, flat[at : at + n], np.array([n])) - got[at : at + n]).max() < 1e-12
-        h, prev = np.zeros((1, 4), np.float32), np.array([6])
+        h, prev = np.zeros((1, 4), np.float32), np.array([6])  # the state is empty after an end
         for k in range(at, at + n):
-            h = g.step(prev, h)[0]
+            h = g.step(g.p[0][prev] + g.p[2], h)[0]
             assert abs(g.log_probs(h, flat[k : k + 1])[0] - got[k]) < 1e-3
             prev = flat[k : k + 1]
         at += n

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: A word is a run of anything but space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -47,6 +50,26 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def one_thread(spark: SparkSession) -> Iterator[None]:
+    """Python functions that are made into plans within get workers whose linear algebra has one thread: a task has one core, and more threads only wait."""
+    env = spark.sparkContext.environment
+    was = env.get("OPENBLAS_NUM_THREADS")
+    env["OPENBLAS_NUM_THREADS"] = "1"
+    try:
+        yield
+    finally:
+        del env["OPENBLAS_NUM_THREADS"]
+        if was is not None:
+            env["OPENBLAS_NUM_THREADS"] = was
+
+
+def map_batches(df: DataFrame, fn: Callable, schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow(fn, schema) with workers of one thread."""
+    with one_thread(df.sparkSession):
+        return df.mapInArrow(fn, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

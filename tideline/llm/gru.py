@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import durable, table
+from tideline.llm.common import durable, map_batches, table
 
 #: The most frequent words, which have a class, a cell and a share of it, and how often each must occur; all others are spelled.
 HEAD, LEAST = 200_000, 4
@@ -35,7 +35,7 @@ ROUNDS = 2
 #: Groups of documents (such as languages) whose words are classed and spelled apart; the rest count as one.
 GROUPS = 6
 #: Words of the texts that are in memory at once, if one text has no more; a partition trains on this many at a time.
-CHUNK_WORDS = 1 << 21
+CHUNK_WORDS = 6 << 20
 #: Words after which a partition's counts are sent on.
 COUNTED = 1 << 17
 SEED = 11
@@ -58,9 +58,14 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+#: The largest logit of a softmax; its exponential is still a number of 32 bits.
+MOST_LOGIT = 80.0
+
+
+def _softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of columns: exponentials and their sums."""
+    e = np.exp(np.minimum(x, MOST_LOGIT, out=x))
+    return e, e.sum(0)
 
 
 class Gru:
@@ -73,7 +78,7 @@ class Gru:
         """bias: of the classes; inner: of the cells of the first classes."""
         rng = np.random.default_rng(seed)
         draw = lambda *s: (rng.standard_normal(s) * 0.15).astype(np.float32)
-        self.class_of = np.arange(symbols) if class_of is None else class_of
+        self.class_of = np.arange(symbols, dtype=np.int16) if class_of is None else class_of.astype(np.int16)
         self.slot_of = np.zeros(symbols, np.int64) if slot_of is None else slot_of
         self.split, self.symbols, self.hidden = split, symbols, hidden
         classes = int(self.class_of.max()) + 1
@@ -91,89 +96,97 @@ class Gru:
             at += x.size
         return self
 
-    def step(self, prev: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
-        wx, u, b = self.p[:3]
+    def step(self, a: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
+        """a: what the symbols before put in."""
         n = self.hidden
-        a, g = wx[prev] + b, h @ u
+        g = h @ self.p[1]
         rz = _sigmoid(a[:, : 2 * n] + g[:, : 2 * n])
         r, z = rz[:, :n], rz[:, n:]
         new = np.tanh(a[:, 2 * n :] + r * g[:, 2 * n :])
         return new + z * (h - new), r, z, new, g[:, 2 * n :]
 
     def cells(self, h: np.ndarray, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Of the rows whose class has cells: their places, sorted by class; where each class starts; log probabilities of its cells."""
+        """Of the rows whose class has cells: their places, sorted by class; where each class starts; a column of logits of its cells for each."""
         order = np.argsort(cls, kind="stable")
-        order = order[: np.searchsorted(cls[order], self.split)]
-        starts = np.searchsorted(cls[order], np.arange(self.split + 1))
-        x, w = h[order], self.p[5]
-        logits = np.empty((len(order), w.shape[2]), x.dtype)
+        starts = np.searchsorted(cls[order], np.arange(self.split + 1, dtype=cls.dtype))
+        order = order[: starts[-1]]
+        x, w, inner = np.ascontiguousarray(h[order].T), self.p[5], self.p[6]
+        logits = np.empty((w.shape[2], len(order)), h.dtype)
         for k, (s, e) in enumerate(zip(starts, starts[1:], strict=False)):
             if s < e:
-                np.matmul(x[s:e], w[k], out=logits[s:e])
-        return order, starts, _log_softmax(logits + self.p[6][cls[order]])
+                logits[:, s:e] = w[k].T @ x[:, s:e] + inner[k][:, None]
+        return order, starts, logits
 
     def log_probs(self, h: np.ndarray, aim: np.ndarray) -> np.ndarray:
         """Of each row's symbol."""
         cls = self.class_of[aim]
-        out = _log_softmax(h @ self.p[3] + self.p[4])[np.arange(len(aim)), cls]
+        logits = self.p[3].T @ h.T + self.p[4][:, None]
+        out = logits[cls, np.arange(len(aim))] - np.log(_softmax(logits)[1])
         if self.split:
-            order, _, lp = self.cells(h, cls)
-            out[order] += lp[np.arange(len(order)), self.slot_of[aim[order]]]
+            order, _, logits = self.cells(h, cls)
+            out[order] += logits[self.slot_of[aim[order]], np.arange(len(order))] - np.log(_softmax(logits)[1])
         return out
 
     def window(self, prev: np.ndarray, target: np.ndarray, h: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray]:
         """Over (steps, lanes): loss summed in nats, gradients of its mean, and the state to go on with; nothing is propagated beyond the window."""
         steps, lanes = prev.shape
-        n, end = self.hidden, self.symbols - 1
-        kept, hs, befores = [], np.empty((steps, lanes, n), np.float32), np.empty((steps, lanes, n), np.float32)
-        keep = (prev != end)[:, :, None].astype(np.float32)
+        n, size = self.hidden, prev.size
+        made = lambda: np.empty((steps, lanes, n), self.p[0].dtype)
+        hs, befores, rs, zs, news, gns = (made() for _ in range(6))
+        keep = (prev != self.symbols - 1)[:, :, None].astype(hs.dtype)
+        a = self.p[0][prev] + self.p[2]
         for t in range(steps):
             h = h * keep[t]
             befores[t] = h
-            h, r, z, new, gn = self.step(prev[t], h)
+            h, rs[t], zs[t], news[t], gns[t] = self.step(a[t], h)
             hs[t] = h
-            kept.append((r, z, new, gn))
         flat, aim = hs.reshape(-1, n), target.ravel()
-        cls, at = self.class_of[aim], np.arange(len(aim))
-        lp = _log_softmax(flat @ self.p[3] + self.p[4])
-        loss = -float(lp[at, cls].sum())
-        d = np.exp(lp)
-        d[at, cls] -= 1
-        d /= len(aim)
-        dflat = d @ self.p[3].T
+        cls, at = self.class_of[aim], np.arange(size)
+        logits = self.p[3].T @ flat.T + self.p[4][:, None]
+        own = logits[cls, at]
+        e, total = _softmax(logits)
+        loss = float(np.log(total).sum() - own.sum())
+        d = e / (total * size)
+        d[cls, at] -= 1 / size
+        dflat = (self.p[3] @ d).T
+        d_v, d_bias = flat.T @ d.T, d.sum(1)
         d_in, d_out = np.zeros_like(self.p[5]), np.zeros_like(self.p[6])
         if self.split:
-            order, starts, lp = self.cells(flat, cls)
-            own = np.arange(len(order)), self.slot_of[aim[order]]
-            loss -= float(lp[own].sum())
-            e = np.exp(lp)
-            e[own] -= 1
-            e /= len(aim)
-            x, back = flat[order], np.empty((len(order), n), e.dtype)
+            order, starts, logits = self.cells(flat, cls)
+            slots, at = self.slot_of[aim[order]], np.arange(len(order))
+            own = logits[slots, at]
+            e, total = _softmax(logits)
+            loss += float(np.log(total).sum() - own.sum())
+            d = e / (total * size)
+            d[slots, at] -= 1 / size
+            x, back = flat[order], np.empty((len(order), n), d.dtype)
             for k, (s, t) in enumerate(zip(starts, starts[1:], strict=False)):
                 if s < t:
-                    d_in[k], d_out[k] = x[s:t].T @ e[s:t], e[s:t].sum(0)
-                    np.matmul(e[s:t], self.p[5][k].T, out=back[s:t])
+                    d_in[k], d_out[k] = (d[:, s:t] @ x[s:t]).T, d[:, s:t].sum(1)
+                    back[s:t] = (self.p[5][k] @ d[:, s:t]).T
+            dflat = np.ascontiguousarray(dflat)
             dflat[order] += back
         dhs = dflat.reshape(steps, lanes, n)
-        da, dg = np.empty((steps, lanes, 3 * n), np.float32), np.empty((steps, lanes, 3 * n), np.float32)
-        dh = np.zeros((lanes, n), np.float32)
-        ut = self.p[1].T.copy()
+        # what a step's error is multiplied by on its way to the candidate, the reset and the update
+        by_new, by_reset, by_update = (1 - zs) * (1 - news * news), gns * rs * (1 - rs), (befores - news) * zs * (1 - zs)
+        dg, dns = np.empty((steps, lanes, 3 * n), hs.dtype), made()
+        dh, ut = np.zeros((lanes, n), hs.dtype), self.p[1].T.copy()
         for t in range(steps - 1, -1, -1):
-            r, z, new, gn = kept[t]
             dh = dh + dhs[t]
-            dn = dh * (1 - z) * (1 - new * new)
-            da[t, :, :n] = dg[t, :, :n] = dn * gn * r * (1 - r)
-            da[t, :, n : 2 * n] = dg[t, :, n : 2 * n] = dh * (befores[t] - new) * z * (1 - z)
-            da[t, :, 2 * n :] = dn
-            dg[t, :, 2 * n :] = dn * r
-            dh = (dh * z + dg[t] @ ut) * keep[t]
-        da, dg = da.reshape(-1, 3 * n), dg.reshape(-1, 3 * n)
+            dn = np.multiply(dh, by_new[t], out=dns[t])
+            np.multiply(dn, by_reset[t], out=dg[t, :, :n])
+            np.multiply(dh, by_update[t], out=dg[t, :, n : 2 * n])
+            np.multiply(dn, rs[t], out=dg[t, :, 2 * n :])
+            dh = (dh * zs[t] + dg[t] @ ut) * keep[t]
+        da = dg.reshape(-1, 3 * n)
+        d_u = befores.reshape(-1, n).T @ da
+        da[:, 2 * n :] = dns.reshape(-1, n)
         order = np.argsort(prev.ravel(), kind="stable")
-        seen, first = np.unique(prev.ravel()[order], return_index=True)
+        sorted_ = prev.ravel()[order]
+        first = np.flatnonzero(np.concatenate(([True], sorted_[1:] != sorted_[:-1])))
         d_wx = np.zeros_like(self.p[0])
-        d_wx[seen] = np.add.reduceat(da[order], first)
-        return loss, [d_wx, befores.reshape(-1, n).T @ dg, da.sum(0), flat.T @ d, d.sum(0), d_in, d_out], h
+        d_wx[sorted_[first]] = np.add.reduceat(da[order], first)
+        return loss, [d_wx, d_u, da.sum(0), d_v, d_bias, d_in, d_out], h
 
 
 class Trainer:
@@ -186,12 +199,12 @@ class Trainer:
 
     def feed(self, stream: np.ndarray) -> float:
         """stream: symbols of whole documents, each with its end. Returns nats a token."""
-        gru, total = self.gru, 0.0
+        gru, total, stream = self.gru, 0.0, stream.astype(np.int16)  # of at most CLASSES * CELLS cells and a few more
         lanes = max(1, min(self.lanes, len(stream) // (WINDOWS * self.steps)))
         width = -(-len(stream) // lanes)
         # the last lane is filled up from the front, so that every token is learned from
         aim = np.resize(stream, lanes * width).reshape(lanes, width).T
-        before = np.concatenate(([gru.symbols - 1], np.resize(stream, lanes * width)[:-1])).reshape(lanes, width).T
+        before = np.concatenate((np.array([gru.symbols - 1], np.int16), np.resize(stream, lanes * width)[:-1])).reshape(lanes, width).T
         h = np.zeros((lanes, gru.hidden), np.float32)
         for t in range(0, width, self.steps):
             loss, grads, h = gru.window(before[t : t + self.steps], aim[t : t + self.steps], h)
@@ -228,14 +241,17 @@ class Exact:
 
     @staticmethod
     def _place(x: np.ndarray) -> np.ndarray:
-        return (np.clip(np.rint(x * FINE), -REACH * FINE, REACH * FINE) + REACH * FINE).astype(np.int32)
+        x = np.rint(np.multiply(x, FINE, out=x), out=x)
+        return np.add(np.clip(x, -REACH * FINE, REACH * FINE, out=x), REACH * FINE, out=x).astype(np.int32)
 
-    def step(self, prev: np.ndarray, h: np.ndarray) -> np.ndarray:
+    def step(self, a: np.ndarray, h: np.ndarray) -> np.ndarray:
         n = self.gru.hidden
-        a, g = self.wx[prev], h @ self.u
+        g = h @ self.u
         rz = self.sigmoid[self._place(a[:, : 2 * n] + g[:, : 2 * n])]
         new = self.tanh[self._place(a[:, 2 * n :] + rz[:, :n] * g[:, 2 * n :])]
-        return self.grid(new + rz[:, n:] * (h - new))
+        h = new + rz[:, n:] * (h - new)
+        h *= GRID
+        return np.multiply(np.rint(h, out=h), 1 / GRID, out=h)
 
 
 def score_sequences(gru: Gru | Exact, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -260,17 +276,18 @@ def score_sequences(gru: Gru | Exact, flat: np.ndarray, sizes: np.ndarray) -> np
     for k, r in enumerate(rows):
         at[: loads[k], k] = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in r])
     end = exact.gru.symbols - 1
-    h, prev, window = np.zeros((lanes, exact.gru.hidden)), np.full(lanes, end), 64
+    h, last, window = np.zeros((lanes, exact.gru.hidden)), np.full(lanes, end), 64
     for t0 in range(0, len(at), window):
         part = at[t0 : t0 + window]
         n = int((part[0] >= 0).sum())  # lanes that go on are the first
-        h, prev, part = h[:n], prev[:n], part[:, :n]
+        h, part = h[:n], part[:, :n]
         hs = np.empty((len(part), n, exact.gru.hidden))
         aim = flat[np.maximum(part, 0)]
+        before = np.concatenate((last[None, :n], aim[:-1]))
+        a, keep, last = exact.wx[before], (before != end)[:, :, None], aim[-1]
         for t in range(len(part)):
-            h = exact.step(prev, h * (prev != end)[:, None])
+            h = exact.step(a[t], h * keep[t])
             hs[t] = h
-            prev = aim[t]
         ok = part >= 0
         out[part[ok]] = exact.gru.log_probs(hs[ok], aim[ok])
     return out
@@ -420,7 +437,7 @@ def count_words(docs: DataFrame, group: str) -> DataFrame:
         for g, c in by.items():
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()).cast(pa.string()), pa.array([g] * len(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "g", "n"])
 
-    parts = docs.select("_text", group).mapInArrow(batches, "word string, g string, n long").groupBy("word", "g").agg(F.sum("n").alias("n"))
+    parts = map_batches(docs.select("_text", group), batches, "word string, g string, n long").groupBy("word", "g").agg(F.sum("n").alias("n"))
     return parts.groupBy("word").agg(F.sum("n").alias("n"), F.max_by("g", F.struct("n", "g")).alias("top"))
 
 
@@ -444,7 +461,7 @@ def count_letters(tail: DataFrame, groups: list[str]) -> DataFrame:
         for k in range(0, len(seen), 1 << 18):
             yield pa.RecordBatch.from_arrays([pa.array(seen[k : k + (1 << 18)]), pa.array(total[seen[k : k + (1 << 18)]].astype(np.int64))], names=["at", "n"])
 
-    return tail.select("word", "top").mapInArrow(batches, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
+    return map_batches(tail.select("word", "top"), batches, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
 
 
 def spelled_shares(tail: DataFrame, v: Vocabulary) -> list[tuple[int, int, int]]:
@@ -456,7 +473,7 @@ def spelled_shares(tail: DataFrame, v: Vocabulary) -> list[tuple[int, int, int]]
             group, _ = sent.value.spelled([w.encode() for w in b.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([pa.array(group), b.column(1)], names=["g", "n"])
 
-    found = tail.select("word", "n").mapInArrow(batches, "g int, n long").groupBy("g").agg(F.sum("n"), F.count_if(F.col("n") == 1))
+    found = map_batches(tail.select("word", "n"), batches, "g int, n long").groupBy("g").agg(F.sum("n"), F.count_if(F.col("n") == 1))
     return [tuple(r) for r in found.collect()]
 
 
@@ -514,7 +531,7 @@ def train_round(docs: DataFrame, sent, start: np.ndarray, before: int) -> tuple[
             sums = np.append(np.rint(np.clip(trainer.gru.flat().astype(float), -64, 64) * (1 << 20)) * weight, [weight]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(sums))), pa.array(sums), pa.array(np.full(len(sums), trainer.k))], names=["i", "v", "k"])
 
-    found = docs.select("_text").mapInArrow(batches, "i long, v long, k long").groupBy("i").agg(F.sum("v").alias("v"), F.max("k").alias("k")).toArrow()
+    found = map_batches(docs.select("_text"), batches, "i long, v long, k long").groupBy("i").agg(F.sum("v").alias("v"), F.max("k").alias("k")).toArrow()
     if not found.num_rows:
         return start, 0
     sums = np.zeros(len(start) + 1)
@@ -556,19 +573,21 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Gru, DataFrame], id_col: str
                 tails = [Counter(ws) for ws in rare]
                 group, letters = v.spelled([w for t in tails for w in t])
                 cuts = pa.array(np.cumsum([0, *map(len, tails)]).astype(np.int32))
+                spelled = pa.array([w for t in tails for w in t], pa.binary()).cast(pa.string())
+                times = pa.array([k for t in tails for k in t.values()], pa.int32())
                 columns = [
                     pa.array(sizes + 1),
                     pa.array(n_known + (v.n_tokens > 0)),
                     pa.array(base + v.base_end),
                     pa.array(total / np.log(10)),
-                    pa.array([[w.decode() for w in t] for t in tails], pa.list_(pa.string())),
-                    pa.array([list(t.values()) for t in tails], pa.list_(pa.int32())),
+                    pa.ListArray.from_arrays(cuts, spelled),
+                    pa.ListArray.from_arrays(cuts, times),
                     pa.ListArray.from_arrays(cuts, pa.array(group)),
                     pa.ListArray.from_arrays(cuts, pa.array(letters.astype(np.int32))),
                 ]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), b.column(1).slice(at, to - at), *columns], names=schema.names)
 
-    rows = durable(source.mapInArrow(batches, schema))
+    rows = durable(map_batches(source, batches, schema))
     names = ["tail", "times", "group", "spelled"]
     tail = rows.select("_row", F.inline(F.arrays_zip(*(F.col(c).alias(c) for c in names)))).withColumnRenamed("tail", "word")
     found = tail.join(counts, "word", "left").select("_row", "times", "group", "spelled", F.coalesce("n", F.lit(0)).alias("n"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import table
+from tideline.llm.common import map_batches, table
 
 #: Where the query's model is, if the session doesn't name another in MODEL_SETTING.
 MODEL, MODEL_SETTING = "/opt/tokenizers/piece_bpe_32k.model", "spark.tideline.pieces.model"
@@ -313,7 +313,7 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], lists], names=[*keep, "ids"])
 
-    return source.mapInArrow(batches, schema)
+    return map_batches(source, batches, schema)
 
 
 def decode(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str | None = None) -> DataFrame:
@@ -326,7 +326,7 @@ def decode(encoded: DataFrame, keep: tuple[str, ...] = ("doc_id",), model: str |
             texts = [codec.value.decode(x).decode("utf-8", "replace") for x in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return encoded.select(*keep, F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).mapInArrow(batches, schema)
+    return map_batches(encoded.select(*keep, F.coalesce("ids", F.array().cast("array<int>")).alias("ids")), batches, schema)
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
@@ -353,7 +353,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
                 exact = [codec.value.decode(p.tolist()) == (t or b"") for p, t in zip(parts, texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(np.diff(bytes_)), pa.array(sha), pa.array(exact)], names=[id_col, *names])
 
-    return source.mapInArrow(batches, schema)
+    return map_batches(source, batches, schema)
 
 
 def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

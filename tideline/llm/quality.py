@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import table
+from tideline.llm.common import map_batches, table
 
 # Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.list_(pa.float64())))], names=["_id", "_y", "f"])
 
     schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_y", T.IntegerType()), T.StructField("f", T.ArrayType(T.ArrayType(T.DoubleType())))])
-    given = sorted((tuple(r) for r in rows.mapInArrow(batches, schema).filter(F.size("f") > 0).collect()), key=lambda r: (r[0], r[2]))
+    given = sorted((tuple(r) for r in map_batches(rows, batches, schema).filter(F.size("f") > 0).collect()), key=lambda r: (r[0], r[2]))
     if not given or len({y for _, y, _ in given}) < 2:  # nothing to learn from: every line is content
         w = np.zeros((len(NAMES), 2))
         w[0, 1] = 1
@@ -242,7 +242,7 @@ def rate(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str =
                 at = to
 
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    out = source.mapInArrow(batches, schema).withColumn("base_failed", failed)
+    out = map_batches(source, batches, schema).withColumn("base_failed", failed)
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("content_share") >= content_share))
 
 

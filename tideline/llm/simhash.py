@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import components, durable, join_sized, table
+from tideline.llm.common import components, durable, join_sized, map_batches, table
 
 BITS = 64
 #: Shingles whose bits are unpacked at once.
@@ -81,7 +81,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = fingerprint_texts(b.column(len(names)).to_pylist(), words).view(np.int64)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(fp)], names=[*names, "fp"])
 
-    return source.mapInArrow(batches, schema)
+    return map_batches(source, batches, schema)
 
 
 # --- the plan of the index ---------------------------------------------------
@@ -221,7 +221,7 @@ def links(fps: DataFrame, plan: list[tuple[int, int, list[int]]], distance: int,
         if len(keys):
             yield out(keys, fps_)
 
-    return dealt.select("key", "fp").mapInArrow(batches, "a long, b long").filter("a <> b")
+    return map_batches(dealt.select("key", "fp"), batches, "a long, b long").filter("a <> b")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import components, durable, join_sized, text_hash
+from tideline.llm.common import components, durable, join_sized, map_batches, text_hash
 
 #: Words of a shingle, and the least share of common shingles (Jaccard) of linked texts.
 WORDS, SIMILARITY = 5, 0.8
@@ -80,7 +80,7 @@ def signed(docs: DataFrame, names: list[str], words: int) -> DataFrame:
             arrays = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(keys[hs != 0].ravel().view(np.int64)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(hs.view(np.int64)), arrays], names=[*names, "h", "bands"])
 
-    return docs.select(*names, F.col("_text").cast("binary").alias("_text")).mapInArrow(batches, schema)
+    return map_batches(docs.select(*names, F.col("_text").cast("binary").alias("_text")), batches, schema)
 
 
 def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -92,7 +92,7 @@ def shingle_sets(texts: DataFrame, words: int) -> DataFrame:
             hs = np.array([set_hash(s) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(hs), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["h", "set"])
 
-    return texts.select(F.col("_text").cast("binary")).mapInArrow(batches, "h long, set array<long>")
+    return map_batches(texts.select(F.col("_text").cast("binary")), batches, "h long, set array<long>")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -157,7 +157,7 @@ def bucket_links(held: DataFrame, sets: DataFrame, similarity: float, block: int
         if held is not None and held.num_rows:
             yield out(held)
 
-    return dealt.mapInArrow(batches, "a long, b long")
+    return map_batches(dealt, batches, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import table
+from tideline.llm.common import map_batches, table
 
 UNIT = 576
 RATE = 8000
@@ -222,7 +222,7 @@ def _map(docs: DataFrame, id_col: str, text_col: str, names: list[tuple[str, T.D
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=titles)
                 at = to
 
-    return source.mapInArrow(batches, schema)
+    return map_batches(source, batches, schema)
 
 
 def op9_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import durable, table
+from tideline.llm.common import durable, map_batches, one_thread, table
 
 # What a written character may stand for, and what may stand between the letters of a word.
 LEET = {
@@ -51,7 +51,7 @@ def count_grams(docs: DataFrame, text_col: str = "text") -> DataFrame:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], names=["gram", "n"])
 
-    return source.mapInArrow(batches, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return map_batches(source, batches, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def language_model(counts: np.ndarray, weight: float = 20.0) -> np.ndarray:
@@ -219,7 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             found = [sorted(r.features(t)) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], names=["_y", "f"])
 
-    rows = durable(rows.mapInArrow(batches, "_y int, f array<long>"))
+    rows = durable(map_batches(rows, batches, "_y int, f array<long>"))
     n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("_y"), F.lit(0))).first()
     if not toxic or toxic == n:  # nothing to tell apart
         return lm, {}, float(np.log((toxic + 0.5) / (n - toxic + 0.5)))
@@ -247,7 +247,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, dict[int, float], float], te
             scores = [scorer.score(t) for t in b.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(scores, pa.float64())], names=[*keep, "score"])
 
-    return source.mapInArrow(batches, schema)
+    return map_batches(source, batches, schema)
 
 
 def score_column(spark: SparkSession, model: tuple[np.ndarray, dict[int, float], float]):
@@ -260,7 +260,11 @@ def score_column(spark: SparkSession, model: tuple[np.ndarray, dict[int, float],
         for texts in it:
             yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
 
-    return scored
+    def column(text: str):
+        with one_thread(spark):
+            return scored(text)
+
+    return column
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
