@@ -2,28 +2,32 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from math import log1p
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import map_batches, table
+from tideline.llm.common import durable, map_batches, table
 
 # Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
 LEAST_WORDS, WINDOW, MOST_REPEATED = 20, 8, 30
 # Phrases of legal notices, lower case.
 NOTICES = (b"licensed under", b"all rights reserved", b"copyright", b"public license", b"terms of use", b"cookie", b"privacy policy", b"released under", b"subscribe")
-#: Labelled rows, in the order of a hash of their id, on which the field is fitted.
-SAMPLE = 4_000
+#: Labelled rows, in the order of a hash of their id, on which the field is fitted, and the lines that they may have together: a row with which there
+#: would be more is passed over.
+SAMPLE, SAMPLE_LINES = 4_000, 200_000
+#: Different lines of the sample before, or after, which a boilerplate line stands, at least. (Near copies of a text share lines too, but beside the same ones.)
+SHARED = 5
 #: The share of words in content lines from which a text is kept.
 CONTENT_SHARE = 0.5
-#: Bytes of text whose words are in memory at once, if one text is no longer than that.
-CHUNK = 8 << 20
+#: Bytes of text that are measured at once, if one text is no longer than that; bytes whose words, and lines whose features, are in memory as objects.
+CHUNK, PIECE, BLOCK = 4 << 20, 1 << 18, 1 << 13
 
 #: White space, and the bytes that go on with a character: what is left is one byte for each code point of the words.
 UNCOUNTED = b" \t\n\v\f\r" + bytes(range(0x80, 0xC0))
@@ -31,8 +35,29 @@ UPPER, DIGITS = bytes(range(65, 91)), bytes(range(48, 58))
 NAMES = ["bias", "words", "symbols", "upper", "digits", "marks", "repeats", "length", "stop", "start", "again", "notice", "short", "ends"]
 
 
-def line_features(line: bytes, words: list[bytes], again: bool) -> list[float]:
-    n, k = len(line), len(words)
+_SPACE = re.compile(rb"[ \t\n\v\f\r]")
+
+
+def word_lists(data: bytes, size: int = PIECE) -> Iterator[list[bytes]]:
+    """The words of some bytes, a piece of about `size` at a time."""
+    at = 0
+    while len(data) - at > size:
+        found = _SPACE.search(data, at + size)
+        to = found.start() if found else len(data)
+        yield data[at:to].split()
+        at = to
+    yield data[at:].split() if at else data.split()
+
+
+def line_features(line: bytes, again: bool) -> tuple[list[float], int]:
+    """Features of a line and its words."""
+    n, k, odd, known = len(line), 0, 0, set()
+    for words in word_lists(line):
+        k += len(words)
+        known.update(words)
+        odd += sum(not (w[-1:].isalnum() or w[-1] >= 128 or w[-1:] in b".,") for w in words)
+    if not k:
+        return [], 0
     low = line.lower()
     last = line.rstrip()[-1:]
     return [
@@ -42,27 +67,40 @@ def line_features(line: bytes, words: list[bytes], again: bool) -> list[float]:
         (n - len(line.translate(None, UPPER))) / n,
         (n - len(line.translate(None, DIGITS))) / n,
         (n - len(line.translate(None, b"!?"))) / n * 4,
-        1 - len(set(words)) / k,
+        1 - len(known) / k,
         min(n / k, 20.0) / 10,
         float(last in b".!?:;"),
         float(line.lstrip()[:1].isupper() or line.lstrip()[:1] >= b"\x80"),
         float(again),
         float(any(x in low for x in NOTICES)),
         float(k <= 3),
-        sum(not (w[-1:].isalnum() or w[-1] >= 128 or w[-1:] in b".,") for w in words) / k,
-    ]
-
-
-def lines_of(text: bytes | None) -> tuple[list[list[float]], list[int], int]:
-    """Features and words of each line that has a word, and how many of these equal an earlier one."""
-    features, sizes, seen, again = [], [], set(), 0
-    for line in (text or b"").split(b"\n"):
-        if words := line.split():
-            features.append(line_features(line, words, known := line in seen))
-            sizes.append(len(words))
-            again += known
-            seen.add(line)
-    return features, sizes, again
+        odd / k,
+    ], k
+
+
+def line_blocks(text: bytes | None) -> Iterator[tuple[np.ndarray, np.ndarray, list[bytes], int]]:
+    """Of the lines that have a word, some at a time: features, words, the lines, and how many of these equal an earlier one."""
+    text, seen, at = text or b"", set(), 0
+    features, sizes, lines, again = [], [], [], 0
+
+    def block() -> tuple[np.ndarray, np.ndarray, list[bytes], int]:
+        return np.array(features, np.float32).reshape(-1, len(NAMES)), np.array(sizes, np.int32), lines, again
+
+    while at < len(text):
+        to = text.find(b"\n", at)
+        line = text[at : to if to >= 0 else len(text)]
+        at = to + 1 if to >= 0 else len(text)
+        known = line in seen
+        row, k = line_features(line, known)
+        if not k:
+            continue
+        seen.add(line)
+        features.append(row), sizes.append(k), lines.append(line)
+        again += known
+        if len(sizes) == BLOCK:
+            yield block()
+            features, sizes, lines, again = [], [], [], 0
+    yield block()
 
 
 class Field:
@@ -80,10 +118,13 @@ class Field:
         return order, (np.cumsum(sizes) - sizes)[order], going
 
     def decode(self, x: np.ndarray, sizes: list[int]) -> np.ndarray:
-        """Viterbi, all sequences at once, line by line: the likeliest label of every line."""
+        """The likeliest label of every line, from its features."""
+        return self.path(x @ self.weights, sizes)
+
+    def path(self, e: np.ndarray, sizes: list[int]) -> np.ndarray:
+        """Viterbi, all sequences at once, line by line, from what the features of each line speak for."""
         _, starts, going = self._laid(sizes)
-        e = x @ self.weights
-        back = np.zeros((len(x), 2), np.int8)
+        back = np.zeros((len(e), 2), np.int8)
         score = np.empty((len(starts), 2))
         for t, n in enumerate(going):
             at = starts[:n] + t
@@ -93,7 +134,7 @@ class Field:
             ways = score[:n, :, None] + self.change
             back[at] = ways.argmax(1)
             score[:n] = ways.max(1) + e[at]
-        out = np.zeros(len(x), np.int8)
+        out = np.zeros(len(e), np.int8)
         label = score.argmax(1).astype(np.int8) if len(score) else np.empty(0, np.int8)
         for t in range(len(going) - 1, -1, -1):
             at = starts[: going[t]] + t
@@ -140,48 +181,71 @@ def fit_field(x: np.ndarray, y: np.ndarray, sizes: list[int], steps: int = 200,
     return field
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Field:
-    """From at most `sample` labelled rows. A line is boilerplate if its text is of low quality, if it repeats an earlier line or is a notice.
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, sample_lines: int = SAMPLE_LINES) -> Field:
+    """From at most `sample` labelled rows with at most `sample_lines` lines. A line is boilerplate if its text is of low quality, if it repeats an earlier
+    line, or if it stands before or after SHARED different lines in the sample.
 
-    Lines of low texts that look like those of good texts (by a field of single lines fitted first) count as content.
+    Lines of low texts that look like those of good texts (by a field of single lines fitted first) count as content. Null labels and
+    ids are passed over; of several labels for an id the largest counts. Without labels of both kinds every line is content.
     """
     chosen = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_y")).filter("_y is not null and _id is not null")
     chosen = F.broadcast(chosen.groupBy("_id").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(sample))
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).join(chosen, "_id").select("_id", "_y", "_text")
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("binary").alias("_text")).join(chosen, "_id")
+    rows = rows.select(F.xxhash64("_id").alias("_k"), F.xxhash64("_text").alias("_t"), "_y", "_text")
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
-            found = [lines_of(t)[0] for t in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.list_(pa.list_(pa.float64())))], names=["_id", "_y", "f"])
+        import xxhash
 
-    schema = T.StructType([T.StructField("_id", docs.schema[id_col].dataType), T.StructField("_y", T.IntegerType()), T.StructField("f", T.ArrayType(T.ArrayType(T.DoubleType())))])
-    given = sorted((tuple(r) for r in map_batches(rows, batches, schema).filter(F.size("f") > 0).collect()), key=lambda r: (r[0], r[2]))
-    if not given or len({y for _, y, _ in given}) < 2:  # nothing to learn from: every line is content
+        for b in it:
+            n, f, h = [], [], []
+            for text in b.column(3).to_pylist():
+                parts, total = [], 0
+                for x, _, lines, _ in line_blocks(text):
+                    total += len(x)
+                    parts.append((x.tobytes(), np.array([xxhash.xxh64_intdigest(s.strip()) for s in lines], np.uint64).tobytes()))
+                    if total > sample_lines:
+                        parts = []
+                        break
+                n.append(total)
+                f.append(b"".join(p[0] for p in parts))
+                h.append(b"".join(p[1] for p in parts))
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(n), pa.array(f, pa.binary()), pa.array(h, pa.binary())], names=["_k", "_t", "_y", "n", "f", "h"])
+
+    found = durable(map_batches(rows, batches, "_k long, _t long, _y int, n long, f binary, h binary").filter("n > 0"))
+    order = Window.orderBy("_k", "_t")  # of the sample: the sums of what is taken stay within its lines
+    taken = found.withColumn("upto", F.sum("n").over(order)).filter(F.col("upto") <= sample_lines).orderBy("_k", "_t").select("_y", "n", "f", "h").toArrow()
+    label, sizes = (taken.column(c).to_numpy() for c in ("_y", "n"))
+    if len(set(label.tolist())) < 2:
         w = np.zeros((len(NAMES), 2))
         w[0, 1] = 1
         return Field(w, np.zeros((2, 2)), np.zeros(2))
-    sizes = [len(f) for _, _, f in given]
-    x = np.array([v for _, _, f in given for v in f])
-    good = np.repeat([y for _, y, _ in given], sizes)
-    y = (good & (x[:, NAMES.index("again")] == 0) & (x[:, NAMES.index("notice")] == 0)).astype(int)
+    x = np.frombuffer(b"".join(taken.column("f").to_pylist()), np.float32).reshape(-1, len(NAMES)).astype(float)
+    line = np.frombuffer(b"".join(taken.column("h").to_pylist()), np.uint64)
+    first = np.repeat(np.arange(len(sizes)), sizes)
+    joined = np.flatnonzero(first[1:] == first[:-1])  # lines that go on with another of their text
+    shared = np.zeros(len(line), bool)
+    for own, beside in ((joined, joined + 1), (joined + 1, joined)):
+        held, n = np.unique(np.unique(np.stack((line[own], line[beside])), axis=1)[0], return_counts=True)
+        shared |= np.isin(line, held[n >= SHARED])
+    good, poor = np.repeat(label, sizes), shared | (x[:, NAMES.index("again")] > 0)
+    y = ((good > 0) & ~poor).astype(int)
     alone = fit_field(x, y, [1] * len(x), steps=100)
     e = x @ alone.weights + alone.first
-    y |= (good == 0) & (e[:, 1] - e[:, 0] > 2.0) & (x[:, NAMES.index("again")] == 0) & (x[:, NAMES.index("notice")] == 0)
-    return fit_field(x, y, sizes)
+    y |= (good == 0) & (e[:, 1] - e[:, 0] > 2.0) & ~poor
+    return fit_field(x, y, sizes.tolist())
 
 
 def repeated(ids: np.ndarray, sizes: np.ndarray, window: int = WINDOW) -> np.ndarray:
     """For each text (word ids one after another): how many words lie in windows that stand twice or more in it."""
     n = len(ids)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    start = np.flatnonzero(np.arange(n) + window <= ends)
+    doc = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    start = np.flatnonzero(np.arange(n) + window <= np.repeat(np.cumsum(sizes), sizes))
     if not len(start):
         return np.zeros(len(sizes), np.int64)
-    mixed = np.random.default_rng(5).integers(0, 1 << 64, int(ids.max()) + 1, np.uint64)[ids]
+    mixed = np.random.default_rng(5).integers(0, 1 << 64, int(ids.max()) + 1, np.uint64)
     h = doc[start].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for k in range(window):
-        h = (h * np.uint64(0x100000001B3)) ^ mixed[start + k]
+        h = (h * np.uint64(0x100000001B3)) ^ mixed[ids[start + k]]
     order = np.argsort(h, kind="stable")
     a, b = start[order[:-1]], start[order[1:]]
     same = np.flatnonzero(h[order[:-1]] == h[order[1:]])
@@ -203,19 +267,30 @@ OUT = {"n_words": pa.int64(), "word_chars": pa.int64(), "n_symbols": pa.int64(),
 
 
 def measure(texts: list[bytes | None], field: Field) -> list[pa.Array]:
-    words = [t.split() if t else [] for t in texts]
-    sizes = np.array([len(w) for w in words], np.int64)
+    """The columns of OUT. What is held for a text is numbers: one a word, four a line."""
     known: dict[bytes, int] = {}
-    ids = np.array([known.setdefault(w, len(known)) for ws in words for w in ws], np.int64)
+    ids, sizes, again, counts, e, per = [], [], [], [], [], []
+    for t in texts:
+        n = 0
+        for words in word_lists(t or b""):
+            ids.append(np.fromiter((known.setdefault(w, len(known)) for w in words), np.int32, len(words)))
+            n += len(words)
+        sizes.append(n)
+        lines, same = 0, 0
+        for x, k, _, equal in line_blocks(t):
+            e.append(x @ field.weights)
+            per.append(k)
+            lines += len(k)
+            same += equal
+        counts.append(lines)
+        again.append(same)
+    del known
     chars = [len(t.translate(None, UNCOUNTED)) if t else 0 for t in texts]
     symbols = [len(t) - len(t.translate(None, SYMBOLS)) if t else 0 for t in texts]
-    found = [lines_of(t) for t in texts]
-    x = np.array([f for fs, _, _ in found for f in fs]).reshape(-1, len(NAMES))
-    counts = [len(s) for _, s, _ in found]
-    label = field.decode(x, counts)
-    of = np.repeat(np.arange(len(texts)), counts)
-    content = np.bincount(of, label * np.array([n for _, s, _ in found for n in s]), minlength=len(texts))
-    columns = [sizes, chars, symbols, [n for _, _, n in found], repeated(ids, sizes), content / np.maximum(sizes, 1)]
+    sizes = np.array(sizes, np.int64)
+    label = field.path(np.concatenate(e), counts)
+    content = np.bincount(np.repeat(np.arange(len(texts)), counts), label * np.concatenate(per), minlength=len(texts))
+    columns = [sizes, chars, symbols, again, repeated(np.concatenate(ids), sizes), content / np.maximum(sizes, 1)]
     return [pa.array(c, t) for c, t in zip(columns, OUT.values(), strict=True)]
 
 
