@@ -27,8 +27,10 @@ LEET_COST, REPEAT_COST, GAP_COST, WILD_COST = -1.5, -1.0, -0.5, -4.0
 SAMPLE, FEATURES = 12_000, 1_500
 #: Standard deviations by which a feature's toxic texts differ from what their share in the sample gives.
 LEAST_Z = 3.0
-#: Tokens whose features a worker remembers.
-REMEMBER = 300_000
+#: Tokens whose features a worker remembers, and the most characters of such a token.
+REMEMBER, REMEMBERED_CHARS = 300_000, 64
+#: Runs of characters whose readings are open at once; see restore().
+OPEN = 4096
 
 #: Symbols of the character model: 0 ends a word, 1 to 26 letters, 27 any byte of another letter, 28 a digit.
 SYMBOL = bytes(27 if b >= 0x80 else 28 if 48 <= b <= 57 else (b | 32) - 96 if 97 <= (b | 32) <= 122 else 0 for b in range(256))
@@ -67,35 +69,49 @@ def language_model(counts: np.ndarray, weight: float = 20.0) -> np.ndarray:
 _RUN = re.compile(r"(.)\1*", re.S)
 
 
+def _readings(c: str, n: int) -> list[tuple[str, float]]:
+    """What a run of n characters c may stand for, and the channel's log probability."""
+    ways: dict[str, float] = {}
+    if c.isalpha():
+        ways[c * min(n, 2)] = 0.0 if n <= 2 else REPEAT_COST
+        if n > 1:
+            ways[c] = REPEAT_COST
+    else:
+        if not (c in WILD and n > 1):
+            ways[c * min(n, 2)] = 0.0
+        for letter in LEET.get(c, ""):
+            ways[letter] = LEET_COST + (REPEAT_COST if n > 1 else 0)
+            if n > 1:
+                ways[letter * 2] = 2 * LEET_COST
+        if c in GAPS:
+            ways[""] = GAP_COST
+        if c in WILD and n == 1:
+            ways |= dict.fromkeys("aeiou", WILD_COST)
+        ways = ways or {c: 0.0}
+    return list(ways.items())
+
+
+def _spoken(back: tuple | None) -> str:
+    out = []
+    while back is not None:
+        out.append(back[0])
+        back = back[1]
+    return "".join(reversed(out))
+
+
 def restore(text: str, lm: list[list[list[float]]]) -> str:
     """The likeliest reading of lower-case text as words, by Viterbi search over the lattice of its readings.
 
     A run of one letter may be read as one or two of it, a sign as the letters it stands for or as itself, a gap between letters as nothing.
+    What stands before two plain letters is decided there and leaves the lattice; OPEN runs without any are decided by the best reading so
+    far, so that a token of any length takes bounded memory.
     """
-    arcs: list[list[tuple[str, float]]] = []
-    for m in _RUN.finditer(text):
-        c, n = m[1], len(m[0])
-        ways: dict[str, float] = {}
-        if c.isalpha():
-            ways[c * min(n, 2)] = 0.0 if n <= 2 else REPEAT_COST
-            if n > 1:
-                ways[c] = REPEAT_COST
-        else:
-            if not (c in WILD and n > 1):
-                ways[c * min(n, 2)] = 0.0
-            for letter in LEET.get(c, ""):
-                ways[letter] = LEET_COST + (REPEAT_COST if n > 1 else 0)
-                if n > 1:
-                    ways[letter * 2] = 2 * LEET_COST
-            if c in GAPS:
-                ways[""] = GAP_COST
-            if c in WILD and n == 1:
-                ways |= dict.fromkeys("aeiou", WILD_COST)
-            ways = ways or {c: 0.0}
-        arcs.append(list(ways.items()))
+    done: list[str] = []
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    for ways in arcs:
+    still = 0
+    for m in _RUN.finditer(text):
         after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        ways = _readings(m[1], len(m[0]))
         for (a, b), (score, back) in states.items():
             for out, cost in ways:
                 x, y, s = a, b, score + cost
@@ -104,13 +120,14 @@ def restore(text: str, lm: list[list[list[float]]]) -> str:
                     x, y = y, byte
                 if (x, y) not in after or s > after[x, y][0]:
                     after[x, y] = (s, (out, back))
+        still += 1
+        if len(after) == 1 or still == OPEN:
+            at, (_, back) = max(after.items(), key=lambda x: x[1][0])
+            done.append(_spoken(back))
+            after, still = {at: (0.0, None)}, 0
         states = after
     _, back = max(((s + lm[a][b][0], back) for (a, b), (s, back) in states.items()), key=lambda x: x[0])
-    out = []
-    while back is not None:
-        out.append(back[0])
-        back = back[1]
-    return "".join(reversed(out))
+    return "".join(done) + _spoken(back)
 
 
 #: What is cut from the ends of a token; of signs that may stand for letters only long runs.
@@ -118,8 +135,9 @@ PUNCTUATION = """.,;:!?"'()[]{}<>%&*#-_/\\|^~=+`«»„“”…"""
 _ODD = re.compile(r"[0-9@$!|+(<€£*#._-]|([^\W\d_])\1\1")
 _DRAWN = re.compile(r"(.)\1\1")
 _WORD = re.compile(r"[^\W_]+")
-#: Single characters that stand apart: the least run is three.
-_SPACED = re.compile(r"(?<!\S)\S(?:[ ._*-]{1,3}\S){2,}(?!\S)")
+_DOUBLED = re.compile(r"([^\W\d_])\1")
+#: Single characters that stand apart: the least run is three, the longest 64; longer ones are read in parts.
+_SPACED = re.compile(r"(?<!\S)\S(?:[ ._*-]{1,3}\S){2,63}(?!\S)")
 
 
 class Reader:
@@ -138,7 +156,12 @@ class Reader:
         return restore(core, self.lm) if _ODD.search(core) and any(map(str.isalpha, core)) else core
 
     def of_token(self, token: str) -> tuple[int, ...]:
-        return self.of_words(self.read(token))
+        """Of the token as it is read, and, if that has doubled letters, also of its reading with the likelier of one and two."""
+        word = self.read(token)
+        out = self.of_words(word)
+        if word.isalpha() and _DOUBLED.search(word) and (other := restore(word, self.lm)) != word:
+            out += self.of_words(other)
+        return out
 
     def of_words(self, text: str) -> tuple[int, ...]:
         out = []
@@ -156,7 +179,8 @@ class Reader:
                 f = self.of_token(token)
                 if len(known) >= REMEMBER:
                     known.clear()
-                known[token] = f
+                if len(token) <= REMEMBERED_CHARS:
+                    known[token] = f
             found.update(f)
         for m in _SPACED.findall(text):
             found.update(self.of_words(restore(m, self.lm)))
@@ -203,7 +227,11 @@ def held_out(id_: str = "doc_id", remainder: int = 0):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, features: int = FEATURES) -> tuple[np.ndarray, dict[int, float], float]:
-    """Character model over all texts, and the linear model over at most `sample` labelled rows that aren't held out."""
+    """Character model over all texts, and the linear model over at most `sample` labelled rows that aren't held out.
+
+    Null labels and ids are passed over; of several labels for an id the largest counts. Without labels of both kinds every text gets
+    the base rate.
+    """
     counts = np.zeros(BASE**3, np.int64)
     for gram, n in count_grams(docs, text_col).collect():
         counts[gram] = n
