@@ -108,6 +108,23 @@ def test_quality_keeps_prose_and_drops_junk(spark):
     assert kept == set(range(60))
 
 
+def test_lines_in_blocks_and_words_in_pieces(monkeypatch):
+    field = quality.Field(*(np.random.default_rng(3).normal(size=s) for s in ((len(quality.NAMES), 2), (2, 2), 2)))
+    texts = [("\n".join(text(rng.randint(0, 9)) for _ in range(70)) + "\n").encode() for _ in range(4)] + [text(400).encode(), b"", None]
+    want = [c.to_pylist() for c in quality.measure(texts, field)]
+    monkeypatch.setattr(quality, "BLOCK", 5)
+    monkeypatch.setattr(quality.word_lists, "__defaults__", (50,))
+    assert [c.to_pylist() for c in quality.measure(texts, field)] == want
+
+
+def test_quality_agrees_with_labels_it_has_not_seen(spark):
+    docs, y = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    learned = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) != 0
+    out = quality.rate(docs, quality.fit(docs, y.filter(learned))).join(y.filter(~learned), "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int"))).collect()
+    kept = dict(map(tuple, out))
+    assert kept[1] > 0.9 and kept[0] < 0.2, kept
+
+
 # --- mixing
 
 
@@ -212,6 +229,24 @@ def test_viterbi_is_the_best_reading():
         assert abs(total(toxicity.restore(t, lm), next(s for w, s in ways if w == toxicity.restore(t, lm))) - max(total(w, s) for w, s in ways)) < 1e-9
 
 
+def test_long_tokens_are_read_as_before(monkeypatch):
+    r = np.random.default_rng(1)
+    lm = np.log(r.dirichlet(np.ones(32), (32, 32))).tolist()
+    for t in ("1d1ot-abc$$x0", "ab1cd2ef3" * 20, "n00b.s"):
+        whole = toxicity.restore(t, lm)
+        monkeypatch.setattr(toxicity, "OPEN", 10**9)
+        assert toxicity.restore(t, lm) == whole
+    monkeypatch.setattr(toxicity, "OPEN", 4)
+    assert len(toxicity.restore("10" * 50, lm)) <= 100
+
+
+def test_doubled_letters_have_both_readings():
+    s = np.frombuffer((" ".join(["idiot and scum moron letter"] * 300)).encode().translate(toxicity.SYMBOL), np.uint8).astype(int)
+    r = toxicity.Reader(toxicity.language_model(np.bincount((s[:-2] * 32 + s[1:-1]) * 32 + s[2:], minlength=32**3)))
+    assert set(r.of_words("iddiot")) | set(r.of_words("idiot")) <= r.features("an iddiot")
+    assert r.features("letter") == set(r.of_words("letter"))
+
+
 def test_held_out_toxic_texts(spark):
     bad = ["scum", "moron", "idiot"]
     texts = [text(30) + (f" {rng.choice(bad)} {text(5)}" if i % 4 == 0 else "") for i in range(400)]
@@ -445,6 +480,15 @@ def test_media_digests(spark):
         assert len(m["pcm"]) == 4 * len(p) and r["feature"].endswith(f"pcm_crc={zlib.crc32(m['pcm'])}")
 
 
+def test_long_payloads_piece_by_piece(monkeypatch):
+    payloads = [telephony.pad(np.random.default_rng(k).integers(0, 256, n).astype(np.uint8).tobytes()) for k, n in enumerate((10, 5000, 700, 20000))]
+    want = telephony.features(payloads)
+    pcm = [telephony.expand(telephony.store(p)).tobytes() for p in payloads]
+    monkeypatch.setattr(telephony, "CHUNK", 1300)
+    assert telephony.features(payloads) == want
+    assert [telephony.expand(telephony.store(p)).tobytes() for p in payloads] == pcm
+
+
 # --- pieces
 
 

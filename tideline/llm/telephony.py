@@ -125,47 +125,93 @@ def samples(media: bytes) -> np.ndarray:
     cut = block - max(rest, 4) if rest >= 4 else 0  # bytes that a short last block lacks
     data = np.append(data, np.zeros(cut, np.uint8)) if cut else data[: len(data) - rest]
     step = max(CHUNK // block, 1) * block
-    parts = [decode_adpcm(data[k : k + step], block).ravel() for k in range(0, len(data), step)]
-    out = np.concatenate(parts) if parts else np.empty(0, np.int16)
+    out = np.empty(len(data) // block * (1 + 2 * (block - 4)), np.int16)
+    at = 0
+    for k in range(0, len(data), step):
+        part = decode_adpcm(data[k : k + step], block).ravel()
+        out[at : at + len(part)] = part
+        at += len(part)
     return out[: len(out) - 2 * cut]
 
 
 def expand(media: bytes) -> np.ndarray:
     """The samples of such a file at twice the rate."""
     s = samples(media)
-    return resample(s, np.array([len(s)])) if len(s) else s
+    out = np.empty(2 * len(s), np.int16)
+    for k in range(0, len(s), CHUNK):
+        part = s[k : k + CHUNK]
+        out[2 * k : 2 * (k + len(part))] = resample(part, np.array([len(part)]), s[k + CHUNK : k + CHUNK + 1])
+    return out
+
 
+def resample(samples: np.ndarray, lengths: np.ndarray, following: np.ndarray | None = None) -> np.ndarray:
+    """Twice the rate by linear interpolation; lengths: of the recordings that lie one after another, whose ends aren't mixed.
 
-def resample(samples: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Twice the rate by linear interpolation; lengths: of the recordings that lie one after another, whose ends aren't mixed."""
+    following: the first sample of what the last recording goes on with, if it does.
+    """
     wide = samples.astype(np.int32)
     after = np.append(wide[1:], 0)
     ends = np.cumsum(lengths) - 1
     after[ends] = wide[ends]
+    if following is not None and len(following):
+        after[-1] = following[0]
     return np.stack((wide, (wide + after) >> 1), axis=1).astype(np.int16).ravel()
 
 
-def decode(payloads: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each payload: mu-law samples at twice the rate, mu-law and A-law samples, and ADPCM samples."""
-    at = 0
+class Levels:
+    """Features of a recording from its pieces, in order."""
+
+    def __init__(self) -> None:
+        self.peak, self.squares, self.size = [0, 0, 0], [0, 0, 0], [0, 0, 0]
+        self.crossings, self.pcm_crc, self.adpcm_crc, self.last = 0, 0, 0, None
+
+    def add(self, pcm: np.ndarray, mu: np.ndarray, a: np.ndarray, adpcm: np.ndarray) -> None:
+        """mu-law samples at twice the rate, mu-law and A-law samples, and ADPCM samples."""
+        for k, x in enumerate((mu, a, adpcm)):
+            self.peak[k] = max(self.peak[k], int(np.abs(x.astype(np.int32)).max()))
+            self.squares[k] += int(np.square(x.astype(np.int64)).sum())
+            self.size[k] += x.size
+        below = mu < 0
+        self.crossings += int(np.count_nonzero(below[1:] != below[:-1])) + (self.last is not None and bool(below[0]) != self.last)
+        self.last = bool(below[-1])
+        self.pcm_crc, self.adpcm_crc = zlib.crc32(pcm, self.pcm_crc), zlib.crc32(adpcm, self.adpcm_crc)
+
+    def feature(self) -> str:
+        level = [f"{p}/{int(np.sqrt(q / n))}" for p, q, n in zip(self.peak, self.squares, self.size, strict=True)]
+        return f"mu={level[0]};a={level[1]};adpcm={level[2]};zero={self.crossings};adpcm_crc={self.adpcm_crc};pcm_crc={self.pcm_crc}"
+
+
+def features(payloads: list[bytes]) -> list[str]:
+    """Short payloads are decoded together, a long one piece by piece: what is in memory has CHUNK bytes at most."""
+    out, at = [], 0
+    piece = CHUNK // BLOCK * BLOCK
     while at < len(payloads):
+        levels = Levels()
+        if len(payloads[at]) > piece:
+            data = np.frombuffer(payloads[at], np.uint8)
+            for k in range(0, len(data), piece):
+                part = data[k : k + piece]
+                mu = MU_LAW[part]
+                levels.add(resample(mu, np.array([len(mu)]), MU_LAW[data[k + piece : k + piece + 1]]), mu, A_LAW[part], decode_adpcm(part).ravel())
+            out.append(levels.feature())
+            at += 1
+            continue
         to, total = at, 0
-        while to < len(payloads) and (to == at or total + len(payloads[to]) <= CHUNK):
+        while to < len(payloads) and (to == at or total + len(payloads[to]) <= piece):
             total += len(payloads[to])
             to += 1
-        group = payloads[at:to]
-        data = np.frombuffer(b"".join(group), np.uint8)
-        lengths = np.array([len(p) for p in group])
-        mu, a = MU_LAW[data], A_LAW[data]
-        pcm = resample(mu, lengths)
-        step = CHUNK // BLOCK * BLOCK  # blocks stand alone: a very long payload is decoded piece by piece
-        adpcm = np.concatenate([decode_adpcm(data[k : k + step]) for k in range(0, len(data), step)])
-        start = 0
+        data = np.frombuffer(b"".join(payloads[at:to]), np.uint8)
+        lengths = np.array([len(p) for p in payloads[at:to]])
+        mu, a, adpcm = MU_LAW[data], A_LAW[data], decode_adpcm(data)
+        pcm, start = resample(mu, lengths), 0
         for n in lengths:
             end = start + n
-            yield pcm[2 * start : 2 * end], mu[start:end], a[start:end], adpcm[start // BLOCK : end // BLOCK]
+            levels = Levels()
+            levels.add(pcm[2 * start : 2 * end], mu[start:end], a[start:end], adpcm[start // BLOCK : end // BLOCK])
+            out.append(levels.feature())
             start = end
         at = to
+    return out
 
 
 def telephony(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", law: int = MU_LAW_FORMAT) -> DataFrame:
@@ -189,13 +235,8 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         texts = [t or b"" for t in texts]
         media = [store(pad(t)) for t in texts]
         back = [load(m) for m in media]
-        features = []
-        for pcm, mu, a, adpcm in decode(back):
-            level = [f"{int(np.abs(x.astype(np.int32)).max())}/{int(np.sqrt(np.square(x.astype(np.int64)).sum() / x.size))}" for x in (mu, a, adpcm)]
-            crossings = int(np.count_nonzero((mu[1:] < 0) != (mu[:-1] < 0)))
-            features.append(f"mu={level[0]};a={level[1]};adpcm={level[2]};zero={crossings};adpcm_crc={zlib.crc32(adpcm)};pcm_crc={zlib.crc32(pcm)}")
         sha = [[hashlib.sha256(x).hexdigest() for x in xs] for xs in (back, media)]
-        return [[len(t) for t in texts], [len(p) for p in back], sha[0], [zlib.crc32(p[-32:]) for p in back], [len(m) for m in media], sha[1], features]
+        return [[len(t) for t in texts], [len(p) for p in back], sha[0], [zlib.crc32(p[-32:]) for p in back], [len(m) for m in media], sha[1], features(back)]
 
     long, string = T.LongType(), T.StringType()
     names = [("n_bytes", long), ("payload_bytes", long), ("payload_sha256", string), ("tail_crc32", long), ("media_bytes", long), ("media_sha256", string), ("feature", string)]
