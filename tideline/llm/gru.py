@@ -37,7 +37,7 @@ GROUPS = 6
 #: Words of the texts that are in memory at once, if one text has no more; a partition trains on this many at a time.
 CHUNK_WORDS = 6 << 20
 #: Words after which a partition's counts are sent on.
-COUNTED = 1 << 17
+COUNTED = 1 << 18
 SEED = 11
 #: Symbols of the spelling model: 0 between words, letters, digits, other ASCII, first bytes beyond, and six for the bytes after.
 SYMBOLS = 36
@@ -114,17 +114,21 @@ class Gru:
         logits = np.empty((w.shape[2], len(order)), h.dtype)
         for k, (s, e) in enumerate(zip(starts, starts[1:], strict=False)):
             if s < e:
-                logits[:, s:e] = w[k].T @ x[:, s:e] + inner[k][:, None]
+                logits[:, s:e] = w[k].T @ x[:, s:e]
+                logits[:, s:e] += inner[k][:, None]
         return order, starts, logits
 
     def log_probs(self, h: np.ndarray, aim: np.ndarray) -> np.ndarray:
         """Of each row's symbol."""
         cls = self.class_of[aim]
-        logits = self.p[3].T @ h.T + self.p[4][:, None]
-        out = logits[cls, np.arange(len(aim))] - np.log(_softmax(logits)[1])
+        logits = self.p[3].T @ h.T
+        logits += self.p[4][:, None]
+        total = _softmax(logits)[1]
+        out = logits[cls, np.arange(len(aim))] - np.log(total)
         if self.split:
             order, _, logits = self.cells(h, cls)
-            out[order] += logits[self.slot_of[aim[order]], np.arange(len(order))] - np.log(_softmax(logits)[1])
+            total = _softmax(logits)[1]
+            out[order] += logits[self.slot_of[aim[order]], np.arange(len(order))] - np.log(total)
         return out
 
     def window(self, prev: np.ndarray, target: np.ndarray, h: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray]:
@@ -143,8 +147,8 @@ class Gru:
         flat, aim = hs.reshape(-1, n), target.ravel()
         cls, at = self.class_of[aim], np.arange(size)
         logits = self.p[3].T @ flat.T + self.p[4][:, None]
-        own = logits[cls, at]
         e, total = _softmax(logits)
+        own = logits[cls, at]
         loss = float(np.log(total).sum() - own.sum())
         d = e / (total * size)
         d[cls, at] -= 1 / size
@@ -154,8 +158,8 @@ class Gru:
         if self.split:
             order, starts, logits = self.cells(flat, cls)
             slots, at = self.slot_of[aim[order]], np.arange(len(order))
-            own = logits[slots, at]
             e, total = _softmax(logits)
+            own = logits[slots, at]
             loss += float(np.log(total).sum() - own.sum())
             d = e / (total * size)
             d[slots, at] -= 1 / size
@@ -240,18 +244,27 @@ class Exact:
         return np.rint(x * GRID) / GRID
 
     @staticmethod
-    def _place(x: np.ndarray) -> np.ndarray:
-        x = np.rint(np.multiply(x, FINE, out=x), out=x)
-        return np.add(np.clip(x, -REACH * FINE, REACH * FINE, out=x), REACH * FINE, out=x).astype(np.int32)
+    def _curve(values: np.ndarray, x: np.ndarray) -> np.ndarray:
+        """The curve at x, which is overwritten; beyond the table its ends."""
+        x *= FINE
+        np.rint(x, out=x)
+        x += REACH * FINE
+        return values.take(x.astype(np.int32), mode="clip")
 
     def step(self, a: np.ndarray, h: np.ndarray) -> np.ndarray:
         n = self.gru.hidden
         g = h @ self.u
-        rz = self.sigmoid[self._place(a[:, : 2 * n] + g[:, : 2 * n])]
-        new = self.tanh[self._place(a[:, 2 * n :] + rz[:, :n] * g[:, 2 * n :])]
-        h = new + rz[:, n:] * (h - new)
+        rz = self._curve(self.sigmoid, a[:, : 2 * n] + g[:, : 2 * n])
+        new = rz[:, :n] * g[:, 2 * n :]
+        new += a[:, 2 * n :]
+        new = self._curve(self.tanh, new)
+        h = h - new
+        h *= rz[:, n:]
+        h += new
         h *= GRID
-        return np.multiply(np.rint(h, out=h), 1 / GRID, out=h)
+        np.rint(h, out=h)
+        h *= 1 / GRID
+        return h
 
 
 def score_sequences(gru: Gru | Exact, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
