@@ -347,6 +347,24 @@ def test_links_by_brute_force(spark):
         assert [root.get(x, x) for x in signed] == brute_components(fp, signed)
 
 
+def test_heavy_buckets_are_split_by_further_bits(spark):
+    r = np.random.default_rng(6)
+    low, high = r.integers(0, 1 << 16, 3000, np.uint64), r.integers(0, 1 << 48, 3000, np.uint64)
+    fp = np.unique(np.concatenate(((high << np.uint64(16)) | np.uint64(7), (high[:200] << np.uint64(16)) | np.uint64(7) ^ np.uint64(1 << 40), low)))
+    plan = [(0xFFFF << 16 * k, 0, list(range(16 * k, 16 * k + 16))) for k in range(4)]  # a third of all rows agree on the first group
+    masks = simhash.further_masks(plan, 3)
+    assert sum(masks) == (1 << 64) - 1 and all(m & (0xFFFF << 16 * k) for m in masks for k in range(4))
+    df = common.durable(spark.createDataFrame([(int(x),) for x in fp.view(np.int64)], "fp long"))
+    root = {x["node"]: x["root"] for x in common.components(simhash.links(df, plan, 3, 256)).collect()}
+    signed = fp.view(np.int64).tolist()
+    assert [root.get(x, x) for x in signed] == brute_components(fp, signed)
+
+
+def test_distance_zero(spark):
+    out = simhash.near_duplicates(docs(spark, ["a b c", "a b c", "a b d"]), distance=0).collect()
+    assert {r["doc_id"]: r["component_id"] for r in out} == {0: 0, 1: 0, 2: 2}
+
+
 def test_allocation_is_least():
     r = np.random.default_rng(2)
     costs = r.random((3, 5)).tolist()

@@ -23,7 +23,7 @@ BITS = 64
 CHUNK = 1 << 17
 #: Fingerprints on which the bit groups and thresholds are fitted; the index itself holds every fingerprint.
 SAMPLE = 2048
-#: Rows of a bucket that are compared in one block; a larger bucket is compared as pairs of blocks.
+#: Rows of a bucket that are compared in one block. A larger bucket is split by further bits; one that stays large is compared as pairs of blocks.
 BLOCK = 2048
 
 
@@ -125,6 +125,7 @@ def plan_index(sample: np.ndarray, n: int, distance: int) -> list[tuple[int, int
 
     By the general pigeonhole principle, two fingerprints within `distance` agree to threshold t_i in some of m groups if the
     thresholds sum to distance - m + 1. The cost of a threshold is what it probes plus the pairs it is estimated to compare.
+    Distance 0 links nothing but equal fingerprints and needs no groups.
     """
     if len(sample) < 2:
         sample = np.array([0, 1], np.uint64)
@@ -185,14 +186,32 @@ def link_buckets(key: np.ndarray, fp: np.ndarray, distance: int) -> tuple[np.nda
     return fp[member].view(np.int64), fp[label[member]].view(np.int64)
 
 
+def further_masks(plan: list[tuple[int, int, list[int]]], distance: int) -> list[int]:
+    """distance + 1 masks that share out all bits, each with bits of every group: two fingerprints within `distance` agree on one of them whole."""
+    bits = [b for _, _, group in plan for b in group]
+    bits += [b for b in range(BITS) if b not in bits]
+    return [_mask(bits[k :: distance + 1]) for k in range(distance + 1)]
+
+
+def large(held: DataFrame, block: int) -> DataFrame:
+    """(key, blocks) of the buckets with more than `block` rows."""
+    return durable(held.groupBy("key").count().filter(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+
+
 def links(fps: DataFrame, plan: list[tuple[int, int, list[int]]], distance: int, block: int = BLOCK) -> DataFrame:
     """(a, b): for distinct fingerprints, links that connect all pairs within `distance`; a bucket gives a forest, never all its pairs.
 
-    A bucket of more than `block` rows is compared as pairs of blocks, each of them a group of its own, so that no task
-    depends on the size of a bucket.
+    The rows of a bucket of more than `block` are dealt to smaller ones: one for each of distance + 1 shares of all bits, on one of which two
+    linked rows agree. What is still larger (fingerprints that differ in a few bits only) is compared as pairs of blocks, each of them a group of
+    its own, so that no task depends on the size of a bucket.
     """
+    if not plan:
+        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).filter("false")
     sig = signatures(fps, plan)
-    heavy = durable(sig.groupBy("key").count().filter(F.col("count") > block).select("key", F.ceil(F.col("count") / block).cast("int").alias("blocks")))
+    first = large(sig, block).withColumnRenamed("blocks", "split")
+    again = F.array(*(F.xxhash64("key", F.lit(k), F.col("fp").bitwiseAND(F.lit(_signed(mask)).cast("long"))) for k, mask in enumerate(further_masks(plan, distance))))
+    sig = join_sized(sig, first, ["key"], row_bytes=16).select("fp", F.explode(F.when(F.col("split").isNull(), F.array("key")).otherwise(again)).alias("key"))
+    heavy = large(sig, block)
     own = F.pmod(F.xxhash64("fp", F.lit(7)), F.coalesce("blocks", F.lit(1))).cast("int")
     dealt = join_sized(sig, heavy, ["key"], row_bytes=16).withColumn("own", own)
     dealt = dealt.select(
@@ -224,6 +243,12 @@ def links(fps: DataFrame, plan: list[tuple[int, int, list[int]]], distance: int,
     return map_batches(dealt.select("key", "fp"), batches, "a long, b long").filter("a <> b")
 
 
+def linked(fps: DataFrame, distance: int) -> DataFrame:
+    """links() of a durable table of distinct fingerprints, with the plan fitted on a sample of them."""
+    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
+    return links(fps, plan_index(sample, fps.count(), distance), distance)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, distance: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
     """(id_col, *keep, fp, component_id): one row for each row of docs; component_id is the smallest id of the rows that it reaches.
 
@@ -235,9 +260,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     inner = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *(F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)))
     rows = durable(fingerprints(inner, "_id", "_text", words, tuple(f"_keep_{i}" for i in range(len(keep)))))
     fps = durable(rows.groupBy("fp").agg(F.min("_id").alias("least")))
-    sample = np.array([r[0] for r in fps.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64).view(np.uint64)
-    plan = plan_index(sample, fps.count(), distance)
-    roots = components(links(fps.select("fp"), plan, distance))
+    roots = components(linked(fps.select("fp"), distance))
     nodes = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     label = nodes.join(nodes.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
     out = rows.join(label, "fp")
