@@ -1,6 +1,7 @@
-"""Near-duplicate detection by the similarity of word shingles: MinHash bands give candidates, whole shingle sets decide.
+"""Near-duplicate detection by the similarity of word shingles: SimHash fingerprints and MinHash bands give candidates, whole shingle sets decide.
 
-Shingles are hashed in Python and numpy per Arrow batch. A text is known by the hash of its shingle set, so that texts of equal sets
+Fingerprints of five-word shingles within three bits are found by the generalised pigeonhole index of `simhash`. Of pairs that share 0.8 of
+their shingles few lie so near (a fingerprint of 64 bits differs in ten on average), so that bands complete the candidates. Shingles are hashed in Python and numpy per Arrow batch. A text is known by the hash of its shingle set, so that texts of equal sets
 are one node. Nothing that grows with the documents reaches the driver.
 """
 
@@ -14,12 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tideline.llm import simhash
 from tideline.llm.common import components, durable, join_sized, map_batches, text_hash
 
 #: Words of a shingle, and the least share of common shingles (Jaccard) of linked texts.
 WORDS, SIMILARITY = 5, 0.8
 #: Two texts of similarity s share none of the bands with chance (1 - s ** ROWS) ** BANDS: 5e-6 for 0.8.
 ROWS, BANDS = 6, 40
+#: Bits in which fingerprints of candidates differ at most.
+DISTANCE = 3
 #: Shingles that are permuted at once.
 CHUNK = 1 << 17
 #: Rows of a bucket that are compared in one block; a larger bucket is compared as pairs of blocks.
@@ -61,16 +65,25 @@ def bands(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def fingerprint(s: np.ndarray) -> int:
+    """The SimHash of a set of shingles, each of which counts once."""
+    sums = np.zeros(simhash.BITS, np.int64)
+    for k in range(0, len(s), CHUNK):
+        sums += np.unpackbits(s[k : k + CHUNK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int(np.packbits(2 * sums > len(s)).view(">u8")[0])
+
+
 def signed(docs: DataFrame, names: list[str], words: int) -> DataFrame:
-    """(*names, h, bands): hash of each row's shingle set, and its keys; none for a text without words."""
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("h", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """(*names, h, fp, bands): hash of each row's shingle set, its fingerprint and keys; no keys for a text without words."""
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("h", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
-            hs, keys, pending, at, total = np.zeros(b.num_rows, np.uint64), np.zeros((b.num_rows, BANDS), np.uint64), [], [], 0
+            hs, fps, keys = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), np.zeros((b.num_rows, BANDS), np.uint64)
+            pending, at, total = [], [], 0
             for i, text in enumerate(b.column(len(names)).to_pylist()):
                 if len(s := shingle_set(text, words)):
-                    hs[i] = set_hash(s)
+                    hs[i], fps[i] = set_hash(s), fingerprint(s)
                     pending.append(s), at.append(i)
                     total += len(s)
                 if pending and (total >= CHUNK or i == b.num_rows - 1):
@@ -78,7 +91,7 @@ def signed(docs: DataFrame, names: list[str], words: int) -> DataFrame:
                     pending, at, total = [], [], 0
             n = np.where(hs != 0, BANDS, 0)
             arrays = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(keys[hs != 0].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(hs.view(np.int64)), arrays], names=[*names, "h", "bands"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(hs.view(np.int64)), pa.array(fps.view(np.int64)), arrays], names=[*names, "h", "fp", "bands"])
 
     return map_batches(docs.select(*names, F.col("_text").cast("binary").alias("_text")), batches, schema)
 
@@ -163,19 +176,25 @@ def bucket_links(held: DataFrame, sets: DataFrame, similarity: float, block: int
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(id_col, component_id): one row for each row of docs; component_id is the smallest id of the rows that it reaches.
 
-    Rows link when they share at least `similarity` of their shingles. Null, empty and wordless texts are one component. Each bucket's
+    Rows link when they share at least `similarity` of their shingles. Null, empty and wordless texts are one component. Links between
+    fingerprints, and the ends of each bucket of bands, are verified first, which joins most groups at once. Each bucket's
     rows are first held against its first and last, which joins most groups at once; only buckets that then hold several components
     are compared row by row, and of buckets with the same rows only one. Large buckets are dealt in pairs of blocks.
     """
     inner = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), text_hash(F.col(text_col)).alias("_t"))
     rows = durable(signed(inner, ["_id", "_t"], words))
-    nodes = durable(rows.groupBy("h").agg(F.min("_id").alias("least"), F.min("_t").alias("_t")))
+    nodes = durable(rows.groupBy("h").agg(F.min("_id").alias("least"), F.min("_t").alias("_t"), F.min("fp").alias("fp")))
+    fps = durable(nodes.filter("h <> 0").groupBy("fp").agg(F.min("h").alias("first")))
+    near = durable(simhash.linked(fps.select("fp"), DISTANCE))
+    firsts = near.join(fps.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+    firsts = durable(firsts.unionByName(nodes.filter("h <> 0").join(fps, "fp").filter("h <> first").select(F.col("h").alias("x"), F.col("first").alias("y"))))
     held = rows.dropDuplicates(["h"]).select("h", F.explode("bands").alias("key"))
     ends = held.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("first"), F.max("h").alias("last")).filter("n > 1").drop("n")
     held = durable(held.join(ends, "key"))
-    want = durable(nodes.join(held.select("h").distinct(), "h", "left_semi").select("_t"))
+    asked = held.select("h").unionByName(firsts.select(F.explode(F.array("x", "y")).alias("h"))).distinct()
+    want = durable(nodes.join(asked, "h", "left_semi").select("_t"))
     sets = durable(shingle_sets(join_sized(inner, want, ["_t"], "left_semi", 16), words).dropDuplicates(["h"]))
-    pairs = held.select("h", F.explode(F.array("first", "last")).alias("o")).filter("h <> o").select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
+    pairs = held.select("h", F.explode(F.array("first", "last")).alias("o")).filter("h <> o").unionByName(firsts.toDF("h", "o")).select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
     near = durable(verified(pairs, sets, similarity))
     roots = components(near).select(F.col("node").alias("h"), "root")
     held = held.join(roots, "h", "left").select("key", "h", F.coalesce("root", "h").alias("root"))
