@@ -12,7 +12,7 @@ WEIGHTS = [5.0, 2.0, 1.0]
 SHARE = 1.5
 MOST = 2
 #: Rank intervals of a source that are summed before the one with the cut is looked at row by row.
-INTERVALS = 1024
+INTERVALS = 1 << 14
 
 
 def capped_shares(df: DataFrame, group: list[str], total: Column, weight: str, cap: str, out: str) -> DataFrame:
@@ -97,9 +97,9 @@ class Mix:
 
 
 def sized(docs: DataFrame, id_col: str, text_col: str, source_col: str, *keep: Column) -> DataFrame:
-    """_row, _id, _src, _size and _class of every row, and what else is to be kept."""
+    """_row (a hash of id, source and text, the same in every scan), _id, _src, _size and _class of every row, and what else is to be kept."""
     size = F.size(F.regexp_extract_all(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORD), F.lit(0))).cast("long")
-    rows = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), size.alias("_size"), *keep)
+    rows = docs.select(F.xxhash64(F.col(id_col), F.col(source_col), F.col(text_col)).alias("_row"), F.col(id_col).alias("_id"), F.col(source_col).alias("_src"), size.alias("_size"), *keep)
     return rows.withColumn("_class", class_of(F.col("_size")))
 
 
@@ -111,8 +111,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     fraction p that is left, documents are ranked by random odds u/(1-u) over inclusion odds p/(1-p), and taken in that order until
     the source's words are those wanted; the one at the cut is taken if its middle lies within.
 
-    Null texts have size 0; null is a source of its own, the last. Repeated rows each count; equal ranks go by id and size, so
-    reruns agree. A source without words has target 0. Other columns of docs are not looked at. Empty tables give an empty result.
+    Null texts have size 0; null is a source of its own, the last. Repeated rows each count; equal ranks go by id, size and a hash of the row, so
+    reruns agree; whole copies of a row, id included, are taken alike. A source without words has target 0. Other columns of docs are not looked at. Empty tables give an empty result.
     """
     rows = durable(sized(docs, id_col, text_col, source_col))  # no texts from here
     found = Mix(rows, weights, share, seed).copies(rows)
