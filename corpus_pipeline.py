@@ -7,14 +7,13 @@ left out.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm import lines, mixing, pieces, similar, toxicity
-from tideline.llm.common import durable, table, text_hash
+from tideline.llm.common import durable, join_sized, remove, shared_folder, table, text_hash
 
 #: A line goes if it stands in more than LINE_RATIO of a source's documents, and in at least LINE_LEAST different texts. Sources hold far
 #: more than hosts do, so that the ratio is far below that of hosts.
@@ -43,12 +42,22 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each group of linked texts stays, that of the smallest doc_id (then of the smallest hash of its text).
 
     Texts link when they share at least 0.8 of their five-word shingles, which is verified on the whole sets. Texts without words form
-    one group. Rows with the same doc_id and text count as one document.
+    one group. Rows with the same doc_id and text count as one document: that of the smallest lang, source and n_chars stays, nulls first.
+    Decisions are made on ids and hashes; texts are read again once, and are moved only if what goes is too much to be sent.
     """
-    docs = docs.select(*COLUMNS).withColumn("_key", F.struct("doc_id", text_hash(F.col("text")).alias("h")))
-    found = similar.near_duplicates(docs, id_col="_key")
-    stay = found.filter("_key <=> component_id").select("_key").distinct()
-    return docs.join(stay, "_key", "left_semi").dropDuplicates(["_key"]).select(*COLUMNS)
+    whole = F.xxhash64(*COLUMNS, *(F.col(c).isNull() for c in COLUMNS))
+    docs = docs.select(*COLUMNS).withColumn("_key", F.struct("doc_id", text_hash(F.col("text")).alias("h"))).withColumn("_row", whole)
+    found = durable(similar.near_duplicates(docs, id_col="_key"))
+    gone = found.filter("not (_key <=> component_id)").select("_key").distinct()
+    ids = durable(docs.select("_key", "_row", "lang", "source", "n_chars"))  # no texts
+    rows = durable(ids.join(found.filter("_key <=> component_id").groupBy("_key").count().filter("count > 1"), "_key", "left_semi"))
+    first = rows.groupBy("_key").agg(F.min(F.struct("lang", "source", "n_chars", "_row")).alias("_first"))
+    others = rows.join(first, "_key").filter("_row <> _first._row").select("_row").distinct()
+    kept = join_sized(docs, durable(gone), ["_key"], "left_anti", 32)
+    kept = join_sized(kept, durable(others), ["_row"], "left_anti", 16)
+    again = durable(rows.groupBy("_row").count().filter("count > 1").select("_row"))  # whole rows that repeat
+    once, more = join_sized(kept, again, ["_row"], "left_anti", 16), join_sized(kept, again, ["_row"], "left_semi", 16)
+    return once.unionByName(more.dropDuplicates(["_row"])).select(*COLUMNS)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -76,13 +85,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what lies between them is written to the shared folder named in spark.checkpoint.dir."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="tideline-pipeline-")
-    folder = f"{top.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; what lies between them is written to the shared folder named in spark.checkpoint.dir, and goes when the next stage is written."""
+    folder = f"{shared_folder(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{folder}/{k}-{name}")
-            docs = spark.read.parquet(f"{folder}/{k}-{name}")
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}-{STAGES[k - 1][0]}")
+        docs = spark.read.parquet(f"{folder}/{k}-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
