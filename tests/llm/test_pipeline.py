@@ -3,12 +3,11 @@
 import random
 from collections import Counter
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from tideline.llm import mixing, pieces, simhash, toxicity
+from tideline.llm import mixing, pieces, toxicity
 
 rng = random.Random(8)
 VOCABULARY = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 6))) for _ in range(150)]
@@ -61,21 +60,33 @@ def test_lines(spark, docs, sf_dir):
 
 
 def test_one_of_each_group_stays(spark, docs, sf_dir):
+    """Groups by brute force over five-word shingle sets and 0.8 of them in common, as near-duplicate stages are to link."""
     given = sorted(docs.collect(), key=lambda r: r["doc_id"])
-    fp = simhash.fingerprint_texts([r["text"].encode() for r in given])
+    sets = []
+    for r in given:
+        w = r["text"].lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)})
     label = list(range(len(given)))
     changed = True
     while changed:
         changed = False
-        for i in range(len(given)):
-            for j in np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= 3):
-                if label[j] > label[i]:
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if label[j] > label[i] and len(a & b) >= 0.8 * len(a | b):
                     label[j], changed = label[i], True
     want = sorted(given[k]["doc_id"] for k in set(label))
     assert sorted(r["doc_id"] for r in P.near_duplicate_stage(spark, docs, sf_dir).collect()) == want
     assert len(want) <= 260
 
 
+def test_rows_of_one_document(spark, docs, sf_dir):
+    a = (1, "one two three four five six", "en", "s2", 5)
+    rows = [a, a, (1, a[1], "en", "s1", 5), (1, a[1], None, "s9", 5), (2, "quite another text in here now", None, None, None), (2, "quite another text in here now", None, None, None)]
+    df = spark.createDataFrame(rows, docs.schema)
+    out = P.near_duplicate_stage(spark, df, sf_dir).collect()
+    assert sorted((r["doc_id"], r["lang"], r["source"]) for r in out) == [(1, None, "s9"), (2, None, None)]
+
+
 def test_mixing_repeats_rows(spark, docs, sf_dir):
     out = Counter(r["doc_id"] for r in P.mixing_stage(spark, docs, sf_dir).collect())
     assert out == Counter({r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect() if r["copies"]})
