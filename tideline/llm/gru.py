@@ -12,12 +12,11 @@ them, and tables of a fixed size reach the driver.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,10 +33,8 @@ WINDOWS = 400
 ROUNDS = 2
 #: Groups of documents (such as languages) whose words are classed and spelled apart; the rest count as one.
 GROUPS = 6
-#: Words of the texts that are in memory at once, if one text has no more; a partition trains on this many at a time.
-CHUNK_WORDS = 6 << 20
-#: Words after which a partition's counts are sent on.
-COUNTED = 1 << 18
+#: Bytes of the texts whose words are in memory at once, if one text has no more; symbols that a partition trains on at a time.
+CHUNK, CHUNK_SYMBOLS = 24 << 20, 6 << 20
 SEED = 11
 #: Symbols of the spelling model: 0 between words, letters, digits, other ASCII, first bytes beyond, and six for the bytes after.
 SYMBOLS = 36
@@ -47,8 +44,16 @@ GRAMS = SYMBOLS**4
 GRID, REACH, FINE = 1 << 14, 8, 1 << 10
 
 
-def tokens(text: bytes | None) -> list[bytes]:
-    return text.lower().split() if text else []
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of binary texts, one after another, and how many each text has; null texts have none."""
+    as_string = pc.cast(texts, options=pc.CastOptions(target_type=pa.string(), allow_invalid_utf8=True))
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(as_string, "")))
+    words, sizes = lists.flatten(), np.diff(lists.offsets.to_numpy()).astype(np.int64)
+    some = pc.greater(pc.binary_length(words), 0)  # beside white space at an end there is an empty one
+    kept = some.to_numpy(zero_copy_only=False)
+    if kept.all():
+        return words, sizes
+    return words.filter(some), np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept], minlength=len(sizes))
 
 
 # --- the recurrent part ---------------------------------------------------------
@@ -320,7 +325,7 @@ class Vocabulary:
 
     def __init__(self, head: list[tuple[bytes, int, str]], groups: list[str], n_tokens: int, n_distinct: int, n_docs: int, tail_tokens: int, spelling: np.ndarray, classes: int = CLASSES) -> None:
         """head: (word, count, group) in order of falling counts; groups: the largest, the rest count as one; spelling: what count_letters() counts."""
-        self.index = {w: i for i, (w, _, _) in enumerate(head)}
+        self.words = pa.array([w for w, _, _ in head], pa.binary()).cast(pa.string())
         self.n_tokens, self.n_distinct, self.groups = n_tokens, n_distinct, {g: k for k, g in enumerate(groups)}
         count = np.array([c for _, c, _ in head], float)
         group = np.array([self.groups.get(g, len(groups)) for _, _, g in head], int)
@@ -357,9 +362,9 @@ class Vocabulary:
     def gru(self) -> Gru:
         return Gru(self.end + 1, class_of=self.class_of, slot_of=self.slot_of, split=self.split, bias=self.bias, inner=self.inner)
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
+    def ids(self, words: pa.Array) -> np.ndarray:
         """Place in the head, or -1."""
-        return np.fromiter(map(self.index.get, words, repeat(-1)), np.int32, len(words))
+        return pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
 
     def symbols(self, ids: np.ndarray, rare: np.ndarray) -> np.ndarray:
         """rare: groups of the spelled words among ids, in their order."""
@@ -408,47 +413,44 @@ def _letters(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return ((s[at - 3] * SYMBOLS + s[at - 2]) * SYMBOLS + s[at - 1]) * SYMBOLS + s[at], flat[at], sizes
 
 
-def _chunks(texts: list[bytes | None], v: Vocabulary) -> Iterator[tuple[int, int, list[np.ndarray], list[list[bytes]]]]:
-    """Of some texts at a time: their ids and the words that are spelled; no other words are held."""
-    at, ids, rare, total = 0, [], [], 0
-    for i, t in enumerate(texts):
-        words = tokens(t)
-        ids.append(v.ids(words))
-        rare.append([words[k] for k in np.flatnonzero(ids[-1] < 0).tolist()])
-        total += len(words)
-        if total >= CHUNK_WORDS or i == len(texts) - 1:
-            yield at, i + 1, ids, rare
-            at, ids, rare, total = i + 1, [], [], 0
-
-
-def _stream(v: Vocabulary, ids: list[np.ndarray], rare: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of some texts one after another, each with its end, and which of them are words."""
-    group, _ = v.spelled([w for ws in rare for w in ws])
-    sizes = np.array([len(x) for x in ids], np.int64)
-    ends = np.cumsum(sizes) + np.arange(len(sizes))
-    out = np.full(int(sizes.sum()) + len(sizes), v.end, np.int32)
+def _pieces(texts: pa.Array, limit: int) -> Iterator[tuple[int, int]]:
+    """From and to: rows with so many bytes together, or one row with more."""
+    upto = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + limit, side="right")))
+        yield at, to
+        at = to
+
+
+def _chunks(texts: pa.Array, v: Vocabulary) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, list[bytes]]]:
+    """Of some texts at a time: from, to, ids, how many each has, and the words that are spelled; no other words are held."""
+    for at, to in _pieces(texts, CHUNK):
+        words, sizes = words_of(texts.slice(at, to - at))
+        ids = v.ids(words)
+        yield at, to, ids, sizes, words.filter(pa.array(ids < 0)).cast(pa.binary()).to_pylist()
+
+
+def _stream(v: Vocabulary, ids: np.ndarray, sizes: np.ndarray, rare: np.ndarray) -> np.ndarray:
+    """Symbols of some texts one after another, each with its end; rare: groups of the spelled words."""
+    out = np.full(len(ids) + len(sizes), v.end, np.int32)
     word = np.ones(len(out), bool)
-    word[ends] = False
-    out[word] = v.symbols(np.concatenate(ids), group)
-    return out, word
+    word[np.cumsum(sizes) + np.arange(len(sizes))] = False
+    out[word] = v.symbols(ids, rare)
+    return out
 
 
 def count_words(docs: DataFrame, group: str) -> DataFrame:
     """(word, n, top): counts over all rows of (_text, _group), and the group in which a word is most frequent."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by: dict[str, Counter] = {}
         for b in it:
-            for text, g in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                by.setdefault(g, Counter()).update(tokens(text))
-                if len(by[g]) > COUNTED:
-                    yield from out(by)
-                    by = {}
-        yield from out(by)
-
-    def out(by: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
-        for g, c in by.items():
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.binary()).cast(pa.string()), pa.array([g] * len(c), pa.string()), pa.array(list(c.values()), pa.int64())], names=["word", "g", "n"])
+            for g in pc.unique(b.column(1)).to_pylist():
+                texts = b.column(0).filter(pc.equal(b.column(1), g))
+                for at, to in _pieces(texts, CHUNK):
+                    found = pc.value_counts(words_of(texts.slice(at, to - at))[0])
+                    n = found.field("counts")
+                    yield pa.RecordBatch.from_arrays([found.field("values"), pa.array([g], pa.string()).take(pa.array(np.zeros(len(n), np.int32))), n], names=["word", "g", "n"])
 
     parts = map_batches(docs.select("_text", group), batches, "word string, g string, n long").groupBy("word", "g").agg(F.sum("n").alias("n"))
     return parts.groupBy("word").agg(F.sum("n").alias("n"), F.max_by("g", F.struct("n", "g")).alias("top"))
@@ -532,9 +534,9 @@ def train_round(docs: DataFrame, sent, start: np.ndarray, before: int) -> tuple[
         trainer = Trainer(v.gru().set_flat(start), before=before)
         held: list[np.ndarray] = []
         for b in it:
-            for _, _, ids, rare in _chunks(b.column(0).to_pylist(), v):
-                held.append(_stream(v, ids, rare)[0])
-                if sum(map(len, held)) >= CHUNK_WORDS:
+            for _, _, ids, sizes, rare in _chunks(b.column(0), v):
+                held.append(_stream(v, ids, sizes, v.spelled(rare)[0]))
+                if sum(map(len, held)) >= CHUNK_SYMBOLS:
                     trainer.feed(np.concatenate(held))
                     held = []
         if held:
@@ -553,6 +555,22 @@ def train_round(docs: DataFrame, sent, start: np.ndarray, before: int) -> tuple[
     return np.where(start < -64, start, flat), int(found.column("k").to_numpy().max())
 
 
+def _distinct(words: list[bytes], sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of words of texts one after another: a place of each different word of each text, how often the text has it, and where texts start among these."""
+    first, times, cuts, at = [], [], [0], 0
+    for n in sizes.tolist():
+        seen: dict[bytes, int] = {}
+        for k in range(at, at + n):
+            if (j := seen.setdefault(words[k], len(first))) == len(first):
+                first.append(k)
+                times.append(1)
+            else:
+                times[j] += 1
+        cuts.append(len(first))
+        at += n
+    return np.array(first, np.int64), np.array(times, np.int64), np.array(cuts)
+
+
 def score(docs: DataFrame, model: tuple[Vocabulary, Gru, DataFrame], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of docs: id, n_tokens, n_known, train_tokens, base_score, score (log10).
 
@@ -574,29 +592,25 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Gru, DataFrame], id_col: str
         v, g = sent.value
         g = Exact(g)
         for b in it:
-            for at, to, ids, rare in _chunks(b.column(2).to_pylist(), v):
-                sizes = np.array([len(i) for i in ids], np.int64)
-                flat, of = np.concatenate(ids), np.repeat(np.arange(len(ids)), sizes)
-                known = flat >= 0
-                stream, _ = _stream(v, ids, rare)
-                lp = score_sequences(g, stream, sizes + 1)
+            for at, to, flat, sizes, words in _chunks(b.column(2), v):
+                known, of = flat >= 0, np.repeat(np.arange(len(sizes)), sizes)
+                group, letters = v.spelled(words)
+                lp = score_sequences(g, _stream(v, flat, sizes, group), sizes + 1)
                 total = np.add.reduceat(lp, np.cumsum(sizes + 1) - sizes - 1) + np.bincount(of[known], v.in_cell[flat[known]], minlength=len(sizes))
                 base = np.bincount(of[known], v.base[flat[known]], minlength=len(sizes))
                 n_known = np.bincount(of[known], minlength=len(sizes))
-                tails = [Counter(ws) for ws in rare]
-                group, letters = v.spelled([w for t in tails for w in t])
-                cuts = pa.array(np.cumsum([0, *map(len, tails)]).astype(np.int32))
-                spelled = pa.array([w for t in tails for w in t], pa.binary()).cast(pa.string())
-                times = pa.array([k for t in tails for k in t.values()], pa.int32())
+                first, times, cuts = _distinct(words, np.bincount(of[~known], minlength=len(sizes)))
+                spelled = pa.array([words[k] for k in first.tolist()], pa.binary()).cast(pa.string())
+                cuts = pa.array(cuts.astype(np.int32))
                 columns = [
                     pa.array(sizes + 1),
                     pa.array(n_known + (v.n_tokens > 0)),
                     pa.array(base + v.base_end),
                     pa.array(total / np.log(10)),
                     pa.ListArray.from_arrays(cuts, spelled),
-                    pa.ListArray.from_arrays(cuts, times),
-                    pa.ListArray.from_arrays(cuts, pa.array(group)),
-                    pa.ListArray.from_arrays(cuts, pa.array(letters.astype(np.int32))),
+                    pa.ListArray.from_arrays(cuts, pa.array(times.astype(np.int32))),
+                    pa.ListArray.from_arrays(cuts, pa.array(group[first])),
+                    pa.ListArray.from_arrays(cuts, pa.array(letters[first].astype(np.int32))),
                 ]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(at, to - at), b.column(1).slice(at, to - at), *columns], names=schema.names)
 
