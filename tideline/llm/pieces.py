@@ -138,7 +138,7 @@ class Codec:
         self.is_byte[self.byte_id] = True
         self.trie = Trie(keys)
         self.unknown = float(min(self.scores[list(keys.values())])) - UNKNOWN
-        self.rows = [x.tolist() for x in (self.trie.base, self.trie.check, self.trie.value, self.scores)]
+        self.rows = [array("i", x.tobytes()) for x in (self.trie.base, self.trie.check, self.trie.value)] + [array("d", self.scores.tobytes())]
         if any(b" " in k.lstrip(b" ") or b"\n" in k for k in keys):
             raise ValueError("pieces cross words: this codec searches word by word")
 
@@ -289,7 +289,7 @@ def _codec(spark: SparkSession, model: str | None):
         return spark.sparkContext.broadcast(Codec(f.read()))
 
 
-def _groups(b: pa.RecordBatch, column: int, limit: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def _groups(b: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     at = 0
     while at < b.num_rows:
         to, total = at, 0

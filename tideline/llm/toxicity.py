@@ -28,7 +28,7 @@ SAMPLE, FEATURES = 12_000, 1_500
 #: Standard deviations by which a feature's toxic texts differ from what their share in the sample gives.
 LEAST_Z = 3.0
 #: Tokens whose features a worker remembers, and the most characters of such a token.
-REMEMBER, REMEMBERED_CHARS = 300_000, 64
+REMEMBER, REMEMBERED_CHARS = 200_000, 64
 #: Runs of characters whose readings are open at once; see restore().
 OPEN = 4096
 
