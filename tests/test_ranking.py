@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tideline.functions import series as S
 from tideline.operators import feedback as FB
 from tideline.operators import scorers as SC
-from tideline.operators.collection import Collection
+from tideline.operators.collection import Collection, Params
 from tideline.plans import evaluation as E
 from tideline.plans import registry
 from tideline.streaming.series import streaming_bins
@@ -53,7 +53,7 @@ def test_weights_and_ranks(spark):
     c = Collection(spark, SF)
     for name in ("rm1", "rm3", "trm"):
         for total, n in FB.expanded(c, name).groupBy("query_id").agg(F.sum("qw"), F.count("*")).select("sum(qw)", "count(1)").collect():
-            assert total == pytest.approx(1) and n <= FB.FB_TERMS + 3
+            assert total == pytest.approx(1) and n <= Params.fb_terms + 3
     r = SC.rank_with(c, "dirichlet").groupBy("query_id").agg(F.max("rank").alias("m"), F.countDistinct("rank").alias("d"), F.count("*").alias("n")).collect()
     assert all(x["m"] == x["d"] == x["n"] for x in r)
 

@@ -46,13 +46,16 @@ def stats_of(dense: str, keys: str, name: str) -> str:
     part = f"PARTITION BY {keys}"
     return f"""
 {name}_a AS (SELECT *, avg(x) OVER ({part}) AS m, avg(bg) OVER ({part}) AS mb, sum(x) OVER ({part}) AS sx, sum(bg) OVER ({part}) AS sb, count(*) OVER ({part}) AS n,
-  lead(x, 1) OVER ({part} ORDER BY t) AS x1, lead(x, 2) OVER ({part} ORDER BY t) AS x2 FROM {dense}),
+  lead(x, 1) OVER ({part} ORDER BY t) AS x1, lead(x, 2) OVER ({part} ORDER BY t) AS x2, lead(x, 3) OVER ({part} ORDER BY t) AS x3 FROM {dense}),
 {name}_b AS (SELECT {keys}, any_value(n) AS n, any_value(m) AS m, any_value(sx) AS sx,
   CASE WHEN sum((x - m) * (x - m)) > 1e-12 THEN sum((x - m) * (x1 - m)) / sum((x - m) * (x - m)) ELSE 0e0 END AS acf1,
   CASE WHEN sum((x - m) * (x - m)) > 1e-12 THEN sum((x - m) * (x2 - m)) / sum((x - m) * (x - m)) ELSE 0e0 END AS acf2,
+  CASE WHEN sum((x - m) * (x - m)) > 1e-12 THEN sum((x - m) * (x3 - m)) / sum((x - m) * (x - m)) ELSE 0e0 END AS acf3,
   CASE WHEN sum((x - m) * (x - m)) > 1e-12 AND sum((bg - mb) * (bg - mb)) > 1e-12 THEN sum((x - m) * (bg - mb)) / sqrt(sum((x - m) * (x - m)) * sum((bg - mb) * (bg - mb))) ELSE 0e0 END AS ccf,
   sum(CASE WHEN x > 0 THEN -(x / sx) * ln(x / sx) ELSE 0e0 END) AS ent,
   sum(CASE WHEN x > 0 AND bg > 0 THEN (x / sx) * ln((x / sx) / (bg / sb)) ELSE 0e0 END) AS tkl,
+  sum(CASE WHEN x > 0 AND bg > 0 THEN (x / sx) * ln((x / sx) / bg) ELSE 0e0 END) AS tkl_raw,
+  sum((coalesce(x / nullif(sx, 0), 0e0) + 1e-10) * ln((coalesce(x / nullif(sx, 0), 0e0) + 1e-10) / (coalesce(bg / nullif(sb, 0), 0e0) + 1e-10))) AS tkl_plus,
   avg(CASE WHEN x > 0 THEN 1e0 ELSE 0e0 END) AS bp,
   CASE WHEN avg((x - m) ** 2) > 1e-12 THEN avg((x - m) ** 3) / pow(avg((x - m) ** 2), 1.5e0) ELSE 0e0 END AS skew,
   CASE WHEN avg((x - m) ** 2) > 1e-12 THEN avg((x - m) ** 4) / pow(avg((x - m) ** 2), 2e0) ELSE 0e0 END AS kurt
@@ -79,3 +82,24 @@ def dense_query(terms: str, name: str, sma: int = 0) -> str:
 {name}_d AS (SELECT k.query_id, k.term, b.bin AS t, coalesce(w.x, 0e0) AS x, coalesce(g.x, 0e0) AS bg FROM (SELECT DISTINCT query_id, term FROM {terms}) k, bins b
   LEFT JOIN {name}_w w ON w.query_id = k.query_id AND w.term = k.term AND w.bin = b.bin LEFT JOIN {name}_t g ON g.query_id = k.query_id AND g.bin = b.bin),
 {name} AS (SELECT query_id, term, t, {smooth("x")} AS x, {smooth("bg")} AS bg FROM {name}_d)"""
+
+
+def mutual(dense: str, keys: str, name: str, lag: int = 2, levels: int = 4) -> str:
+    """CTEs ending in `name`: mi of x at t and t + lag, in classes of equal width, of dense(keys, t, x)."""
+    part = f"PARTITION BY {keys}"
+    return f"""
+{name}_c AS (SELECT {keys}, t, CASE WHEN hi > lo THEN least(CAST(floor((x - lo) / ((hi - lo) / {levels})) AS INTEGER), {levels - 1}) ELSE 0 END AS k
+  FROM (SELECT *, min(x) OVER ({part}) AS lo, max(x) OVER ({part}) AS hi FROM {dense})),
+{name}_p AS (SELECT {keys}, k AS a, lead(k, {lag}) OVER ({part} ORDER BY t) AS b FROM {name}_c),
+{name}_j AS (SELECT {keys}, a, b, CAST(count(*) AS DOUBLE) AS n FROM {name}_p WHERE b IS NOT NULL GROUP BY {keys}, a, b),
+{name}_m AS (SELECT *, sum(n) OVER ({part}) AS total, sum(n) OVER ({part}, a) AS na, sum(n) OVER ({part}, b) AS nb FROM {name}_j),
+{name} AS (SELECT {keys}, sum(n / total * ln(n * total / (na * nb))) AS mi FROM {name}_m GROUP BY {keys})"""
+
+
+def smooth_acf(dense: str, keys: str, name: str) -> str:
+    """CTEs ending in `name`: sacf2, the autocorrelation at lag 2 of the average of three, without its first two values."""
+    part = f"PARTITION BY {keys}"
+    return f"""
+{name}_s AS (SELECT {keys}, t, (x + lag(x, 1) OVER ({part} ORDER BY t) + lag(x, 2) OVER ({part} ORDER BY t)) / 3 AS y FROM {dense}),
+{name}_u AS (SELECT *, avg(y) OVER ({part}) AS m, lead(y, 2) OVER ({part} ORDER BY t) AS y2 FROM {name}_s WHERE y IS NOT NULL),
+{name} AS (SELECT {keys}, CASE WHEN sum((y - m) * (y - m)) > 1e-12 THEN sum((y - m) * (y2 - m)) / sum((y - m) * (y - m)) ELSE 0e0 END AS sacf2 FROM {name}_u GROUP BY {keys})"""

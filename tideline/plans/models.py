@@ -11,7 +11,7 @@ from tideline.functions import numeric as N
 from tideline.functions import series as S
 from tideline.operators import feedback as FB
 from tideline.operators import scorers as SC
-from tideline.operators.collection import BINS, Collection
+from tideline.operators.collection import BINS, Collection, Params, few
 from tideline.plans import duck, evaluation
 from tideline.plans import ranking as R
 from tideline.session import table
@@ -35,8 +35,8 @@ def topic_probability(c: Collection) -> DataFrame:
     """query_id, doc_id, term, bp: sum over topics of p(z|d) p(w|z) for the hits and the query's terms."""
     docs, words = topic_tables(c)
     pairs = c.hits.select("query_id", "doc_id").join(docs, "doc_id")
-    words = words.join(F.broadcast(c.query_terms.select("query_id", "term")), "term").withColumnRenamed("p", "pw")
-    return pairs.join(F.broadcast(words), ["query_id", "topic"]).groupBy("query_id", "doc_id", "term").agg(F.sum(F.col("p") * F.col("pw")).alias("bp"))
+    words = words.join(few(c.query_terms.select("query_id", "term"), c.n_terms), "term").withColumnRenamed("p", "pw")
+    return pairs.join(few(words, c.n_terms * TOPIC_COUNT), ["query_id", "topic"]).groupBy("query_id", "doc_id", "term").agg(F.sum(F.col("p") * F.col("pw")).alias("bp"))
 
 
 def with_topics(c: Collection) -> DataFrame:
@@ -52,62 +52,110 @@ QUERIES["lda_prob"] = lambda spark, sf: topic_probability(Collection(spark, sf))
 ORACLE_SQL["lda_prob"] = f"WITH {duck.HITS}, {duck.matrix()}, {_TOPIC_SQL} SELECT query_id, doc_id, term, round(bp, 9) AS p FROM bp"
 TOPIC_SCORERS = {
     **{f"lda_mode{k}": SC.Scorer(p) for k, p in SC.MODES.items()},
-    "lda_linear": SC.Scorer(f"(0.5e0 * {SC.DIR} + 0.5e0 * bp)"),
-    "lda_loglinear": SC.Scorer(f"(CASE WHEN bp > 0 THEN pow({SC.DIR}, 0.5e0) * pow(bp, 0.5e0) ELSE {SC.DIR} END)"),
-    "time_lda": SC.Scorer("((tf + 2500e0 * (0.5e0 * cp)) / (len + 2500e0))"),
+    "lda_linear": SC.Scorer(f"(lam * {SC.DIR} + (1 - lam) * bp)"),
+    "lda_loglinear": SC.Scorer(f"(CASE WHEN bp > 0 THEN pow({SC.DIR}, lam) * pow(bp, 1 - lam) ELSE {SC.DIR} END)"),
+    "time_lda": SC.Scorer("((tf + mu * ((1 - lam) * cp)) / (len + mu))"),
 }
+_TOPIC_SUMS = {**{f"lda_mode{k}": x for k, x in R.MODE_SQL.items()}, "lda_linear": "qw * ln((pd + bp) / 2)", "lda_loglinear": "qw * CASE WHEN bp > 0 THEN (ln(pd) + ln(bp)) / 2 ELSE ln(pd) END", "time_lda": "qw * (ln(tf + 1250e0 * cp) - ln(len + 2500e0))"}
 for _name, _scorer in TOPIC_SCORERS.items():
     QUERIES[f"rank_{_name}"] = lambda spark, sf, s=_scorer: SC.apply(with_topics(Collection(spark, sf)), s)
-    ORACLE_SQL[f"rank_{_name}"] = f"WITH {duck.HITS}, {duck.matrix()}, {_TOPIC_SQL}, {R._final('x', _scorer)} {duck.ranking('f')}"
+    ORACLE_SQL[f"rank_{_name}"] = f"WITH {duck.HITS}, {duck.matrix()}, {_TOPIC_SQL}, {R.scored_sql('x', _TOPIC_SUMS[_name])} {duck.ranking('f')}"
+QUERIES["rank_lda_kde"] = lambda spark, sf: SC.rank_with_density(c := Collection(spark, sf), with_topics(c), SC.MODES[3])
+ORACLE_SQL["rank_lda_kde"] = f"WITH {duck.HITS}, {duck.matrix()}, {_TOPIC_SQL}, {R.kde_sql(1000, R.ALIKE)}, {R.scored_sql('x', R.MODE_SQL[3], name='f0')}, {R._BLEND} {duck.ranking('f')}"
+
+
+def binned_topics(c: Collection) -> DataFrame:
+    """bin, topic, term, p: a topic's words among the documents of a bin (of its own topic, doc_id mod TOPIC_COUNT)."""
+    words = c.occurrences().withColumn("topic", (F.col("doc_id") % TOPIC_COUNT).cast("int")).groupBy("bin", "topic", "term").agg(F.sum("tf").alias("n"))
+    return words.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy("bin", "topic"))).select("bin", "topic", "term", "p")
+
+
+def binned_topic_probability(c: Collection) -> DataFrame:
+    """query_id, doc_id, term, bp: sum over topics of p(z|d) p(w|z, the document's bin)."""
+    docs, _ = topic_tables(c)
+    words = binned_topics(c).join(few(c.query_terms.select("query_id", "term"), c.n_terms), "term").withColumnRenamed("p", "pw")
+    pairs = c.hits.select("query_id", "doc_id", "bin").join(docs, "doc_id")
+    return pairs.join(few(words, c.n_terms * TOPIC_COUNT * BINS), ["query_id", "bin", "topic"]).groupBy("query_id", "doc_id", "term").agg(F.sum(F.col("p") * F.col("pw")).alias("bp"))
+
+
+def topic_time_probability(c: Collection) -> DataFrame:
+    """query_id, doc_id, term, p: sum over topics of p(z|d) p(w|z) p(the document's bin|z), a join of three tables."""
+    docs, words = topic_tables(c)
+    when = c.docs.groupBy((F.col("doc_id") % TOPIC_COUNT).cast("int").alias("topic"), "bin").agg(F.sum("len").alias("n"))
+    when = when.select("topic", "bin", (F.col("n") / F.sum("n").over(Window.partitionBy("topic"))).alias("pt"))
+    words = words.join(few(c.query_terms.select("query_id", "term"), c.n_terms), "term").withColumnRenamed("p", "pw")
+    pairs = c.hits.select("query_id", "doc_id", "bin").join(docs, "doc_id").join(few(when, TOPIC_COUNT * BINS), ["topic", "bin"])
+    return pairs.join(few(words, c.n_terms * TOPIC_COUNT), ["query_id", "topic"]).groupBy("query_id", "doc_id", "term").agg(F.round(F.sum(F.col("p") * F.col("pw") * F.col("pt")), 9).alias("p"))
+
+
+def with_binned_topics(c: Collection) -> DataFrame:
+    return c.matrix().join(binned_topic_probability(c), ["query_id", "doc_id", "term"], "left").withColumn("bp", F.coalesce("bp", F.lit(0.0)))
+
+
+_DT = f"dt AS (SELECT doc_id, topic, CASE WHEN topic = doc_id % {TOPIC_COUNT} THEN 0.55e0 ELSE 0.05e0 END AS p FROM docs, (SELECT unnest(range({TOPIC_COUNT})) AS topic))"
+for _mode in SC.MODES:
+    QUERIES[f"rank_binned_lda_mode{_mode}"] = lambda spark, sf, k=_mode: SC.apply(with_binned_topics(Collection(spark, sf)), SC.Scorer(SC.MODES[k]))
+    ORACLE_SQL[f"rank_binned_lda_mode{_mode}"] = f"""WITH {duck.HITS}, {duck.matrix()}, {_DT}, bw AS (SELECT bin, doc_id % {TOPIC_COUNT} AS topic, term, sum(tf) AS n FROM post GROUP BY ALL), bt AS (SELECT *, n / sum(n) OVER (PARTITION BY bin, topic) AS p FROM bw),
+bp AS (SELECT h.query_id, h.doc_id, qt.term, sum(dt.p * bt.p) AS bp FROM hits h JOIN qt USING (query_id) JOIN dt ON dt.doc_id = h.doc_id JOIN bt ON bt.bin = h.bin AND bt.topic = dt.topic AND bt.term = qt.term GROUP BY ALL),
+x AS (SELECT m.*, coalesce(bp, 0e0) AS bp FROM m LEFT JOIN bp USING (query_id, doc_id, term)), {R.scored_sql("x", R.MODE_SQL[_mode])} {duck.ranking("f")}"""
+QUERIES["lda_time_prob"] = lambda spark, sf: topic_time_probability(Collection(spark, sf))
+ORACLE_SQL["lda_time_prob"] = f"""WITH {duck.HITS}, {_DT}, tw AS (SELECT doc_id % {TOPIC_COUNT} AS topic, term, sum(tf) AS n FROM post GROUP BY ALL), tt AS (SELECT topic, term, n / sum(n) OVER (PARTITION BY topic) AS p FROM tw),
+tn AS (SELECT doc_id % {TOPIC_COUNT} AS topic, bin, sum(len) AS n FROM docs GROUP BY ALL), tm AS (SELECT topic, bin, n / sum(n) OVER (PARTITION BY topic) AS p FROM tn)
+SELECT h.query_id, h.doc_id, qt.term, round(sum(dt.p * tt.p * tm.p), 9) AS p FROM hits h JOIN qt USING (query_id) JOIN dt ON dt.doc_id = h.doc_id JOIN tt ON tt.topic = dt.topic AND tt.term = qt.term JOIN tm ON tm.topic = dt.topic AND tm.bin = h.bin GROUP BY ALL"""
 
 
 def with_clusters(c: Collection) -> DataFrame:
-    """The matrix of hits that have a cluster (labels of embeddings of the same id), bp: the term's share of the cluster's tokens."""
+    """The matrix of hits with bp: the term's share of the tokens of the hit's cluster (the label of the embedding of the same id); 0 for a hit without one."""
     member = table(c.spark, c.sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("label").alias("cluster"))
     tokens = c.postings.join(member, "doc_id").groupBy("cluster", "term").agg(F.sum("tf").alias("n")).withColumn("bp", F.col("n") / F.sum("n").over(Window.partitionBy("cluster"))).drop("n")
-    m = c.matrix().join(member, "doc_id")
+    m = c.matrix().join(member, "doc_id", "left")
     return m.join(tokens, ["cluster", "term"], "left").withColumn("bp", F.coalesce("bp", F.lit(0.0)))
 
 
 QUERIES["rank_cluster"] = lambda spark, sf: SC.apply(with_clusters(Collection(spark, sf)), SC.Scorer(SC.MODES[3]))
 ORACLE_SQL["rank_cluster"] = f"""WITH {duck.HITS}, {duck.matrix()}, cm AS (SELECT vec_id AS doc_id, label AS cluster FROM embeddings), ct AS (SELECT cluster, term, sum(tf) AS n FROM post JOIN cm USING (doc_id) GROUP BY ALL),
-cp2 AS (SELECT cluster, term, n / sum(n) OVER (PARTITION BY cluster) AS bp FROM ct), x AS (SELECT m.*, coalesce(cp2.bp, 0e0) AS bp FROM m JOIN cm USING (doc_id) LEFT JOIN cp2 ON cp2.cluster = cm.cluster AND cp2.term = m.term),
-{R._final("x", SC.Scorer(SC.MODES[3]))} {duck.ranking("f")}"""
+cp2 AS (SELECT cluster, term, n / sum(n) OVER (PARTITION BY cluster) AS bp FROM ct), x AS (SELECT m.*, coalesce(cp2.bp, 0e0) AS bp FROM m LEFT JOIN cm USING (doc_id) LEFT JOIN cp2 ON cp2.cluster = cm.cluster AND cp2.term = m.term),
+{R.scored_sql("x", R.MODE_SQL[3])} {duck.ranking("f")}"""
+
+#: A relevance model whose documents also weigh by the density of the hits at their time.
+QUERIES["rm_density"] = lambda spark, sf: FB.relevance_model(c := Collection(spark, sf), weights=SC.densities(c, 1000).withColumnRenamed("dens", "w")).select("query_id", "term", F.round("rm", 6).alias("rm"))
+ORACLE_SQL["rm_density"] = f"""WITH {duck.HITS}, {R.kde_sql(1000)}, r0 AS (SELECT h.query_id, p.term, sum(tf / h.len * e * dens) AS rm FROM hits h JOIN post p ON p.doc_id = h.doc_id JOIN kd ON kd.query_id = h.query_id AND kd.doc_id = h.doc_id WHERE rank <= 50 GROUP BY ALL),
+r1 AS (SELECT * FROM r0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rm, 10) DESC, term) <= 20) SELECT query_id, term, round(rm / sum(rm) OVER (PARTITION BY query_id), 6) AS rm FROM r1"""
 
 # --- feedback by bin ---------------------------------------------------------------------------
 
 
 def bin_models(c: Collection) -> DataFrame:
     """query_id, bin, term, rm: one relevance model for each bin, over the documents of the bin among the feedback documents."""
-    each = c.hit_tokens.filter(F.col("rank") <= FB.FB_DOCS)
-    docs = c.hits.filter(F.col("rank") <= FB.FB_DOCS).groupBy("query_id", "bin").agg(F.count("*").alias("n"))
+    each = c.hit_tokens.filter(F.col("rank") <= Params.fb_docs)
+    docs = c.hits.filter(F.col("rank") <= Params.fb_docs).groupBy("query_id", "bin").agg(F.count("*").alias("n"))
     out = each.groupBy("query_id", "bin", "term").agg(F.sum(F.col("tf") / F.col("len") * F.col("e")).alias("x")).join(F.broadcast(docs), ["query_id", "bin"])
     return out.select("query_id", "bin", "term", F.round(F.col("x") / F.col("n"), 9).alias("rm"))
 
 
 QUERIES["rm_per_bin"] = lambda spark, sf: bin_models(Collection(spark, sf))
-ORACLE_SQL["rm_per_bin"] = f"""WITH {duck.HITS}, n AS (SELECT query_id, bin, count(*) AS n FROM hits WHERE rank <= {FB.FB_DOCS} GROUP BY ALL)
-SELECT h.query_id, h.bin, p.term, round(sum(tf / h.len * e) / any_value(n.n), 9) AS rm FROM hits h JOIN post p ON p.doc_id = h.doc_id JOIN n ON n.query_id = h.query_id AND n.bin = h.bin WHERE rank <= {FB.FB_DOCS} GROUP BY h.query_id, h.bin, p.term"""
+ORACLE_SQL["rm_per_bin"] = f"""WITH {duck.HITS}, n AS (SELECT query_id, bin, count(*) AS n FROM hits WHERE rank <= {Params.fb_docs} GROUP BY ALL)
+SELECT h.query_id, h.bin, p.term, round(sum(tf / h.len * e) / any_value(n.n), 9) AS rm FROM hits h JOIN post p ON p.doc_id = h.doc_id JOIN n ON n.query_id = h.query_id AND n.bin = h.bin WHERE rank <= {Params.fb_docs} GROUP BY h.query_id, h.bin, p.term"""
 
 
 def kernel_models(c: Collection, sd: float = 2.0) -> DataFrame:
     """query_id, bin, term, rm: every feedback document counts in every bin by a normal density around its own; terms of under three letters or with digits go, the heaviest of a bin stay."""
     bins = F.explode(F.sequence(F.lit(0), F.lit(BINS - 1))).alias("b")
-    first = FB.clipped(c.hit_tokens.filter(F.col("rank") <= FB.FB_DOCS).filter("length(term) >= 3 and not term rlike '[0-9]'").groupBy("query_id", "term").agg(F.sum(F.col("tf") / F.col("len") * F.col("e")).alias("rm")), 100)
-    each = c.hit_tokens.filter(F.col("rank") <= FB.FB_DOCS).join(F.broadcast(first.select("query_id", "term")), ["query_id", "term"], "left_semi").select("query_id", "bin", "term", (F.col("tf") / F.col("len") * F.col("e")).alias("x"), bins)
+    first = FB.clipped(c.hit_tokens.filter(F.col("rank") <= Params.fb_docs).filter("length(term) >= 3 and not term rlike '[0-9]'").groupBy("query_id", "term").agg(F.sum(F.col("tf") / F.col("len") * F.col("e")).alias("rm")), 100)
+    each = c.hit_tokens.filter(F.col("rank") <= Params.fb_docs).join(few(first.select("query_id", "term"), 100 * len(c.topics)), ["query_id", "term"], "left_semi").select("query_id", "bin", "term", (F.col("tf") / F.col("len") * F.col("e")).alias("x"), bins)
     near = F.exp(-F.pow(F.col("bin") - F.col("b"), F.lit(2)) / (2 * sd * sd)) / (sd * np.sqrt(2 * np.pi))
     out = each.groupBy("query_id", "b", "term").agg(F.sum(F.col("x") * near).alias("rm"))
     order = Window.partitionBy("query_id", "b").orderBy(F.round("rm", 12).desc(), "term")
-    out = out.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= FB.FB_TERMS)
+    out = out.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= Params.fb_terms)
     return out.select("query_id", F.col("b").alias("bin"), "term", F.round(F.col("rm") / F.sum("rm").over(Window.partitionBy("query_id", "b")), 6).alias("rm"))
 
 
 QUERIES["rm_kernel"] = lambda spark, sf: kernel_models(Collection(spark, sf))
-ORACLE_SQL["rm_kernel"] = f"""WITH {duck.HITS}, k0 AS (SELECT query_id, p.term, h.bin, tf / h.len * e AS x FROM hits h JOIN post p ON p.doc_id = h.doc_id WHERE rank <= {FB.FB_DOCS} AND length(p.term) >= 3 AND NOT regexp_matches(p.term, '[0-9]')),
+ORACLE_SQL["rm_kernel"] = f"""WITH {duck.HITS}, k0 AS (SELECT query_id, p.term, h.bin, tf / h.len * e AS x FROM hits h JOIN post p ON p.doc_id = h.doc_id WHERE rank <= {Params.fb_docs} AND length(p.term) >= 3 AND NOT regexp_matches(p.term, '[0-9]')),
 k1a AS (SELECT query_id, term, sum(x) AS rm FROM k0 GROUP BY query_id, term),
 k1 AS (SELECT query_id, term FROM k1a QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(rm, 10) DESC, term) <= 100),
 k2 AS (SELECT query_id, b.bin, term, sum(x * exp(-pow(k0.bin - b.bin, 2) / 8e0) / (2e0 * sqrt(2 * pi()))) AS rm FROM k0 JOIN k1 USING (query_id, term), bins b GROUP BY ALL),
-k3 AS (SELECT * FROM k2 QUALIFY row_number() OVER (PARTITION BY query_id, bin ORDER BY round(rm, 12) DESC, term) <= {FB.FB_TERMS}) SELECT query_id, bin, term, round(rm / sum(rm) OVER (PARTITION BY query_id, bin), 6) AS rm FROM k3"""
+k3 AS (SELECT * FROM k2 QUALIFY row_number() OVER (PARTITION BY query_id, bin ORDER BY round(rm, 12) DESC, term) <= {Params.fb_terms}) SELECT query_id, bin, term, round(rm / sum(rm) OVER (PARTITION BY query_id, bin), 6) AS rm FROM k3"""
 QUERIES["bin_likelihood"] = lambda spark, sf: SC.best_query_bins(Collection(spark, sf)).select("query_id", F.col("b").alias("bin"), F.round("ll", 6).alias("ll"), F.round("post", 6).alias("post"))
 ORACLE_SQL["bin_likelihood"] = f"WITH {duck.BASE}, {R._QB} SELECT query_id, CAST(b AS INTEGER) AS bin, round(ll, 6) AS ll, round(e / sum(e) OVER (PARTITION BY query_id), 6) AS post FROM qb"
 
@@ -142,16 +190,16 @@ def cluster_feedback(c: Collection) -> DataFrame:
     """query_id, cluster, term, rm: a Gaussian mixture over time and score groups the feedback documents; each document weighs by its own score and its group's mean."""
 
     def fn(p: pd.DataFrame) -> pd.DataFrame:
-        p = p[p["rank"] <= FB.FB_DOCS].sort_values("rank")
+        p = p[p["rank"] <= Params.fb_docs].sort_values("rank")
         labels = N.mixture(np.stack([p.epoch.to_numpy(float), p.ql.to_numpy()], axis=1))
         means = pd.Series(np.exp(p.ql - p.ql.max())).groupby(labels).transform("mean").to_numpy()
         return pd.DataFrame({"query_id": p.query_id, "doc_id": p.doc_id, "cluster": labels, "w": means})
 
     member = _by_query(c, fn, "query_id string, doc_id long, cluster int, w double")
-    each = c.hit_tokens.join(F.broadcast(member), ["query_id", "doc_id"])
+    each = c.hit_tokens.join(few(member, c.n_hits), ["query_id", "doc_id"])
     rm = each.groupBy("query_id", "cluster", "term").agg(F.sum(F.col("tf") / F.col("len") * F.col("e") * F.exp("w")).alias("rm"))
     order = Window.partitionBy("query_id", "cluster").orderBy(F.round("rm", 10).desc(), "term")
-    return rm.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= FB.FB_TERMS).drop("k")
+    return rm.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= Params.fb_terms).drop("k")
 
 
 def _by_series(df: DataFrame, fn, schema: str) -> DataFrame:

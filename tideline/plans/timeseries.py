@@ -9,6 +9,7 @@ from tideline.functions import series as S
 from tideline.operators import feedback as FB
 from tideline.operators.collection import BINS, INTERVAL, START, Collection, bin_of
 from tideline.plans import duck
+from tideline.plans.ranking import query_dense
 from tideline.session import table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -151,6 +152,29 @@ for _kind, (_series, _sql) in KINDS.items():
         f"WITH {_sql}, q AS (SELECT name, t, {_cell}) SELECT name, t, round(log2(((n11 + 0.25e0) / (1 + n)) / (((n11 + n10 + 0.5e0) / (1 + n)) * ((n11 + n01 + 0.5e0) / (1 + n)))) / -log2((n11 + 0.25e0) / (1 + n)), 6) AS npmi FROM q",
     )
 
+    if _kind == "term":
+        #: Counts stay where the statistic is above a threshold, else they are 0.
+        _add(
+            "ts_chisq_shrunk_terms",
+            lambda spark, sf, s=_series: cells(s(spark, sf)).select("name", "t", F.when(F.expr(CHISQ) > 3.841, F.col("n11")).otherwise(0.0).alias("x")),
+            f"WITH {_sql}, q AS (SELECT name, t, {_cell}), k AS (SELECT *, (n11 + n10) * (n01 + n00) * (n11 + n01) * (n10 + n00) AS den FROM q) SELECT name, t, CASE WHEN den > 0 AND n * pow(n11 * n00 - n10 * n01, 2) / den > 3.841e0 THEN n11 ELSE 0e0 END AS x FROM k",
+        )
+        _add(
+            "ts_npmi_shrunk_terms",
+            lambda spark, sf, s=_series: cells(s(spark, sf)).select("name", "t", F.when(F.expr(NPMI) > 0, F.col("n11")).otherwise(0.0).alias("x")),
+            f"WITH {_sql}, q AS (SELECT name, t, {_cell}) SELECT name, t, CASE WHEN (n11 + 0.25e0) * (1 + n) > (n11 + n10 + 0.5e0) * (n11 + n01 + 0.5e0) THEN n11 ELSE 0e0 END AS x FROM q",
+        )
+        _add(
+            "ts_smooth_acf_terms",
+            lambda spark, sf, s=_series: FB.with_stats(s(spark, sf)).select("name", F.round("sacf2", 6).alias("sacf2")),
+            f"WITH {_sql}, {duck.smooth_acf('d', 'name', 'st')} SELECT name, round(sacf2, 6) AS sacf2 FROM st",
+        )
+        _add(
+            "ts_mutual_information_terms",
+            lambda spark, sf, s=_series: FB.with_stats(s(spark, sf)).select("name", F.round("mi1", 6).alias("mi1"), F.round("mi2", 6).alias("mi2")),
+            f"WITH {_sql}, {duck.mutual('d', 'name', 's1', 1)}, {duck.mutual('d', 'name', 's2', 2)} SELECT name, round(s1.mi, 6) AS mi1, round(s2.mi, 6) AS mi2 FROM s1 JOIN s2 USING (name)",
+        )
+
 CHISQ = "CASE WHEN (n11 + n10) * (n01 + n00) * (n11 + n01) * (n10 + n00) > 0 THEN n * pow(n11 * n00 - n10 * n01, 2) / ((n11 + n10) * (n01 + n00) * (n11 + n01) * (n10 + n00)) ELSE 0e0 END"
 NPMI = "log2(((n11 + 0.25e0) / (1 + n)) / (((n11 + n10 + 0.5e0) / (1 + n)) * ((n11 + n01 + 0.5e0) / (1 + n)))) / -log2((n11 + 0.25e0) / (1 + n))"
 
@@ -173,7 +197,7 @@ def zscores(series: DataFrame) -> DataFrame:
 _add(
     "query_series",
     lambda spark, sf: FB.query_series(c := Collection(spark, sf), c.query_terms).select("query_id", "term", F.posexplode(F.arrays_zip("xs", "bg")).alias("t", "z")).select("query_id", "term", "t", F.round("z.xs", 6).alias("x"), F.round("z.bg", 6).alias("bg")),
-    None,
+    f"WITH {duck.HITS}, {query_dense('qt', 'dq')} SELECT query_id, term, CAST(t AS INTEGER) AS t, round(x, 6) AS x, round(bg, 6) AS bg FROM dq",
 )
 _add(
     "burst_documents",

@@ -135,6 +135,20 @@ def blog_feed(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def within(docs: DataFrame, lang: str | None = "en", start: int | None = None, end: int | None = None) -> DataFrame:
+    """Documents of one language (lang) and of a span of time (epoch), both ends in it; those without an epoch go if a span is given."""
+    if lang is not None:
+        docs = docs.filter(F.col("lang") == lang)
+    if start is not None or end is not None:
+        docs = docs.filter(F.col("epoch").between(start if start is not None else -(1 << 62), end if end is not None else 1 << 62))
+    return docs
+
+
+def day(text: Column, pattern: str = "yyMMdd") -> Column:
+    """Seconds of a date such as 950131, at midnight UTC; null where it is none."""
+    return F.unix_timestamp(F.try_to_timestamp(text, F.lit(pattern)))
+
+
 def long_lines(text: Column, words: int = 15) -> Column:
     """The lines of more than so many words."""
     return F.array_join(F.filter(F.split(text, "\n"), lambda x: F.size(F.split(x, " ")) > words), "\n")

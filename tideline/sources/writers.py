@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def run_lines(run: DataFrame, run_id: str, limit: int | None = None) -> DataFrame:
+def run_lines(run: DataFrame, run_id: str, limit: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """'query Q0 doc rank score run' lines; ids of under two letters, and lines with two spaces together, are left out."""
     run = run.filter(F.col("rank") <= limit) if limit else run
     line = F.concat_ws(" ", "query_id", F.lit("Q0"), F.col("doc_id").cast("string"), F.col("rank").cast("string"), F.col("score").cast("string"), F.lit(run_id))
-    return run.filter(F.length(F.col("doc_id").cast("string")) >= 2).select("query_id", line.alias("value")).filter(~F.col("value").contains("  "))
+    return run.filter(F.length(F.col("doc_id").cast("string")) >= 2).select(*keep, "query_id", line.alias("value")).filter(~F.col("value").contains("  "))
 
 
 def write_run(run: DataFrame, path: str, run_id: str, limit: int | None = None, mode: str = "ignore") -> None:
@@ -27,6 +27,12 @@ def indri_queries(weights: DataFrame) -> DataFrame:
     return one.select("query_id", F.concat(F.lit("<query>\n<number>"), "query_id", F.lit("</number>\n<text>"), text, F.lit("</text>\n</query>")).alias("value"))
 
 
+def write_queries(weights: DataFrame, path: str) -> None:
+    """Queries as they were after expansion, a JSON object each: query_id and its terms with their weights, the heaviest first."""
+    one = weights.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("qw")).alias("k"), "term", "qw"))).alias("x"))
+    one.select("query_id", F.transform("x", lambda z: F.struct(z["term"].alias("term"), z["qw"].alias("weight"))).alias("terms")).write.mode("overwrite").json(path)
+
+
 def series_lines(series: DataFrame) -> DataFrame:
     """'term,c0,c1,...' of (term, bin, freq)."""
     per = series.groupBy("term").agg(F.array_sort(F.collect_list(F.struct("bin", "freq"))).alias("x"))
@@ -59,6 +65,6 @@ def write_partitioned(df: DataFrame, path: str, by: str, text: Column) -> None:
 
 def split_by_position(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Rows at even and at odd positions of the distinct keys."""
-    place = df.select(key).distinct().withColumn("_at", F.row_number().over(Window.orderBy(key)) - 1)
-    both = df.join(F.broadcast(place), key)
+    place = df.select(key).distinct().withColumn("_at", F.row_number().over(Window.orderBy(key)) - 1)  # of topics: a short list
+    both = df.join(place, key)
     return both.filter("_at % 2 = 0").drop("_at"), both.filter("_at % 2 = 1").drop("_at")
