@@ -244,11 +244,17 @@ def t_test(c: Collection) -> DataFrame:
     def fn(it):
         for p in it:
             t = (p.m / (p.sd / np.sqrt(p.n))).fillna(0.0).to_numpy(float)
-            yield pd.DataFrame({"t": t, "p_less": [N.student_below(v, n - 1) if np.isfinite(v) else 0.5 for v, n in zip(t, p.n, strict=True)]})
+            yield pd.DataFrame({"t": t.round(4), "p_less": [round(N.student_below(v, n - 1), 3) if np.isfinite(v) else 0.5 for v, n in zip(t, p.n, strict=True)]})
 
     return d.mapInPandas(fn, "t double, p_less double")
 
 
+def p_less(t: str, n: str) -> str:
+    """SQL: the chance that Student's t with n - 1 degrees lies below t, by Simpson's rule over tan-spaced points (the density in an angle is a power of its cosine)."""
+    f = f"pow(cos(a), {n} - 2)"
+    return f"(SELECT sum(w * {f}) FROM (SELECT CASE WHEN i IN (0, 1000) THEN 1e0 WHEN i % 2 = 1 THEN 4e0 ELSE 2e0 END AS w, -pi() / 2 + i / 1000e0 * (atan({t} / sqrt({n} - 1e0)) + pi() / 2) AS a FROM (SELECT unnest(range(1001)) AS i))) * (atan({t} / sqrt({n} - 1e0)) + pi() / 2) / (SELECT sum(w * {f}) FROM (SELECT CASE WHEN i IN (0, 1000) THEN 1e0 WHEN i % 2 = 1 THEN 4e0 ELSE 2e0 END AS w, -pi() / 2 + i / 1000e0 * pi() AS a FROM (SELECT unnest(range(1001)) AS i))) / pi()"
+
+
 def lasso(c: Collection) -> DataFrame:
     """predictor, coefficient of a lasso of average precision on the pre-retrieval predictors."""
     from pyspark.ml.feature import VectorAssembler
@@ -294,3 +300,27 @@ ORACLE_SQL["query_statistics"] = f"""WITH {duck.HITS}, d AS (SELECT q.query_id,
 {duck.stats_of("d", "query_id", "st")}, c AS (SELECT *, bin - avg(bin) OVER (PARTITION BY query_id) AS z FROM hits),
 ti AS (SELECT query_id, count(*) AS n, round(avg(pow(z, 3)) / pow(avg(pow(z, 2)), 1.5e0), 6) AS time_skew, round(avg(pow(z, 4)) / pow(avg(pow(z, 2)), 2), 6) AS time_kurt, round(avg(ql), 6) AS score_avg, round(stddev_samp(ql), 6) AS score_sd FROM c GROUP BY query_id)
 SELECT query_id, {", ".join(f"round({x}, 6) AS {x}" for x in ("acf1", "acf2", "kurt", "skew", "ent", "dp"))}, ti.n AS n, time_skew, time_kurt, score_avg, score_sd FROM st JOIN ti USING (query_id)"""
+
+
+ORACLE_SQL["ttest"] = f"""WITH {evaluation._paired_sql("dirichlet", "tsm_linear")}, s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(x - y) / nullif(stddev_samp(x - y) / sqrt(count(*)), 0) AS v FROM xy)
+SELECT round(coalesce(v, 0e0), 4) AS t, round({p_less("coalesce(v, 0e0)", "n")}, 3) AS p_less FROM s"""
+
+
+def logistic(c: Collection, level: float = 0.5) -> DataFrame:
+    """query_id, high, p: whether a topic's average precision is above the given part of the best, and its chance by a ridge logistic regression on the pre-retrieval predictors of all other topics."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = evaluation.run_measures(c, SC.rank_with(c, "dirichlet")).join(evaluation.pre_retrieval(c), "query_id").fillna(0.0)
+    rows = rows.withColumn("high", (F.col("map") > level * F.max("map").over(Window.partitionBy(F.lit(1)))).cast("double"))
+    rows = VectorAssembler(inputCols=list(evaluation._PRE), outputCol="features").transform(rows).select("query_id", "high", "features").persist()
+    out = None
+    for q in sorted(c.topics):  # one model for each topic: as many as there are topics
+        model = LogisticRegression(labelCol="high", regParam=0.1, elasticNetParam=0.0).fit(rows.filter(F.col("query_id") != q))
+        own = model.transform(rows.filter(F.col("query_id") == q)).select("query_id", F.col("high").cast("int").alias("high"), F.element_at(vector_to_array("probability"), -1).alias("p"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+QUERIES["logistic_loo"] = lambda spark, sf: logistic(Collection(spark, sf))
