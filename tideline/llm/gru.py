@@ -34,7 +34,7 @@ ROUNDS = 2
 #: Groups of documents (such as languages) whose words are classed and spelled apart; the rest count as one.
 GROUPS = 6
 #: Bytes of the texts whose words are in memory at once, if one text has no more; symbols that a partition trains on at a time.
-CHUNK, CHUNK_SYMBOLS = 24 << 20, 6 << 20
+CHUNK, CHUNK_SYMBOLS = 12 << 20, 4 << 20
 SEED = 11
 #: Symbols of the spelling model: 0 between words, letters, digits, other ASCII, first bytes beyond, and six for the bytes after.
 SYMBOLS = 36
@@ -290,7 +290,7 @@ def score_sequences(gru: Gru | Exact, flat: np.ndarray, sizes: np.ndarray) -> np
         heapq.heappush(heap, (load + int(sizes[i]), k))
     rows = sorted(rows, key=lambda r: -int(sizes[r].sum()))
     loads = np.array([int(sizes[r].sum()) for r in rows])
-    at = np.full((loads[0], lanes), -1, np.int64)  # where a lane's token stands in flat
+    at = np.full((loads[0], lanes), -1, np.int32)  # where a lane's token stands in flat
     for k, r in enumerate(rows):
         at[: loads[k], k] = np.concatenate([np.arange(starts[i], starts[i] + sizes[i]) for i in r])
     end = exact.gru.symbols - 1
@@ -593,7 +593,7 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Gru, DataFrame], id_col: str
         g = Exact(g)
         for b in it:
             for at, to, flat, sizes, words in _chunks(b.column(2), v):
-                known, of = flat >= 0, np.repeat(np.arange(len(sizes)), sizes)
+                known, of = flat >= 0, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
                 group, letters = v.spelled(words)
                 lp = score_sequences(g, _stream(v, flat, sizes, group), sizes + 1)
                 total = np.add.reduceat(lp, np.cumsum(sizes + 1) - sizes - 1) + np.bincount(of[known], v.in_cell[flat[known]], minlength=len(sizes))
