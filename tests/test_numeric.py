@@ -14,6 +14,13 @@ def test_density_sums_to_one_and_finds_modes():
     assert N.multimodality(x, draws=40) < 0.1
 
 
+def test_plug_in_bandwidth():
+    x = np.random.default_rng(0).standard_normal(400)
+    assert 0.6 < N.plug_in(x) / (1.06 * x.std(ddof=1) * 400**-0.2) < 1.2  # near the rule for normal data, below it for two humps
+    assert N.plug_in(np.concatenate([x, x + 8])) < 0.5 * N.bandwidth(np.concatenate([x, x + 8]))
+    assert N.plug_in(x * 3) == pytest.approx(3 * N.plug_in(x))
+
+
 def test_changes_and_bursts():
     x = np.array([1.0, 2, 1, 2, 1, 9, 8, 9, 8, 9])
     assert N.changepoints(x) == [5]
@@ -34,3 +41,17 @@ def test_probabilities():
     assert N.student_below(2.015, 5) == pytest.approx(0.95, abs=1e-3)
     assert N.student_below(-1.812, 10) == pytest.approx(0.05, abs=1e-3)
     assert N.chi_square_p(3.841) == pytest.approx(0.05, abs=1e-3)
+
+
+def test_mixture_by_rounds(spark):
+    from pyspark.sql import functions as F
+
+    from tideline.operators.collection import Collection
+    from tideline.plans.models import mixture_series
+
+    c = Collection(spark, "/root/testdata/sf0.001")
+    got = {(r["bin"], r["term"]): r["p"] for r in mixture_series(c).collect()}
+    n = c.totals.first()["n_tokens"]
+    rows = c.occurrences().filter("bin = 25").groupBy("term").agg(F.sum("tf").alias("n")).join(c.term_stats().select("term", "cf"), "term").collect()
+    want = N.against_background(np.array([r["n"] for r in rows]), np.array([r["cf"] / n for r in rows]))
+    assert {k[1]: v for k, v in got.items() if k[0] == 25} == pytest.approx({r["term"]: w for r, w in zip(rows, want, strict=True)}, rel=1e-4, abs=1e-7)

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tideline.functions.text import stem_word
+from tideline.functions.text import Stemmer, stemmed_tokens, stemmer
 from tideline.sources import readers, writers
 
 
@@ -60,5 +60,19 @@ def test_writers(spark, tmp_path):
     assert (even.count(), odd.count()) == (2, 1)
 
 
-def test_stems():
-    assert [stem_word(w) for w in ("ponies", "running", "classes", "is", "jumped", "quickly", "x1")] == ["pony", "run", "class", "is", "jump", "quick", "x1"]
+def test_stems(spark):
+    plain = Stemmer()
+    assert [plain.stem(w) for w in ("ponies", "running", "classes", "is", "jumped", "x1", "glasses", "bus")] == ["pony", "run", "class", "is", "jump", "x1", "glass", "bus"]
+    known = Stemmer({"active", "activity", "happy", "create", "nation", "national", "care", "walk", "magnet", "differ", "different", "employ"}, {"geese": "goose"})
+    words = {"happiness": "happy", "creation": "create", "nationality": "national", "nations": "nation", "caring": "care", "walker": "walk", "magnetic": "magnet", "difference": "different", "employment": "employ", "activity": "activity", "geese": "goose", "thingness": "thingness"}
+    assert {w: known.stem(w) for w in words} == words
+    docs = spark.createDataFrame([(1, "The walkers walked"), (2, None)], "doc_id int, text string")
+    out = stemmed_tokens(docs, stemmer(spark, {"walk"}), ["the"]).collect()
+    assert {r["doc_id"]: r["toks"] for r in out} == {1: ["walk", "walk"], 2: []}
+
+
+def test_filters_of_language_and_time(spark):
+    docs = spark.createDataFrame([(1, "en", 5), (2, "fr", 5), (3, "en", None), (4, "en", 9)], "doc_id int, lang string, epoch long")
+    assert {r["doc_id"] for r in readers.within(docs, "en", 5, 8).collect()} == {1}
+    assert {r["doc_id"] for r in readers.within(docs).collect()} == {1, 3, 4}
+    assert spark.createDataFrame([("950131",), ("x",)], "d string").select(readers.day(F.col("d"))).collect()[0][0] == 791510400

@@ -7,6 +7,31 @@ import math
 import numpy as np
 
 
+def plug_in(x: np.ndarray) -> float:
+    """The direct plug-in bandwidth of Sheather and Jones: the curvature of the density is estimated with bandwidths for its fourth and sixth derivatives.
+
+    All pairs of values are summed, a row at a time. Silverman's rule where the values are few or mostly alike.
+    """
+    n = len(x)
+    spread = min(v for v in (x.std(ddof=1), np.subtract(*np.percentile(x, [75, 25])) / 1.349) if v > 0) if n > 2 and x.std() > 0 else 0.0
+    if not spread:
+        return bandwidth(x)
+
+    def curvature(h: float, order: int) -> float:
+        total = 0.0
+        for v in x:
+            d = ((x - v) / h) ** 2
+            poly = d * d - 6 * d + 3 if order == 4 else d**3 - 15 * d * d + 45 * d - 15
+            total += float((np.exp(-0.5 * d) * poly).sum())
+        return total / (n * (n - 1) * h ** (order + 1) * math.sqrt(2 * math.pi))
+
+    sixth = -curvature(1.23 * spread * n ** (-1 / 9), 6)
+    if sixth <= 0:
+        return bandwidth(x)
+    fourth = curvature((2.394 / (n * sixth)) ** (1 / 7), 4)
+    return (1 / (2 * math.sqrt(math.pi) * n * fourth)) ** 0.2 if fourth > 0 else bandwidth(x)
+
+
 def bandwidth(x: np.ndarray) -> float:
     """Silverman's rule of thumb."""
     spread = x.std(ddof=1) if len(x) > 1 else 0.0

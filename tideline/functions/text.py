@@ -1,9 +1,9 @@
-"""Text functions: the token rule of the ranking operators, and a small rule stemmer."""
+"""Text functions: the token rule of the ranking operators, and a dictionary stemmer."""
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,28 +19,101 @@ def markup_tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "<[^>]*>", " "), "[^a-z0-9 ]", " "), " "), lambda x: x != "")
 
 
-# Suffix rules, tried in order; a rule holds if so many letters are left.
-SUFFIXES = [
-    ("sses", "ss", 2), ("ies", "y", 2), ("ness", "", 3), ("ments", "ment", 2), ("ings", "", 3), ("s", "", 3), ("ational", "ate", 2), ("ization", "ize", 2), ("ing", "", 3), ("edly", "", 3), ("ed", "", 3), ("ly", "", 3),
+# Families of endings in the order in which they are taken off, each (ending, what may stand instead, in order of preference). A
+# family of inflections is taken off even if no result is a known word; one of derivations only if one is.
+INFLECTIONS = [
+    [("ies", ["y", "ie"]), ("es", ["e", ""]), ("s", [""])],
+    [("ied", ["y", "ie"]), ("ed", ["e", ""])],
+    [("ing", ["e", ""])],
 ]
+DERIVATIONS = [
+    [("ability", ["able"]), ("ibility", ["ible"]), ("ivity", ["ive", ""]), ("ality", ["al", ""]), ("ity", ["e", "", "ous"])],
+    [("iness", ["y"]), ("ness", [""])],
+    [("ization", ["ize"]), ("ication", ["y"]), ("ation", ["ate", "e", ""]), ("ition", ["e", ""]), ("ion", ["e", ""])],
+    [("ier", ["y"]), ("izer", ["ize"]), ("er", ["e", ""]), ("or", ["e", ""])],
+    [("ically", ["ic", "ical"]), ("ably", ["able"]), ("ibly", ["ible"]), ("ily", ["y"]), ("ly", ["", "le"])],
+    [("ical", ["ic", "y"]), ("ial", ["e", "y", ""]), ("al", ["", "e"])],
+    [("ative", ["ate", "e", ""]), ("ive", ["e", ""])],
+    [("ize", ["", "e"]), ("ise", ["", "e"])],
+    [("iment", ["y"]), ("ment", ["", "e"])],
+    [("able", ["", "e"]), ("ible", ["", "e"])],
+    [("ism", ["", "e", "y"])],
+    [("ic", ["", "e", "y"])],
+    [("ency", ["ent"]), ("ancy", ["ant"])],
+    [("ence", ["ent", "e", ""]), ("ance", ["ant", "e", ""])],
+]
+SHORTEST, LONGEST = 3, 100
+VOWELS = "aeiouy"
+
+
+class Stemmer:
+    """A dictionary stemmer: endings come off until a known word is reached.
+
+    lexicon: known words, such as the frequent words of a collection, which are not taken further; exceptions: words with their stems.
+    """
 
+    def __init__(self, lexicon: set[str] | frozenset[str] = frozenset(), exceptions: dict[str, str] | None = None) -> None:
+        self.lexicon, self.exceptions = lexicon, exceptions or {}
 
-def stem_word(word: str) -> str:
-    """Words of up to two or from a hundred letters, and those with signs, stay as they are."""
-    word = word.lower()
-    if not 2 < len(word) < 100 or not word.isalpha() or word.endswith(("ss", "us", "is")):
+    def _taken(self, word: str, family: list[tuple[str, list[str]]], sure: bool) -> str:
+        """The word without its ending of a family; the word itself if it has none or, unless `sure`, no result is known."""
+        for ending, instead in family:
+            if not word.endswith(ending) or ending == "s" and word.endswith("ss"):
+                continue
+            root = word[: -len(ending)]
+            if len(root) < 2 or not any(c in VOWELS for c in root):
+                continue
+            single = [root[:-1]] if len(root) > 3 and root[-1] == root[-2] and instead[-1] == "" else []
+            options = [root + x for x in instead]
+            for option in [*options, *single]:
+                if option in self.lexicon:
+                    return option
+            if sure:
+                if single and root[-1] not in "lsz":
+                    return single[0]
+                return options[0] if ending.startswith("i") and ending != "ing" else options[-1]
+            return word
         return word
-    for suffix, to, least in SUFFIXES:
-        if word.endswith(suffix) and len(word) - len(suffix) >= least:
-            root = word[: len(word) - len(suffix)] + to
-            if suffix in ("ing", "ed") and len(root) > 3 and root[-1] == root[-2] and root[-1] not in "lsz":
-                root = root[:-1]
-            return root
-    return word
-
-
-@F.pandas_udf(T.StringType())
-def stem(words: pd.Series) -> pd.Series:
-    """Stems by Arrow batch; each distinct word once."""
-    known = {w: stem_word(w) for w in words.dropna().unique()}
-    return words.map(known)
+
+    def stem(self, word: str) -> str:
+        """Words of up to two or from a hundred letters, and those with other signs than letters, stay as they are."""
+        word = word.lower()
+        if not SHORTEST <= len(word) < LONGEST or not (word.isascii() and word.isalpha()):
+            return word
+        if word in self.exceptions:
+            return self.exceptions[word]
+        for family in INFLECTIONS:
+            if word in self.lexicon:
+                return word
+            word = self._taken(word, family, not word.endswith(("us", "is")))
+        for family in DERIVATIONS:
+            if word in self.lexicon:
+                return word
+            word = self._taken(word, family, False)
+        return word
+
+
+def stemmer(spark: SparkSession, lexicon: set[str] | None = None, exceptions: dict[str, str] | None = None):
+    """A function from a column of words to their stems, by Arrow batch; each distinct word of a batch once. The lexicon is sent to every executor: it must be a bounded list."""
+    sent = spark.sparkContext.broadcast(Stemmer(frozenset(lexicon or ()), exceptions))
+
+    @F.pandas_udf(T.StringType())
+    def stemmed(words: pd.Series) -> pd.Series:
+        known = {w: sent.value.stem(w) for w in words.dropna().unique()}
+        return words.map(known)
+
+    return stemmed
+
+
+def stemmed_tokens(docs: DataFrame, stem, stop: list[str] = (), text: str = "text") -> DataFrame:
+    """docs with toks: the tokens' stems, in order, without the tokens that are stop words before they are stemmed."""
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def apart(lists: pd.Series) -> pd.Series:
+        each = {w: w for ws in lists for w in ws}
+        made = stem.func(pd.Series(list(each), dtype=object))
+        by = dict(zip(each, made, strict=True))
+        return lists.map(lambda ws: [by[w] for w in ws])
+
+    kept = F.filter(tokens(F.col(text)), lambda w: ~w.isin(list(stop))) if stop else tokens(F.col(text))
+    return docs.withColumn("toks", apart(kept))

@@ -146,6 +146,12 @@ class Collection:
     def _read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}")
 
+    def stored(self, name: str, df: DataFrame) -> DataFrame:
+        """df, written beside the index when it is first asked for."""
+        if not exists(self.spark, f"{self.folder}/{name}/_SUCCESS"):
+            df.write.mode("overwrite").parquet(f"{self.folder}/{name}")
+        return self._read(name)
+
     @cached_property
     def tokenised(self) -> DataFrame:
         return tokenised(self.spark, self.sf_dir)

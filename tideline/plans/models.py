@@ -171,7 +171,8 @@ def _by_query(c: Collection, fn, schema: str) -> DataFrame:
 def kde_grid(c: Collection) -> DataFrame:
     def fn(p: pd.DataFrame) -> pd.DataFrame:
         p = p.sort_values("rank")
-        grid, y = N.density(p.epoch.to_numpy(float) / 86400, (p.ql / p.ql.sum()).to_numpy())
+        x = p.epoch.to_numpy(float) / 86400
+        grid, y = N.density(x, (p.ql / p.ql.sum()).to_numpy(), N.plug_in(x))
         return pd.DataFrame({"query_id": p.query_id.iloc[0], "doc_id": p.doc_id, "density": N.nearest(grid, y, p.epoch.to_numpy(float) / 86400), "mean": y.mean(), "sd": y.std(ddof=1)})
 
     return _by_query(c, fn, "query_id string, doc_id long, density double, mean double, sd double")
@@ -227,15 +228,39 @@ def changes(spark, sf) -> DataFrame:
     return _by_series(_event_series(spark, sf), fn, "name string, at array<int>")
 
 
-def mixture_series(c: Collection) -> DataFrame:
-    """bin, term, p: each bin's own model against the collection; a bin's distinct terms are one group."""
-    counts = c.postings.groupBy("bin", "term").agg(F.sum("tf").alias("n"))
-    counts = counts.join(c.postings.groupBy("term").agg(F.sum("tf").alias("cf")), "term").crossJoin(F.broadcast(c.totals)).select("bin", "term", "n", (F.col("cf") / F.col("n_tokens")).alias("bg"))
-
-    def fn(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"bin": p.bin, "term": p.term, "p": N.against_background(p.n.to_numpy(), p.bg.to_numpy())})
-
-    return counts.groupBy("bin").applyInPandas(fn, "bin int, term string, p double")
+def mixture_series(c: Collection, weight: float = 0.5, rounds: int = 50, change: float = 1e-6) -> DataFrame:
+    """bin, term, p: a bin's own model in the mixture weight * own + (1 - weight) * collection, by expectation maximisation from a uniform start.
+
+    A term's probability after k rounds follows from its count, its background and the k sums that its bin was divided by: only these sums, a
+    number for each bin and round, are carried along, and each round is one aggregate. A bin stops when its likelihood changes by less
+    than `change` of itself.
+    """
+    each = c.term_stats().select("term", (F.col("cf") / F.col("n_tokens")).alias("bg"), F.posexplode("xs").alias("bin", "n")).filter("n > 0")
+    counts = c.stored("bin_models", each)
+    sizes = {r["bin"]: r["k"] for r in counts.groupBy("bin").agg(F.count("*").alias("k")).collect()}  # a row a bin
+    sums: dict[int, list[float]] = {b: [] for b in sizes}
+    last, open_ = dict.fromkeys(sizes, float("-inf")), set(sizes)
+
+    def own(state: DataFrame) -> DataFrame:
+        step = lambda p, z: F.col("n") * weight * p / (weight * p + (1 - weight) * F.col("bg")) / z
+        return counts.join(F.broadcast(state), "bin").withColumn("p", F.aggregate("zs", 1 / F.col("k"), step))
+
+    def state(bins: set[int]) -> DataFrame:
+        return c.spark.createDataFrame([(b, float(sizes[b]), sums[b]) for b in sorted(bins)], "bin int, k double, zs array<double>")
+
+    for _ in range(rounds):
+        if not open_:
+            break
+        mixed = weight * F.col("p") + (1 - weight) * F.col("bg")
+        found = own(state(open_)).groupBy("bin").agg(F.sum(F.col("n") * weight * F.col("p") / mixed).alias("z"), F.sum(F.col("n") * F.ln(mixed)).alias("ll"))
+        for r in found.collect():
+            done = abs(r["ll"] - last[r["bin"]]) < change * abs(r["ll"])
+            last[r["bin"]] = r["ll"]
+            if done:
+                open_.discard(r["bin"])
+            else:
+                sums[r["bin"]].append(r["z"])
+    return own(state(set(sizes))).select("bin", "term", "p")
 
 
 def t_test(c: Collection) -> DataFrame:
@@ -279,10 +304,17 @@ QUERIES |= {
 }
 
 
+#: The most frequent terms of the collection that are known words to the stemmer, and how often they occur at least.
+LEXICON, LEXICON_LEAST = 100_000, 20
+
+
 def stems(c: Collection) -> DataFrame:
-    from tideline.functions.text import stem
+    """stem, tokens and terms of it; the collection's frequent terms are the lexicon."""
+    from tideline.functions.text import stemmer
 
-    return c.postings.groupBy("term").agg(F.sum("tf").alias("tf")).withColumn("stem", stem("term")).groupBy("stem").agg(F.sum("tf").cast("long").alias("tf"), F.count("*").alias("terms"))
+    words = c.term_stats().filter((F.col("cf") >= LEXICON_LEAST) & ~F.col("term").rlike("[0-9]")).orderBy(F.desc("cf"), "term").limit(LEXICON).select("term")
+    stem = stemmer(c.spark, {r[0] for r in words.collect()})
+    return c.term_stats().withColumn("stem", stem("term")).groupBy("stem").agg(F.sum("cf").cast("long").alias("tf"), F.count("*").alias("terms"))
 
 
 def query_statistics(c: Collection) -> DataFrame:

@@ -144,9 +144,10 @@ def within(docs: DataFrame, lang: str | None = "en", start: int | None = None, e
     return docs
 
 
-def day(text: Column, pattern: str = "yyMMdd") -> Column:
-    """Seconds of a date such as 950131, at midnight UTC; null where it is none."""
-    return F.unix_timestamp(F.try_to_timestamp(text, F.lit(pattern)))
+def day(text: Column) -> Column:
+    """Seconds of a date such as 950131, at midnight UTC; years from 70 on are of the last century; null where it is none."""
+    full = F.concat(F.when(F.substring(text, 1, 2) >= "70", "19").otherwise("20"), text)
+    return F.unix_timestamp(F.try_to_timestamp(full, F.lit("yyyyMMdd")))
 
 
 def long_lines(text: Column, words: int = 15) -> Column:
