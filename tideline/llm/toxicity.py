@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import durable, map_batches, one_thread, table
+from tideline.llm.common import durable, map_batches, one_thread, table, tidied
 
 # What a written character may stand for, and what may stand between the letters of a word.
 LEET = {
@@ -282,12 +282,15 @@ def score_column(spark: SparkSession, model: tuple[np.ndarray, dict[int, float],
     """The score as a function of a text column, for plans that go on with the row."""
     sent = spark.sparkContext.broadcast((model[0].astype(np.float32), *model[1:]))
 
-    @F.pandas_udf("double")
-    def scored(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def scores(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
         scorer = Scorer(*sent.value)
         for texts in it:
             yield pd.Series([scorer.score(t) for t in texts], dtype="float64")
 
+    @F.pandas_udf("double")
+    def scored(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidied(scores)(it)
+
     def column(text: str):
         with one_thread(spark):
             return scored(text)
