@@ -74,16 +74,16 @@ def fingerprint(s: np.ndarray) -> int:
 
 
 def signed(docs: DataFrame, names: list[str], words: int) -> DataFrame:
-    """(*names, h, fp, bands): hash of each row's shingle set, its fingerprint and keys; no keys for a text without words."""
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("h", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
+    """(*names, h, n, fp, bands): hash and size of each row's shingle set, its fingerprint and keys; no keys for a text without words."""
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("h", T.LongType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in it:
             hs, fps, keys = np.zeros(b.num_rows, np.uint64), np.zeros(b.num_rows, np.uint64), np.zeros((b.num_rows, BANDS), np.uint64)
-            pending, at, total = [], [], 0
+            sizes, pending, at, total = np.zeros(b.num_rows, np.int32), [], [], 0
             for i, text in enumerate(b.column(len(names)).to_pylist()):
                 if len(s := shingle_set(text, words)):
-                    hs[i], fps[i] = set_hash(s), fingerprint(s)
+                    hs[i], fps[i], sizes[i] = set_hash(s), fingerprint(s), len(s)
                     pending.append(s), at.append(i)
                     total += len(s)
                 if pending and (total >= CHUNK or i == b.num_rows - 1):
@@ -91,7 +91,7 @@ def signed(docs: DataFrame, names: list[str], words: int) -> DataFrame:
                     pending, at, total = [], [], 0
             n = np.where(hs != 0, BANDS, 0)
             arrays = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), pa.array(keys[hs != 0].ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(hs.view(np.int64)), pa.array(fps.view(np.int64)), arrays], names=[*names, "h", "fp", "bands"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(hs.view(np.int64)), pa.array(sizes), pa.array(fps.view(np.int64)), arrays], names=[*names, "h", "n", "fp", "bands"])
 
     return map_batches(docs.select(*names, F.col("_text").cast("binary").alias("_text")), batches, schema)
 
@@ -176,25 +176,27 @@ def bucket_links(held: DataFrame, sets: DataFrame, similarity: float, block: int
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """(id_col, component_id): one row for each row of docs; component_id is the smallest id of the rows that it reaches.
 
-    Rows link when they share at least `similarity` of their shingles. Null, empty and wordless texts are one component. Links between
-    fingerprints, and the ends of each bucket of bands, are verified first, which joins most groups at once. Each bucket's
-    rows are first held against its first and last, which joins most groups at once; only buckets that then hold several components
-    are compared row by row, and of buckets with the same rows only one. Large buckets are dealt in pairs of blocks.
+    Rows link when they share at least `similarity` of their shingles. Null, empty and wordless texts are one component. Rows that
+    fingerprints link, and each bucket's rows with its first and last, are verified first, which joins most groups at once; only buckets that then
+    hold several components are compared row by row, and of buckets with the same rows only one. Large buckets are dealt in pairs of blocks.
     """
     inner = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), text_hash(F.col(text_col)).alias("_t"))
     rows = durable(signed(inner, ["_id", "_t"], words))
-    nodes = durable(rows.groupBy("h").agg(F.min("_id").alias("least"), F.min("_t").alias("_t"), F.min("fp").alias("fp")))
-    fps = durable(nodes.filter("h <> 0").groupBy("fp").agg(F.min("h").alias("first")))
+    nodes = durable(rows.groupBy("h").agg(F.min("_id").alias("least"), F.min("_t").alias("_t"), F.min("n").alias("n"), F.min("fp").alias("fp")))
+    own = F.struct("h", "n")
+    fps = durable(nodes.filter("h <> 0").groupBy("fp").agg(F.min(own).alias("first")))
     near = durable(simhash.linked(fps.select("fp"), DISTANCE))
     firsts = near.join(fps.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(fps.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
-    firsts = durable(firsts.unionByName(nodes.filter("h <> 0").join(fps, "fp").filter("h <> first").select(F.col("h").alias("x"), F.col("first").alias("y"))))
-    held = rows.dropDuplicates(["h"]).select("h", F.explode("bands").alias("key"))
-    ends = held.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("first"), F.max("h").alias("last")).filter("n > 1").drop("n")
+    firsts = firsts.unionByName(nodes.filter("h <> 0").join(fps, "fp").select(own.alias("x"), F.col("first").alias("y")))
+    held = rows.dropDuplicates(["h"]).select("h", "n", F.explode("bands").alias("key"))
+    ends = held.groupBy("key").agg(F.count("*").alias("c"), F.min(own).alias("first"), F.max(own).alias("last")).filter("c > 1").drop("c")
     held = durable(held.join(ends, "key"))
-    asked = held.select("h").unionByName(firsts.select(F.explode(F.array("x", "y")).alias("h"))).distinct()
+    pairs = held.select(own.alias("x"), F.explode(F.array("first", "last")).alias("y")).unionByName(firsts).filter("x.h <> y.h")
+    pairs = pairs.filter(F.least("x.n", "y.n") / F.greatest("x.n", "y.n") >= similarity)  # sets of other sizes are never so similar
+    pairs = durable(pairs.select(F.least("x.h", "y.h").alias("a"), F.greatest("x.h", "y.h").alias("b")).distinct())
+    asked = held.select("h").unionByName(pairs.select(F.explode(F.array("a", "b")).alias("h"))).distinct()
     want = durable(nodes.join(asked, "h", "left_semi").select("_t"))
     sets = durable(shingle_sets(join_sized(inner, want, ["_t"], "left_semi", 16), words).dropDuplicates(["h"]))
-    pairs = held.select("h", F.explode(F.array("first", "last")).alias("o")).filter("h <> o").unionByName(firsts.toDF("h", "o")).select(F.least("h", "o").alias("a"), F.greatest("h", "o").alias("b")).distinct()
     near = durable(verified(pairs, sets, similarity))
     roots = components(near).select(F.col("node").alias("h"), "root")
     held = held.join(roots, "h", "left").select("key", "h", F.coalesce("root", "h").alias("root"))
