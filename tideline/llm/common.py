@@ -16,6 +16,8 @@ ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: The largest table, in bytes of its values, that is sent to every executor.
 BROADCAST_BYTES = 8 << 20
+#: Rows of an Arrow batch, where the session keeps Spark's own default: texts are long, and a batch is held by the JVM and by Python at once.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1500"
 
 
 def ascii_lower(col: Column) -> Column:
@@ -84,9 +86,30 @@ def tidied(fn: Callable) -> Callable:
     return run
 
 
+def gathered(it: Iterator, column: int, limit: int) -> Iterator:
+    """Arrow batches put together until a column holds `limit` bytes."""
+    import pyarrow as pa
+
+    held, size = [], 0
+    for b in it:
+        held.append(b)
+        size += b.column(column).nbytes
+        if size >= limit:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, size = [], 0
+    if held and (rows := pa.Table.from_batches(held).combine_chunks().to_batches()):
+        yield rows[0]
+
+
 def map_batches(df: DataFrame, fn: Callable, schema: str | T.StructType) -> DataFrame:
-    """df.mapInArrow(fn, schema) with workers of one thread, which are tidied afterwards."""
-    with one_thread(df.sparkSession):
+    """df.mapInArrow(fn, schema) with workers of one thread, which are tidied afterwards, and batches of BATCH_ROWS rows.
+
+    The size of batches is a setting of the session, which stays set, since plans run later; one that the session has changed itself is kept.
+    """
+    spark = df.sparkSession
+    if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+    with one_thread(spark):
         return df.mapInArrow(tidied(fn), schema)
 
 

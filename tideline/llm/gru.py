@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import durable, map_batches, table
+from tideline.llm.common import durable, gathered, map_batches, table
 
 #: The most frequent words, which have a class, a cell and a share of it, and how often each must occur; all others are spelled.
 HEAD, LEAST = 200_000, 4
@@ -444,7 +444,7 @@ def count_words(docs: DataFrame, group: str) -> DataFrame:
     """(word, n, top): counts over all rows of (_text, _group), and the group in which a word is most frequent."""
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in it:
+        for b in gathered(it, 0, CHUNK):
             for g in pc.unique(b.column(1)).to_pylist():
                 texts = b.column(0).filter(pc.equal(b.column(1), g))
                 for at, to in _pieces(texts, CHUNK):
@@ -533,7 +533,7 @@ def train_round(docs: DataFrame, sent, start: np.ndarray, before: int) -> tuple[
         v = sent.value
         trainer = Trainer(v.gru().set_flat(start), before=before)
         held: list[np.ndarray] = []
-        for b in it:
+        for b in gathered(it, 0, CHUNK):
             for _, _, ids, sizes, rare in _chunks(b.column(0), v):
                 held.append(_stream(v, ids, sizes, v.spelled(rare)[0]))
                 if sum(map(len, held)) >= CHUNK_SYMBOLS:
@@ -591,7 +591,7 @@ def score(docs: DataFrame, model: tuple[Vocabulary, Gru, DataFrame], id_col: str
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, g = sent.value
         g = Exact(g)
-        for b in it:
+        for b in gathered(it, 2, CHUNK):
             for at, to, flat, sizes, words in _chunks(b.column(2), v):
                 known, of = flat >= 0, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
                 group, letters = v.spelled(words)

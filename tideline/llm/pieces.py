@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import map_batches, table
+from tideline.llm.common import gathered, map_batches, table
 
 #: Where the query's model is, if the session doesn't name another in MODEL_SETTING.
 MODEL, MODEL_SETTING = "/opt/tokenizers/piece_bpe_32k.model", "spark.tideline.pieces.model"
@@ -27,6 +27,8 @@ NORMAL, USER, BYTE = 1, 4, 6
 UNIGRAM = 1
 #: Bytes of distinct words that one search holds; if that is fewer than FEW words, they are searched one by one.
 CELLS, FEW = 1 << 20, 24
+#: Bytes of text whose words are searched together.
+TEXTS = 4 << 20
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -289,7 +291,7 @@ def _codec(spark: SparkSession, model: str | None):
         return spark.sparkContext.broadcast(Codec(f.read()))
 
 
-def _groups(b: pa.RecordBatch, column: int, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def _groups(b: pa.RecordBatch, column: int, limit: int = TEXTS) -> Iterator[pa.RecordBatch]:
     at = 0
     while at < b.num_rows:
         to, total = at, 0
@@ -307,7 +309,7 @@ def encode(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("do
     schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType()))])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in gathered(it, len(keep), TEXTS):
             for b in _groups(batch, len(keep)):
                 ids, n = codec.value.encode(b.column(len(keep)).to_pylist())
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(ids.astype(np.int32)))
@@ -342,7 +344,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod
     schema = T.StructType([docs.schema[id_col], *(T.StructField(k, v) for k, v in names.items())])
 
     def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in gathered(it, 1, TEXTS):
             for b in _groups(batch, 1):
                 texts = b.column(1).to_pylist()
                 ids, n = codec.value.encode(texts)
