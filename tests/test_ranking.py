@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions import series as S
+from tideline.functions.text import markup_tokens
 from tideline.operators import feedback as FB
 from tideline.operators import scorers as SC
 from tideline.operators.collection import Collection, Params
@@ -38,11 +39,26 @@ def test_series_by_hand(spark):
     assert value(spark, S.mutual_information(a, 1, 2), a=[0, 1] * 10) == pytest.approx(0.69, abs=0.01)
 
 
+def test_distributions_and_scales(spark):
+    row = spark.range(1).select(F.expr(FB.pexp("2e0", "0.5e0")), F.expr(FB.pexp("-1e0", "0.5e0")), F.expr(FB.pnorm("1.96e0")), F.expr(FB.pnorm("-1e0"))).first()
+    assert row[0] == pytest.approx(1 - math.exp(-1)) and row[1] == 0 and row[2] == pytest.approx(0.975, abs=1e-4) and row[3] == pytest.approx(0.158655, abs=1e-5)
+    w = spark.createDataFrame([("q", "a", 1.0), ("q", "b", 3.0), ("q", "c", 2.0), ("r", "a", 4.0)], "query_id string, term string, qw double")
+    assert {(r["query_id"], r["term"]): r["qw"] for r in FB.spread(w, "qw").collect()} == {("q", "a"): 0.0, ("q", "b"): 1.0, ("q", "c"): 0.5, ("r", "a"): 0.0}
+    assert [r["qw"] for r in FB.spread(w, "qw", 0, 4).filter("query_id = 'r'").collect()] == [1.0]
+
+
+def test_tokens_of_marked_up_text(spark):
+    df = spark.createDataFrame([("A <b x='1'>Bold</b> word-1",)], "t string")
+    assert df.select(markup_tokens(F.col("t"))).first()[0] == ["a", "bold", "word", "1"]
+
+
 def test_measures_by_hand(spark):
     run = spark.createDataFrame([("q", i, i) for i in range(1, 11)], "query_id string, doc_id long, rank long")
     rel = spark.createDataFrame([("q", 1, 1), ("q", 3, 1)], "query_id string, doc_id long, rel int")
     m = E.measures(E.judged(run, rel)).first()
     assert m["map"] == pytest.approx(0.833333, abs=1e-6) and m["p_5"] == pytest.approx(0.4) and m["p_legacy"] == pytest.approx(2 / 11)
+    judged = E.judged(run, rel)
+    assert [r["value"] for name in ("map", "p_5", "none") for r in E.metric(judged, name).collect()] == [m["map"], m["p_5"], m["map"]]
     two = E.measures(E.judged(run.filter("rank <= 2"), spark.createDataFrame([("q", 2, 1)], rel.schema))).first()
     assert two["ndcg"] == pytest.approx(math.log(2) / math.log(3))
     grid = spark.createDataFrame([("a", "1", 0.2), ("a", "2", 0.4), ("b", "1", 0.3), ("b", "2", 0.1)], "params string, query_id string, value double")

@@ -43,6 +43,11 @@ def measures(run: DataFrame, by: tuple[str, ...] = ("query_id",), cut: int = CUT
     )
 
 
+def metric(run: DataFrame, name: str = "map") -> DataFrame:
+    """query_id, value of a judged run: a measure by its name; average precision for names that are none."""
+    return measures(run).select("query_id", F.col(name if name in MEASURES else "map").alias("value"))
+
+
 def qrels(c: Collection) -> DataFrame:
     """query_id, doc_id, rel: quality labels of all documents that hold a term of the topic, of whatever rank."""
     terms = few(c.query_terms.select("query_id", "term"), c.n_terms)

@@ -74,6 +74,12 @@ _through(
     lambda spark, folder: readers.qrels(spark, folder).select("query_id", F.col("doc_id").cast("long").alias("doc_id"), "rel"),
     f"WITH {duck.BASE}, {evaluation._REL} SELECT query_id, doc_id, CAST(rel AS INTEGER) AS rel FROM qrels",
 )
+_through(
+    "format_split",
+    lambda spark, sf, folder: writers.write_split((c := Collection(spark, sf)).query_terms.select("query_id", "term"), evaluation.qrels(c), folder),
+    lambda spark, folder: readers.qrels(spark, f"{folder}/test/qrels").select("query_id", F.col("doc_id").cast("long").alias("doc_id"), "rel"),
+    f"WITH {duck.BASE}, {evaluation._REL}, o AS (SELECT query_id, row_number() OVER (ORDER BY query_id) AS k FROM (SELECT DISTINCT query_id FROM qt)) SELECT query_id, doc_id, CAST(rel AS INTEGER) AS rel FROM qrels JOIN o USING (query_id) WHERE k % 2 = 0",
+)
 _through(
     "format_measures",
     lambda spark, sf, folder: _text(_measures(Collection(spark, sf)), folder),

@@ -322,7 +322,7 @@ def query_statistics(c: Collection) -> DataFrame:
     hits = c.hits.withColumn("e", F.exp(F.col("ql") - F.max("ql").over(Window.partitionBy("query_id"))))
     per = hits.groupBy("query_id", "bin").agg(F.sum("e").alias("x")).groupBy("query_id").agg(S.dense(F.collect_list(F.struct("bin", "x")), BINS).alias("xs"))
     per = per.withColumn("bg", F.col("xs"))
-    stats = FB.with_stats(per).select("query_id", *(F.round(x, 6).alias(x) for x in ("acf1", "acf2", "kurt", "skew", "ent", "dp")))
+    stats = FB.with_stats(per).select("query_id", *(F.round(x, 6).alias(x) for x in ("acf1", "acf2", "acf3", "kurt", "skew", "ent", "dp")))
     times = hits.groupBy("query_id").agg(F.count("*").alias("n"), F.round(F.skewness("bin"), 6).alias("time_skew"), F.round(F.kurtosis("bin") + 3, 6).alias("time_kurt"), F.round(F.avg("ql"), 6).alias("score_avg"), F.round(F.stddev_samp("ql"), 6).alias("score_sd"))
     return stats.join(times, "query_id")
 
@@ -331,7 +331,7 @@ QUERIES["query_statistics"] = lambda spark, sf: query_statistics(Collection(spar
 ORACLE_SQL["query_statistics"] = f"""WITH {duck.HITS}, d AS (SELECT q.query_id, b.bin AS t, coalesce(sum(e), 0e0) AS x, coalesce(sum(e), 0e0) AS bg FROM (SELECT DISTINCT query_id FROM hits) q CROSS JOIN bins b LEFT JOIN hits h ON h.query_id = q.query_id AND h.bin = b.bin GROUP BY ALL),
 {duck.stats_of("d", "query_id", "st")}, c AS (SELECT *, bin - avg(bin) OVER (PARTITION BY query_id) AS z FROM hits),
 ti AS (SELECT query_id, count(*) AS n, round(avg(pow(z, 3)) / pow(avg(pow(z, 2)), 1.5e0), 6) AS time_skew, round(avg(pow(z, 4)) / pow(avg(pow(z, 2)), 2), 6) AS time_kurt, round(avg(ql), 6) AS score_avg, round(stddev_samp(ql), 6) AS score_sd FROM c GROUP BY query_id)
-SELECT query_id, {", ".join(f"round({x}, 6) AS {x}" for x in ("acf1", "acf2", "kurt", "skew", "ent", "dp"))}, ti.n AS n, time_skew, time_kurt, score_avg, score_sd FROM st JOIN ti USING (query_id)"""
+SELECT query_id, {", ".join(f"round({x}, 6) AS {x}" for x in ("acf1", "acf2", "acf3", "kurt", "skew", "ent", "dp"))}, ti.n AS n, time_skew, time_kurt, score_avg, score_sd FROM st JOIN ti USING (query_id)"""
 
 
 ORACLE_SQL["ttest"] = f"""WITH {evaluation._paired_sql("dirichlet", "tsm_linear")}, s AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(x - y) / nullif(stddev_samp(x - y) / sqrt(count(*)), 0) AS v FROM xy)

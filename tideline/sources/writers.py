@@ -63,6 +63,13 @@ def write_partitioned(df: DataFrame, path: str, by: str, text: Column) -> None:
     df.select(F.col(by), text.alias("value")).write.mode("overwrite").partitionBy(by).text(path)
 
 
+def write_split(topics: DataFrame, qrels: DataFrame, folder: str) -> None:
+    """Topics at even places of the order of ids, with their judgements, under train, those at odd places under test: CSV files of each."""
+    for part, own in zip(("train", "test"), split_by_position(topics, "query_id"), strict=True):
+        write_csv(own, f"{folder}/{part}/topics")
+        write_csv(qrels.join(own.select("query_id").distinct(), "query_id", "left_semi").select("query_id", F.lit(0).alias("iter"), "doc_id", "rel"), f"{folder}/{part}/qrels", " ", False)
+
+
 def split_by_position(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Rows at even and at odd positions of the distinct keys."""
     place = df.select(key).distinct().withColumn("_at", F.row_number().over(Window.orderBy(key)) - 1)  # of topics: a short list
