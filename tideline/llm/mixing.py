@@ -11,8 +11,8 @@ from tideline.llm.common import WORD, durable, join_sized, table
 WEIGHTS = [5.0, 2.0, 1.0]
 SHARE = 1.5
 MOST = 2
-#: Rank intervals of a source that are summed before the one with the cut is looked at row by row.
-INTERVALS = 1 << 14
+#: Rank intervals of a source that are summed; the one with the cut is divided as often again, LEVELS times in all, before its rows are looked at.
+INTERVALS, LEVELS = 1 << 10, 2
 
 
 def capped_shares(df: DataFrame, group: list[str], total: Column, weight: str, cap: str, out: str) -> DataFrame:
@@ -64,11 +64,15 @@ class Mix:
         parts = parts.withColumn("_want", F.sum(F.col("_p") * F.col("_words")).over(Window.partitionBy("_src")))
         self.plan = durable(parts.select(F.col("_src").alias("src"), F.col("_class").alias("cls"), "_whole", "_p", "_want"))
         ranked = self._ranked(rows).filter("_rank is not null")
-        sums = ranked.groupBy("_src", "_place", "_want").agg(F.sum("_size").alias("_in"))
-        sums = sums.withColumn("_before", F.sum("_in").over(Window.partitionBy("_src").orderBy("_place")) - F.col("_in"))
-        cut = sums.filter("_before < _want and _before + _in >= _want").groupBy(F.col("_src").alias("src")).agg(F.min_by(F.struct(F.col("_place").alias("cut"), F.col("_before").alias("before")), "_place").alias("_c"))
-        cut = durable(cut.select("src", "_c.*"))
-        edge = self._at(ranked, cut).filter("_place = cut")  # a source's rows within one interval of ranks
+        cut = None
+        for level in range(1, LEVELS + 1):
+            wide = F.floor(F.col("_place") / float(INTERVALS ** (LEVELS - level))).cast("int")
+            inside = ranked.withColumn("before", F.lit(0.0)) if cut is None else self._at(ranked, cut).filter(F.floor(wide / float(INTERVALS)) == F.col("cut"))
+            sums = inside.groupBy("_src", wide.alias("_wide"), "_want", "before").agg(F.sum("_size").alias("_in"))
+            sums = sums.withColumn("_before", F.col("before") + F.sum("_in").over(Window.partitionBy("_src").orderBy("_wide")) - F.col("_in"))
+            found = sums.filter("_before < _want and _before + _in >= _want").groupBy(F.col("_src").alias("src")).agg(F.min_by(F.struct(F.col("_wide").alias("cut"), F.col("_before").alias("before")), "_wide").alias("_c"))
+            cut = durable(found.select("src", "_c.*"))
+        edge = self._at(ranked, cut).filter("_place = cut")  # a source's rows within one of its smallest intervals of ranks
         mine = Window.partitionBy("_src").orderBy("_rank", "_id", "_size", "_row").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         edge = edge.withColumn("_mid", F.col("before") + F.sum("_size").over(mine) - F.col("_size") / 2.0)
         last = edge.filter("_mid <= _want").groupBy(F.col("_src").alias("_s")).agg(F.max(F.struct("_rank", "_id", "_size", "_row")).alias("_to"))
@@ -86,7 +90,7 @@ class Mix:
         rank = (u / (1 - u)) / (F.col("_p") / (1 - F.col("_p")))
         rows = self._at(rows, self.plan, F.col("cls"))
         rows = rows.withColumn("_rank", F.when((F.col("_p") > 0) & (F.col("_size") > 0), rank))
-        return rows.withColumn("_place", F.floor(F.col("_rank") / (1 + F.col("_rank")) * INTERVALS).cast("int"))
+        return rows.withColumn("_place", F.floor(F.col("_rank") / (1 + F.col("_rank")) * INTERVALS**LEVELS).cast("int"))
 
     def copies(self, rows: DataFrame) -> DataFrame:
         """rows, made by sized(), with words (of the source), target and copies. The tables are small, so rows aren't moved."""
