@@ -6,6 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def rounded(x: Column, places: int) -> Column:
+    """x times a power of ten to the nearest whole number, halves away from zero, over that power.
+
+    Spark's round goes by the shortest decimal that stands for x, which makes halves of numbers that lie beside one.
+    """
+    scaled = x * F.lit(10.0**places)
+    near = F.rint(scaled)
+    return F.when(F.abs(scaled - near) == 0.5, scaled + 0.5 * F.signum(scaled)).otherwise(near) / F.lit(10.0**places)
+
+
 def total(a: Column) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda x, y: x + y)
 
@@ -95,7 +105,7 @@ def spectrum(a: Column) -> Column:
             return total(F.zip_with(a, at, lambda x, i: x * f(2 * F.pi() * k * i / n)))
 
         half = F.when(2 * k == n, 0.5).otherwise(1.0)
-        return F.round(half * 2 * (F.pow(part(F.cos), F.lit(2)) + F.pow(part(F.sin), F.lit(2))) / n, 9)
+        return rounded(half * 2 * (F.pow(part(F.cos), F.lit(2)) + F.pow(part(F.sin), F.lit(2))) / n, 9)
 
     return F.transform(F.sequence(F.lit(1), (n / 2).cast("int")), power)
 
