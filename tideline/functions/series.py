@@ -22,8 +22,9 @@ def total(a: Column) -> Column:
 
 def dense(entries: Column, bins: int) -> Column:
     """array<struct(bin, x)> -> array<double> of all bins, 0 where there is none."""
-    by_bin = F.map_from_entries(entries)
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda b: F.coalesce(F.try_element_at(by_bin, b), F.lit(0.0)))
+    each = F.sequence(F.lit(0), F.lit(bins - 1))
+    # an array of one map, so that the map is built once instead of for each bin
+    return F.get(F.transform(F.array(F.map_from_entries(entries)), lambda by_bin: F.transform(each, lambda b: F.coalesce(F.try_element_at(by_bin, b), F.lit(0.0)))), F.lit(0))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -8,12 +8,37 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: ASCII characters that part tokens, but for the blank.
+_PARTING = "".join(chr(i) for i in range(128) if not chr(i).isalnum() and chr(i) != " ")
+
+
 def tokens(text: Column) -> Column:
-    """Lower-case runs of ASCII letters and digits."""
-    cleaned = F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^a-zA-Z0-9 ]", " "))
+    """Lower-case runs of ASCII letters and digits.
+
+    Signs become blanks by a table and all else that isn't ASCII by one range: Java matches a class of several ranges ten times slower.
+    """
+    plain = F.translate(F.coalesce(text, F.lit("")), _PARTING, " " * len(_PARTING))
+    cleaned = F.lower(F.regexp_replace(plain, "[^\\x00-\\x7F]+", " "))
     return F.filter(F.split(cleaned, " "), lambda x: x != "")
 
 
+def counts(toks: Column) -> Column:
+    """array<struct(term, tf)> of the different tokens of an array, by term: lengths of the runs of the sorted array."""
+
+    def runs(words: Column) -> Column:
+        n = F.size(words)
+        first = F.filter(F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>")), lambda i: (i == 0) | (F.get(words, i) != F.get(words, i - 1)))
+        ends = lambda at: F.slice(F.concat(F.slice(at, F.lit(2), F.size(at)), F.array(n)), F.lit(1), F.size(at))
+        return _let(first, lambda at: F.zip_with(at, ends(at), lambda i, end: F.struct(F.get(words, i).alias("term"), (end - i).cast("double").alias("tf"))))
+
+    return _let(F.sort_array(toks), runs)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), where value is computed once however often the body reads it, in lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def markup_tokens(text: Column) -> Column:
     """The variant for topic-model input: lower-case, tags removed, then split."""
     return F.filter(F.split(F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "<[^>]*>", " "), "[^a-z0-9 ]", " "), " "), lambda x: x != "")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import series as S
-from tideline.functions.text import tokens
+from tideline.functions.text import counts, tokens
 from tideline.session import exists, shared_folder, table
 
 START, INTERVAL, BINS = 1704067200, 86400, 30
@@ -19,8 +19,10 @@ TOPICS = {
     "T5": ["oning", "antion"], "T6": ["ontion", "retion"], "T7": ["thanedble", "onble", "reing"], "T8": ["thing", "erble", "thtion"],
 }
 NUM_RESULTS = 1000
-#: Parts of the stored index, by a checksum of the term or document; a hot part has several files.
+#: Parts of the stored index, by a checksum of the term; a part has a file of each task that wrote postings.
 PARTS = 32
+#: How much of the counts by document a task turns into postings.
+SPLIT_BYTES = 32 << 20
 #: The most bytes of a table that is sent to every executor.
 BROADCAST_BYTES = 32 << 20
 
@@ -76,19 +78,28 @@ def part_of(key: Column) -> Column:
 
 
 def write_index(spark: SparkSession, sf_dir: str, folder: str) -> None:
-    """docs, postings by term and by document, statistics of terms and of the whole as Parquet, in parts that a term or document names.
+    """docs, counts by document, postings by term, statistics of terms and of the whole as Parquet, the last two kinds in parts that a term names.
 
-    Postings are counted before they are shuffled; parts are rebalanced, so that a frequent term's part becomes several files. The
-    last table written tells that the index is whole.
+    Texts are tokenised once, and counted where they are. Postings aren't shuffled: each task writes its documents' as files of its own in
+    every part, sorted by term, from pieces of SPLIT_BYTES of the counts. The last table written tells that the index is whole.
     """
-    toks = tokenised(spark, sf_dir)
-    toks.select("doc_id", "epoch", "bin", "len").write.mode("overwrite").parquet(f"{folder}/docs")
-    each = toks.select("doc_id", "bin", "epoch", "len", F.explode("toks").alias("term"))
-    postings = each.groupBy("doc_id", "bin", "epoch", "len", "term").agg(F.count("*").cast("double").alias("tf"))
-    by_doc = postings.withColumn("part", part_of(F.col("doc_id"))).hint("rebalance", "part").sortWithinPartitions("part", "doc_id")
-    by_doc.write.mode("overwrite").partitionBy("part").parquet(f"{folder}/by_doc")
-    postings = spark.read.parquet(f"{folder}/by_doc").withColumn("part", part_of(F.col("term")))
-    postings.hint("rebalance", "part").sortWithinPartitions("part", "term", "doc_id").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/by_term")
+    toks, ids = tokenised(spark, sf_dir), table(spark, sf_dir, "documents").groupBy("doc_id").count()
+    once = ids.filter("count > 1").isEmpty()
+    if not once:  # rows of one id and length are one document
+        toks.select("doc_id", "epoch", "bin", "len").write.mode("overwrite").parquet(f"{folder}/docs")
+        toks = toks.groupBy("doc_id", "epoch", "bin", "len").agg(F.flatten(F.collect_list("toks")).alias("toks"))
+    counted = toks.select("doc_id", "epoch", "bin", "len", counts(F.col("toks")).alias("counts"))
+    counted.write.mode("overwrite").option("parquet.block.size", SPLIT_BYTES).parquet(f"{folder}/by_doc")
+    by_doc = spark.read.parquet(f"{folder}/by_doc")
+    if once:
+        by_doc.select("doc_id", "epoch", "bin", "len").write.mode("overwrite").parquet(f"{folder}/docs")
+    postings = by_doc.select("doc_id", "bin", "epoch", "len", F.inline("counts")).withColumn("part", part_of(F.col("term")))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(SPLIT_BYTES))
+        postings.sortWithinPartitions("part", "term", "doc_id").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/by_term")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     per = spark.read.parquet(f"{folder}/by_term").groupBy("part", "term", "bin").agg(F.sum("tf").alias("x"), F.count("*").alias("d"))
     xs, ds = (S.dense(F.collect_list(F.struct("bin", F.col(c).cast("double").alias("x"))), BINS).alias(n) for c, n in (("x", "xs"), ("d", "ds")))
     stats = per.groupBy("part", "term").agg(F.sum("x").alias("cf"), F.sum("d").cast("double").alias("df"), xs, ds)
@@ -226,9 +237,9 @@ class Collection:
     def hit_tokens(self) -> DataFrame:
         """query_id, doc_id, bin, epoch, len, ql, rank, e, term, tf: the whole vectors of the hits; e: exp(ql) over the query's highest"""
         top = self.hits.withColumn("e", F.exp(F.col("ql") - F.max("ql").over(Window.partitionBy("query_id"))))
-        top = few(top.select("query_id", "doc_id", "ql", "rank", "e", part_of(F.col("doc_id")).alias("part")), self.n_hits)
-        each = self._read("by_doc").join(top, ["part", "doc_id"])
-        return each.select("query_id", "doc_id", "bin", "epoch", "len", "ql", "rank", "e", "term", "tf").persist()
+        top = few(top.select("query_id", "doc_id", "ql", "rank", "e"), self.n_hits)
+        each = self._read("by_doc").join(top, "doc_id")
+        return each.select("query_id", "doc_id", "bin", "epoch", "len", "ql", "rank", "e", F.inline("counts")).persist()
 
     def matrix(self, weights: DataFrame | None = None) -> DataFrame:
         """A row for each hit and term of weights([point,] query_id, term, qw): tf, cp, cf, df, xs, ts and total of the hit's bin, qlen"""
