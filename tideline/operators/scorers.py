@@ -237,9 +237,10 @@ def document_bin_weights(c: Collection) -> DataFrame:
     """
     terms = c.hit_tokens.select("doc_id", "term", "tf").distinct()
     each = terms.join(c.term_stats().select("term", "xs"), "term").withColumn("add", 1 / F.count("*").over(Window.partitionBy("doc_id")))
+    # the terms of a document are together by now, so that its rows by bin are summed where they are made
     long = each.select("doc_id", "tf", "add", F.posexplode("xs").alias("b", "ts"))
-    long = long.withColumn("tlen", F.sum("ts").over(Window.partitionBy("doc_id", "b")))
-    ll = long.groupBy("doc_id", "b").agg(F.sum(F.col("tf") * F.ln((F.col("ts") + F.col("add")) / (F.col("tlen") + 1))).alias("ll"), F.max("tlen").alias("tlen"))
+    ll = long.groupBy("doc_id", "b").agg(F.sum(F.col("tf") * F.ln(F.col("ts") + F.col("add"))).alias("gain"), F.sum("tf").alias("n"), F.sum("ts").alias("tlen"))
+    ll = ll.withColumn("ll", F.col("gain") - F.col("n") * F.ln(F.col("tlen") + 1))
     w = F.col("ll") / F.sum("ll").over(Window.partitionBy("doc_id"))
     ll = ll.withColumn("w", F.when(F.col("tlen") > 0, w / F.col("tlen")).otherwise(0.0))
     return ll.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "w"))), lambda z: z["w"]).alias("ws"))
@@ -253,10 +254,12 @@ def rank_document_bins_kde(c: Collection, params: Params | None = None) -> DataF
 
 def divergent_bins(c: Collection) -> DataFrame:
     """doc_id, b: the bin of the least positive divergence from the document, both as shares over the document's terms; the first of equal ones, else 0."""
-    terms = c.hit_tokens.select("doc_id", "term", "tf").distinct().withColumn("dp", F.col("tf") / F.sum("tf").over(Window.partitionBy("doc_id")))
-    each = terms.join(c.term_stats().select("term", "xs"), "term").select("doc_id", "dp", F.posexplode("xs").alias("b", "ts"))
-    each = each.withColumn("pp", F.try_divide("ts", F.sum("ts").over(Window.partitionBy("doc_id", "b"))))
-    kl = each.groupBy("doc_id", "b").agg(F.sum(F.when((F.col("pp") > 0) & (F.col("dp") > 0), F.col("pp") * F.ln(F.col("pp") / F.col("dp")))).alias("kl"))
+    terms = c.hit_tokens.select("doc_id", "term", "tf").distinct()
+    each = terms.join(c.term_stats().select("term", "xs"), "term").withColumn("dp", F.col("tf") / F.sum("tf").over(Window.partitionBy("doc_id")))
+    each = each.select("doc_id", "dp", F.posexplode("xs").alias("b", "ts"))
+    # the sum of p ln(p / q) with p = ts over their total is the mean of ln(ts / q) by ts, less the total's logarithm: no row needs the total
+    kl = each.groupBy("doc_id", "b").agg(F.sum("ts").alias("total"), F.sum(F.when(F.col("ts") > 0, F.col("ts") * F.ln(F.col("ts") / F.col("dp")))).alias("mass"))
+    kl = kl.withColumn("kl", F.when(F.col("total") > 0, F.col("mass") / F.col("total") - F.ln("total")))
     kl = kl.withColumn("kl", F.round("kl", 9))
     return kl.groupBy("doc_id").agg(F.coalesce(F.min_by("b", F.when(F.col("kl") > 0, F.struct("kl", "b"))), F.lit(0)).alias("b"))
 
