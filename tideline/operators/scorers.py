@@ -148,15 +148,18 @@ def document_bins(c: Collection) -> DataFrame:
     """doc_id, b: the bin whose model (one added; without the document, in its own bin) likes a hit's text best.
 
     Only bins that hold one of the document's terms are looked at; the others differ by their length alone. Counts by bin come with the
-    index: one row a term.
+    index: one row a term. All bins of a document are summed in one row, so that no row is made for a term and bin.
     """
-    terms = c.hit_tokens.select("doc_id", "bin", "len", "term", "tf").distinct()
-    counts = c.term_stats().select("term", F.col("xs"))
-    each = terms.join(counts, "term").select("doc_id", "bin", "len", "tf", F.posexplode("xs").alias("b", "ts")).filter("ts > 0")
-    own = F.col("b") == F.col("bin")
-    gain = each.groupBy("doc_id", "bin", "len", "b").agg(F.sum(F.col("tf") * F.ln(F.col("ts") + 1 - F.when(own, F.col("tf")).otherwise(0.0))).alias("gain"))
-    sizes = c.whole.select("n_tokens", F.posexplode("bg").alias("b", "total"))
-    gain = gain.join(F.broadcast(sizes), "b")
+    # a document that several queries found is read once
+    one = c.hits.groupBy("doc_id").agg(F.min(F.struct("query_id", "rank")).alias("z")).select("doc_id", "z.query_id", "z.rank")
+    terms = c.hit_tokens.join(few(one, c.n_hits), ["doc_id", "query_id", "rank"], "left_semi").select("doc_id", "bin", "len", "term", "tf")
+    each = terms.join(c.term_stats().select("term", "xs"), "term")
+    ts = [F.get("xs", F.lit(b)) for b in range(BINS)]
+    gains = [F.sum(F.col("tf") * F.ln(x + 1 - F.when(F.col("bin") == b, F.col("tf")).otherwise(0.0))) for b, x in enumerate(ts)]
+    rows = each.groupBy("doc_id", "bin", "len").agg(F.array(*gains).alias("gain"), F.array(*map(F.max, ts)).alias("most"))
+    sizes = c.whole.select("n_tokens", "bg")
+    gain = rows.crossJoin(F.broadcast(sizes)).select("doc_id", "bin", "len", "n_tokens", F.posexplode(F.arrays_zip("gain", "most", F.col("bg").alias("total"))).alias("b", "z"))
+    gain = gain.filter("z.most > 0").select("doc_id", "bin", "len", "n_tokens", "b", "z.gain", "z.total")
     ll = F.col("gain") - F.col("len") * F.ln(F.col("total") - F.when(F.col("b") == F.col("bin"), F.col("len")).otherwise(0.0) + F.col("n_tokens"))
     return gain.withColumn("ll", ll).groupBy("doc_id").agg(F.min_by("b", F.struct(-F.round("ll", 6), F.col("b"))).alias("b"))
 
