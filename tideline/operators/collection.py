@@ -94,12 +94,16 @@ def write_index(spark: SparkSession, sf_dir: str, folder: str) -> None:
     if once:
         by_doc.select("doc_id", "epoch", "bin", "len").write.mode("overwrite").parquet(f"{folder}/docs")
     postings = by_doc.select("doc_id", "bin", "epoch", "len", F.inline("counts")).withColumn("part", part_of(F.col("term")))
-    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    # a writer for each part at once: rows are sorted by the term's first bytes, not by whole rows inside a part
+    names = {"spark.sql.files.maxPartitionBytes": str(SPLIT_BYTES), "spark.sql.maxConcurrentOutputFileWriters": str(PARTS + 1)}
+    before = {k: spark.conf.get(k) for k in names}
     try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", str(SPLIT_BYTES))
-        postings.sortWithinPartitions("part", "term", "doc_id").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/by_term")
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        postings.sortWithinPartitions("term", "doc_id").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/by_term")
     finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     per = spark.read.parquet(f"{folder}/by_term").groupBy("part", "term", "bin").agg(F.sum("tf").alias("x"), F.count("*").alias("d"))
     xs, ds = (S.dense(F.collect_list(F.struct("bin", F.col(c).cast("double").alias("x"))), BINS).alias(n) for c, n in (("x", "xs"), ("d", "ds")))
     stats = per.groupBy("part", "term").agg(F.sum("x").alias("cf"), F.sum("d").cast("double").alias("df"), xs, ds)
