@@ -28,3 +28,13 @@ def test_postings_are_sorted_by_term_in_every_file(spark, tmp_path):
     assert sum(map(len, files.values())) == 200 * len(TERMS) and all(rows == sorted(rows) for rows in files.values())
     assert read.filter(F.col("part") != part_of(F.col("term"))).isEmpty() and read.select("part").distinct().count() == PARTS
     assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == "0"
+
+
+def test_only_pages_of_the_topics_terms_are_read(spark, tmp_path):
+    c = _collection(spark, tmp_path)
+    df = c.occurrences(c.query_terms)
+    assert len(df.collect()) == 200 * 12
+    scan = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    read = scan.metrics().get("numOutputRows").get().value()
+    parts = [r[0] for r in spark.createDataFrame([(t,) for t in TERMS[:6] + TERMS[-6:]], "t string").select(part_of(F.col("t"))).distinct().collect()]
+    assert read < c._read("by_term").filter(F.col("part").isin(parts)).count() / 2

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import cached_property
+from functools import cached_property, reduce
 from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -23,6 +23,8 @@ NUM_RESULTS = 1000
 PARTS = 32
 #: How much of the counts by document a task turns into postings.
 SPLIT_BYTES = 32 << 20
+#: Rows of a page of postings: the least that is read for a term.
+PAGE_ROWS = 1000
 #: The most bytes of a table that is sent to every executor.
 BROADCAST_BYTES = 32 << 20
 
@@ -100,7 +102,7 @@ def write_index(spark: SparkSession, sf_dir: str, folder: str) -> None:
     try:
         for k, v in names.items():
             spark.conf.set(k, v)
-        postings.sortWithinPartitions("term", "doc_id").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/by_term")
+        postings.sortWithinPartitions("term", "doc_id").write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).partitionBy("part").parquet(f"{folder}/by_term")
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
@@ -203,7 +205,9 @@ class Collection:
         """Rows of the topics' terms: their parts, and in these their pages, are known to the plan."""
         terms = sorted({t for ts in self.topics.values() for t in ts})
         parts = sorted({crc32(t.encode()) % PARTS for t in terms})
-        return self._read(name).filter(F.col("part").isin(parts) & F.col("term").isin(terms)).drop("part")
+        # of a list Parquet reads all pages between the least and the greatest value; of alternatives only theirs
+        each = reduce(Column.__or__, (F.col("term") == t for t in terms))
+        return self._read(name).filter(F.col("part").isin(parts) & F.col("term").isin(terms) & each).drop("part")
 
     def occurrences(self, terms: DataFrame | None = None) -> DataFrame:
         """doc_id, bin, epoch, len, term, tf; only of the topics' terms, if these are given, or of other given terms, which are few"""
