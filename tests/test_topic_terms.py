@@ -38,3 +38,14 @@ def test_only_pages_of_the_topics_terms_are_read(spark, tmp_path):
     read = scan.metrics().get("numOutputRows").get().value()
     parts = [r[0] for r in spark.createDataFrame([(t,) for t in TERMS[:6] + TERMS[-6:]], "t string").select(part_of(F.col("t"))).distinct().collect()]
     assert read < c._read("by_term").filter(F.col("part").isin(parts)).count() / 2
+
+
+def test_only_pages_of_the_topics_statistics_are_read(spark, tmp_path):
+    words = [f"w{i:06d}" for i in range(128_000)]
+    spark.createDataFrame([(i, " ".join(words)) for i in range(2)], "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    c = Collection(spark, str(tmp_path), {"A": words[:2], "B": words[-2:]}, index=str(tmp_path / "index"))
+    df = c._of_topics("terms")
+    assert {r["term"]: r["cf"] for r in df.collect()} == dict.fromkeys([*words[:2], *words[-2:]], 2)
+    read = df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().get("numOutputRows").get().value()
+    parts = [r[0] for r in spark.createDataFrame([(t,) for t in [*words[:2], *words[-2:]]], "t string").select(part_of(F.col("t"))).distinct().collect()]
+    assert read < c._read("terms").filter(F.col("part").isin(parts)).count() * 3 / 4

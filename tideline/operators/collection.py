@@ -23,7 +23,7 @@ NUM_RESULTS = 1000
 PARTS = 32
 #: How much of the counts by document a task turns into postings.
 SPLIT_BYTES = 32 << 20
-#: Rows of a page of postings: the least that is read for a term.
+#: Rows of a page of postings and of statistics of terms: the least that is read for a term.
 PAGE_ROWS = 1000
 #: The most bytes of a table that is sent to every executor.
 BROADCAST_BYTES = 32 << 20
@@ -109,7 +109,7 @@ def write_index(spark: SparkSession, sf_dir: str, folder: str) -> None:
     per = spark.read.parquet(f"{folder}/by_term").groupBy("part", "term", "bin").agg(F.sum("tf").alias("x"), F.count("*").alias("d"))
     xs, ds = (S.dense(F.collect_list(F.struct("bin", F.col(c).cast("double").alias("x"))), BINS).alias(n) for c, n in (("x", "xs"), ("d", "ds")))
     stats = per.groupBy("part", "term").agg(F.sum("x").alias("cf"), F.sum("d").cast("double").alias("df"), xs, ds)
-    stats.hint("rebalance", "part").sortWithinPartitions("part", "term").write.mode("overwrite").partitionBy("part").parquet(f"{folder}/terms")
+    stats.hint("rebalance", "part").sortWithinPartitions("part", "term").write.mode("overwrite").option("parquet.page.row.count.limit", PAGE_ROWS).partitionBy("part").parquet(f"{folder}/terms")
     docs = spark.read.parquet(f"{folder}/docs")
     bg = docs.groupBy("bin").agg(F.sum("len").alias("x"), F.count("*").alias("n"))
     whole = bg.agg(F.coalesce(F.sum("n"), F.lit(0)).cast("double").alias("n_docs"), F.sum("x").alias("n_tokens"), S.dense(F.collect_list(F.struct("bin", "x")), BINS).alias("bg"))
