@@ -49,3 +49,9 @@ def test_only_pages_of_the_topics_statistics_are_read(spark, tmp_path):
     read = df._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().get("numOutputRows").get().value()
     parts = [r[0] for r in spark.createDataFrame([(t,) for t in [*words[:2], *words[-2:]]], "t string").select(part_of(F.col("t"))).distinct().collect()]
     assert read < c._read("terms").filter(F.col("part").isin(parts)).count() * 3 / 4
+
+
+def test_a_batch_may_have_many_topics(spark, tmp_path):
+    c = _collection(spark, tmp_path)
+    many = Collection(spark, str(tmp_path), {f"T{i}": TERMS[i : i + 3] for i in range(0, 1500, 3)}, index=c.folder)
+    assert many.occurrences(many.query_terms).count() == 200 * 1500

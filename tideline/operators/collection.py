@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
-from functools import cached_property, reduce
+from functools import cached_property
 from zlib import crc32
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -39,6 +39,12 @@ def few(df: DataFrame, rows: int, row_bytes: int = 64) -> DataFrame:
     return F.broadcast(df) if rows * row_bytes <= BROADCAST_BYTES else df
 
 
+def either(conditions: list[Column]) -> Column:
+    """Any of the conditions, as a balanced tree: a chain of some hundreds is too deep for the planner."""
+    half = len(conditions) // 2
+    return either(conditions[:half]) | either(conditions[half:]) if half else conditions[0]
+
+
 @dataclass(frozen=True)
 class Params:
     """Parameters of scorers and of query expansion; those that a scorer doesn't read have no effect."""
@@ -206,8 +212,7 @@ class Collection:
         terms = sorted({t for ts in self.topics.values() for t in ts})
         parts = sorted({crc32(t.encode()) % PARTS for t in terms})
         # of a list Parquet reads all pages between the least and the greatest value; of alternatives only theirs
-        each = reduce(Column.__or__, (F.col("term") == t for t in terms))
-        return self._read(name).filter(F.col("part").isin(parts) & F.col("term").isin(terms) & each).drop("part")
+        return self._read(name).filter(F.col("part").isin(parts) & F.col("term").isin(terms) & either([F.col("term") == t for t in terms])).drop("part")
 
     def occurrences(self, terms: DataFrame | None = None) -> DataFrame:
         """doc_id, bin, epoch, len, term, tf; only of the topics' terms, if these are given, or of other given terms, which are few"""
