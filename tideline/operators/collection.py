@@ -140,7 +140,7 @@ class Collection:
     """Plans over the index of documents(doc_id, text). Only the index is computed before a result is asked for.
 
     index: the folder of an index written before by write_index(); else the session's own. What is persisted is bounded by the topics
-    (at most NUM_RESULTS documents each).
+    (at most NUM_RESULTS documents each, and the weights of their terms).
     """
 
     spark: SparkSession
@@ -255,12 +255,16 @@ class Collection:
         return each.select("query_id", "doc_id", "bin", "epoch", "len", "ql", "rank", "e", F.inline("counts")).persist()
 
     def matrix(self, weights: DataFrame | None = None) -> DataFrame:
-        """A row for each hit and term of weights([point,] query_id, term, qw): tf, cp, cf, df, xs, ts and total of the hit's bin, qlen"""
-        w = self.query_terms if weights is None else weights
+        """A row for each hit and term of weights([point,] query_id, term, qw): tf, cp, cf, df, xs, ts and total of the hit's bin, qlen
+
+        Weights are computed once. Of the hits' vectors only the weights' terms are moved.
+        """
+        w = self.query_terms if weights is None else weights.persist()
         point = [c for c in ("point",) if c in w.columns]
         stats = self.term_stats(w)
         w = w.withColumn("qlen", F.sum("qw").over(Window.partitionBy(*point, "query_id")))
-        tf = self.hit_tokens.select("query_id", "doc_id", "term", "tf")
+        wanted = few(w.select("query_id", "term").distinct(), 1000 * len(self.topics))
+        tf = self.hit_tokens.join(wanted, ["query_id", "term"], "left_semi").select("query_id", "doc_id", "term", "tf")
         pairs = self.hits.join(w.join(stats, "term"), "query_id").join(tf, ["query_id", "doc_id", "term"], "left")
         pairs = pairs.crossJoin(F.broadcast(self.background))
         return pairs.withColumns({"tf": F.coalesce("tf", F.lit(0.0)), "ts": F.get("xs", F.col("bin")), "total": F.get("bg", F.col("bin"))}).withColumn("tp", F.col("ts") / F.col("total"))

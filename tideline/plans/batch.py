@@ -176,7 +176,7 @@ def best_model_weights(c: Collection, vectors: list[list[float]] = VECTORS, fb_d
 
     The orders are made of the vectors, which are a parameter; terms are numbered in each query by falling weight.
     """
-    rm = FB.relevance_model(c, fb_docs, terms, "not term rlike '^[0-9]*$'")
+    rm = FB.relevance_model(c, fb_docs, terms, "not term rlike '^[0-9]*$'").persist()  # few rows, read by all that follows
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("rm", 10).desc(), "term")) - 1
     rows = [(k, i, w) for k, v in enumerate(orders(vectors, terms)) for i, w in enumerate(v)]
     each = F.broadcast(c.spark.createDataFrame(rows, "k int, at int, w double"))
