@@ -1,5 +1,6 @@
 """What the terms of a relevance model cost: the model is computed once, and of the hits' vectors only its terms are moved."""
 
+from tideline.operators import feedback as FB
 from tideline.operators.collection import Collection
 from tideline.plans import batch as B
 
@@ -45,3 +46,9 @@ def test_the_search_over_a_models_terms_computes_the_model_once(spark, tmp_path)
     rows, nodes = _ran(B.best_model_weights(c))
     assert {r["query_id"] for r in rows} == set(TOPICS)
     assert _scans_of_vectors(nodes) == 1
+
+def test_an_expansion_by_series_computes_the_model_once(spark, tmp_path):
+    c = Collection(spark, SF, TOPICS, index=str(tmp_path / "index"))
+    rows, nodes = _ran(FB.expanded(c, "rm_tklcn"))
+    assert {r["query_id"] for r in rows} == set(TOPICS)
+    assert _scans_of_vectors(nodes) == 1

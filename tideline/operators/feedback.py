@@ -257,6 +257,7 @@ def expanded(c: Collection, name: str, params: Params | None = None) -> DataFram
     rm = relevance_model(c, p.fb_docs, e.wide or p.fb_terms)
     if e.model == "rm0":
         rm = restricted(relevance_model(c, p.fb_docs, None), c.query_terms)
+    rm = rm.persist()  # few rows, read by each step that follows
     out, weight = rm, e.weight.format(lam=f"{p.lam!r}D", alpha=f"{p.alpha!r}D")
     if "q_" in weight:
         q = with_stats(query_series(c, rm, e.sma), "q_", p.lag)
